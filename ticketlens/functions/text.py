@@ -24,8 +24,9 @@ WORD_PATTERN = r"[\p{L}\p{N}][^ ]*[\p{L}\p{N}]"
 # Words of two or more letters, digits or underscores.
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
-# Anything outside this set may change under NFKC and has to be looked at in Python.
-_NFKC_OPEN = r"[^\x00-\x7FÀ-ÖØ-öø-ÿ‘’“”–—€]"
+# Characters that NFKC may change or join with their neighbours. ASCII, the accented letters of Latin-1, dashes
+# and curly quotes are not among them.
+_NFKC_OPEN = r"[\x{80}-\x{BF}\x{100}-\x{2011}\x{2017}\x{2020}-\x{10FFFF}]"
 _SPACE = r"[\s\x1c-\x1f]"
 
 
@@ -36,7 +37,8 @@ def _nfkc_python(texts: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Unicode NFKC. Rows that cannot change hand a null to the Python worker, not their text."""
-    return F.coalesce(_nfkc_python(F.when(text.rlike(_NFKC_OPEN), text)), text)
+    open_text = (F.octet_length(text) != F.length(text)) & text.rlike(_NFKC_OPEN)
+    return F.coalesce(_nfkc_python(F.when(open_text, text)), text)
 
 
 def fill_text(text: Column) -> Column:

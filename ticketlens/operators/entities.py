@@ -77,41 +77,31 @@ def gazetteer_entities(
     tokens = _readable(df, id_col, text_col)
     tokens = tokens.withColumn("_tok", F.regexp_extract_all("_text", F.lit(NAME_TOKEN), F.lit(0)))
     tokens = tokens.withColumn("_gap", F.split("_text", NAME_TOKEN, -1)).withColumn("_size", F.size("_tok"))
-    # Lengths of gap, token, gap, token, ... give every token its start.
-    lengths = F.transform(
-        F.arrays_zip(F.slice("_gap", F.lit(1), F.col("_size")).alias("g"), F.col("_tok").alias("t")),
-        lambda z: (F.length(z["g"]) + F.length(z["t"])).cast("bigint"),
+    # Lengths of gap, token, gap, token, ... give every token its place.
+    lengths = F.zip_with(
+        F.slice("_gap", F.lit(1), F.col("_size")), F.col("_tok"), lambda g, t: (F.length(g) + F.length(t)).cast("bigint")
     )
     tokens = tokens.withColumn("_before", ax.running_total(lengths))
-
-    def run(n: int):
-        def build(tok: Column, i: Column) -> Column:
-            parts = [tok] + [F.get("_tok", i + k) for k in range(1, n)]
-            start = (F.get("_before", i) + F.length(F.get("_gap", i))).cast("int")
-            joined = F.lit(True)
-            for k in range(1, n):
-                joined = joined & F.get("_gap", i + k).rlike(r"^(?U)\s+$")
-            end = start
-            for k in range(n):
-                end = end + F.length(parts[k])
-                if k:
-                    end = end + F.length(F.get("_gap", i + k))
-            original = parts[0] if n == 1 else F.concat(
-                *[p for k in range(n) for p in ((F.get("_gap", i + k), parts[k]) if k else (parts[0],))]
-            )
-            return F.when(
-                joined & parts[-1].isNotNull(),
-                F.struct(
-                    F.lower(F.concat_ws(" ", *parts)).alias("name"), original.alias("entity"),
-                    start.alias("start"), end.alias("end"),
-                ),
-            )
-
-        return F.transform("_tok", build)
-
-    runs = F.array_compact(F.concat(*[run(n) for n in range(1, max_words + 1)]))
-    spots = tokens.select(id_col, F.inline(runs))
-    return spots.join(names, "name").select(id_col, "entity", F.col("label").alias("entity_type"), "start", "end")
+    # One row per token with its followers beside it; what is built from them is compiled, unlike lambdas.
+    fields = [F.col("_tok").alias("t0"), F.slice("_gap", F.lit(1), F.col("_size")).alias("g0"), F.col("_before").alias("b")]
+    for k in range(1, max_words):
+        fields += [F.slice("_tok", F.lit(k + 1), F.col("_size")).alias(f"t{k}"), F.slice("_gap", F.lit(k + 1), F.col("_size")).alias(f"g{k}")]
+    rows = tokens.filter("_size > 0").select(id_col, F.inline(F.arrays_zip(*fields)))
+    start = (F.col("b") + F.length("g0")).cast("int")
+
+    def run(n: int) -> Column:
+        followers = [F.col(f"t{k}") for k in range(1, n)]
+        linked = F.lit(True)
+        for k in range(1, n):
+            gap = F.col(f"g{k}")
+            linked = linked & F.col(f"t{k}").isNotNull() & ((gap == " ") | gap.rlike(r"^(?U)\s+$"))
+        entity = F.concat(F.col("t0"), *[c for k in range(1, n) for c in (F.col(f"g{k}"), F.col(f"t{k}"))])
+        name = F.lower(F.concat_ws(" ", F.col("t0"), *followers))
+        return F.when(linked, F.struct(name.alias("name"), entity.alias("entity"), start.alias("start")))
+
+    spots = rows.select(id_col, F.inline(F.array(*[run(n) for n in range(1, max_words + 1)]))).filter("name is not null")
+    end = (F.col("start") + F.length("entity")).alias("end")
+    return spots.join(names, "name").select(id_col, "entity", F.col("label").alias("entity_type"), "start", end)
 
 
 def target_types(mentions: DataFrame, types: Iterable[str] = ENTITY_TYPES) -> DataFrame:
@@ -245,22 +235,20 @@ def critical_entities(
 ) -> DataFrame:
     """(entity, entity_type, reason, frequency): products seen in a complaint, amounts above the limit.
 
-    Amounts need only the counted entities. Products are matched against the ids of complaint tickets; a
-    product counts as soon as one ticket makes it so.
+    One pass over the mentions: the ids of complaint tickets are joined on the key by which mentions are
+    already laid out, then counts and the complaint flag are taken together. A product counts as soon as one
+    ticket makes it so.
     """
-    counts = entity_counts(mentions)
-    amount = tx.parse_money(F.col("entity"))
-    money = counts.filter((F.col("entity_type") == "MONEY") & (amount > high_value)).select(
-        "entity", "entity_type", F.format_string(AMOUNT_REASON, F.round(amount, 2)).alias("reason"), F.col("count").alias("frequency")
+    complaints = df.filter(tx.complaint_context(F.col(text_col), extra_keywords)).select(id_col, F.lit(True).alias("_complaint"))
+    concerned = mentions.filter(F.col("entity_type").isin("PRODUCT", "MONEY")).select(id_col, "entity", "entity_type")
+    counted = concerned.join(complaints, id_col, "left").groupBy("entity", "entity_type").agg(
+        F.count("*").alias("frequency"), F.max(F.coalesce("_complaint", F.lit(False))).alias("_complaint")
     )
-    complaints = df.filter(tx.complaint_context(F.col(text_col), extra_keywords)).select(id_col)
-    in_complaint = (
-        mentions.filter("entity_type = 'PRODUCT'").join(complaints, id_col, "left_semi").select("entity", "entity_type").distinct()
-    )
-    products = counts.join(in_complaint, ["entity", "entity_type"], "left_semi").select(
-        "entity", "entity_type", F.lit(PRODUCT_REASON).alias("reason"), F.col("count").alias("frequency")
+    amount = tx.parse_money(F.col("entity"))
+    reason = F.when((F.col("entity_type") == "PRODUCT") & F.col("_complaint"), F.lit(PRODUCT_REASON)).when(
+        (F.col("entity_type") == "MONEY") & (amount > high_value), F.format_string(AMOUNT_REASON, F.round(amount, 2))
     )
-    return money.unionByName(products)
+    return counted.select("entity", "entity_type", reason.alias("reason"), "frequency").filter("reason is not null")
 
 
 def critical_entities_sorted(critical: DataFrame) -> DataFrame:

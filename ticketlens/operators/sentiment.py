@@ -217,13 +217,12 @@ def lexicon_join_sentiment(
         return F.struct(*fields)
 
     rows = words.withColumn("_at", F.transform("_lower", around)).select(
-        id_col, "_n", "_caps", "_but", "_e0", F.inline_outer("_at")
+        id_col, "_n", "_caps", "_but", "_e0", F.inline("_at")
     )
     hit = lexicon.join(
         lexicon.sparkSession.createDataFrame([(w,) for w in (*BOOSTERS_UP, *BOOSTERS_DOWN)], "token string"), "token", "left_anti"
     ).withColumnRenamed("token", "l0")
-    rows = rows.join(hit, "l0", "left")
-    hits = rows.filter("valence is not null")
+    hits = rows.join(hit, "l0")
     for k in (1, 2, 3):
         known = lexicon.select(F.col("token").alias(f"l{k}"), F.lit(True).alias(f"known{k}"))
         hits = hits.join(known, f"l{k}", "left")
@@ -315,14 +314,16 @@ def analyze_sentiment(
     """Add label, confidence, compound, model score, the three shares and the critical flag to a table.
 
     ``model`` is a function that takes a table with a ``clean`` column and adds ``model_label`` and
-    ``model_score``; without one every row takes the fallback score. Works on streams as well.
+    ``model_score``; without one every row takes the fallback score. ``max_chars`` limits what the model is
+    given; the lexicon always reads the whole text. Works on streams as well.
     """
     original = df.columns
     df = df.withColumn("clean", tx.clean(F.col(text_col), normalise))
-    if max_chars is not None:
-        df = df.withColumn("clean", F.substring("clean", 1, max_chars))
     df = lexicon_sentiment(df, "clean", lexicon)
-    if model is not None:
+    if model is not None and max_chars is not None:
+        df = model(df.withColumn("_whole", F.col("clean")).withColumn("clean", F.substring("clean", 1, max_chars)))
+        df = df.withColumn("clean", F.col("_whole"))
+    elif model is not None:
         df = model(df)
     else:
         df = df.withColumns({"model_label": F.lit(None).cast("string"), "model_score": F.lit(None).cast("double")})
@@ -335,7 +336,7 @@ def analyze_sentiment(
 
 
 def analyze_one(spark, text: str, max_chars: int = 512, **options) -> DataFrame:
-    """The same for a single text, cut at a number of characters."""
+    """The same for a single text, of which the model is given a number of characters."""
     return analyze_sentiment(spark.createDataFrame([(text,)], "text string"), max_chars=max_chars, **options)
 
 

@@ -160,26 +160,29 @@ def topic_bar_data(keywords: DataFrame, n_topics: int = 8, n_words: int = 8) ->
 
 
 def topic_similarity(weights: DataFrame, max_topics: int = MAX_TOPICS) -> DataFrame:
-    """(topic_a, topic_b, similarity) with a <= b: cosine of the term vectors of topics.
+    """(topic_a, topic_b, similarity) with a <= b, for topics that share a term: cosine of their term vectors.
 
     Terms are spread over the tasks; every task adds its terms into one topics x topics matrix, and only
     these matrices are shuffled. No pair of rows is formed per term.
     """
-    topics = sorted(r["topic"] for r in weights.select("topic").distinct().limit(max_topics + 1).collect())
-    if len(topics) > max_topics:
-        raise ValueError(f"more than {max_topics} topics")
-    place = {t: i for i, t in enumerate(topics)}
     vectors = weights.groupBy("term").agg(F.collect_list("topic").alias("topics"), F.collect_list("weight").alias("weights"))
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(topics), len(topics)))
+        place: dict[int, int] = {}
+        total = np.zeros((0, 0))
         for batch in batches:
-            matrix = np.zeros((len(batch), len(topics)))
+            for topic in np.unique(np.concatenate(batch["topics"].tolist())) if len(batch) else ():
+                place.setdefault(int(topic), len(place))
+            if len(place) > max_topics:
+                raise ValueError(f"more than {max_topics} topics")
+            grown = np.zeros((len(place), len(place)))
+            grown[: len(total), : len(total)] = total
+            matrix = np.zeros((len(batch), len(place)))
             for row, (ts, ws) in enumerate(zip(batch["topics"], batch["weights"])):
-                matrix[row, [place[t] for t in ts]] = ws
-            total += matrix.T @ matrix
-        a, b = np.triu_indices(len(topics))
-        names = np.array(topics, dtype="int64")
+                matrix[row, [place[int(t)] for t in ts]] = ws
+            total = grown + matrix.T @ matrix
+        names = np.array(list(place), dtype="int64")
+        a, b = np.nonzero((names[:, None] <= names[None, :]) & (total > 0))
         yield pd.DataFrame({"topic_a": names[a], "topic_b": names[b], "dot": total[a, b]})
 
     dots = vectors.mapInPandas(gram, "topic_a bigint, topic_b bigint, dot double").groupBy("topic_a", "topic_b").agg(F.sum("dot").alias("dot"))
@@ -197,10 +200,11 @@ def _merges(similarity: DataFrame, max_topics: int) -> list[tuple[int, int, int,
     topics = sorted({*pairs["topic_a"], *pairs["topic_b"]})
     if len(topics) > max_topics:
         raise ValueError(f"more than {max_topics} topics")
-    distance = {}
+    # Topics without a common term have no row: their cosine is 0.
+    distance = {(a, b): 1.0 for i, a in enumerate(topics) for b in topics[i + 1 :]}
     for a, b, s in zip(pairs["topic_a"], pairs["topic_b"], pairs["similarity"]):
         if a != b:
-            distance[(min(a, b), max(a, b))] = round(1.0 - s, 9)
+            distance[(a, b)] = round(1.0 - s, 9)
     weight = {t: 1 for t in topics}
     parent = max(topics, default=0)
     out = []

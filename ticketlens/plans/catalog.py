@@ -80,8 +80,8 @@ class Source:
         return en.entity_mentions(self.tickets, self.names)
 
     @cached_property
-    def topics(self) -> DataFrame:
-        """Category and channel as the topic of a ticket."""
+    def labelled(self) -> DataFrame:
+        """Tickets with category and channel as their topic."""
         def number(col: str, values: list[str]):
             out = F.when(F.col(col) == values[0], 0)
             for i, v in enumerate(values[1:], 1):
@@ -89,7 +89,11 @@ class Source:
             return out
 
         topic = number("category", [c for c, _, _ in CATEGORIES]) * 5 + number("channel", [c for c, _ in CHANNELS])
-        return self.tickets.select("ticket_id", topic.cast("int").alias("topic"), F.concat_ws("/", "category", "channel").alias("topic_label"))
+        return self.tickets.withColumns({"topic": topic.cast("int"), "topic_label": F.concat_ws("/", "category", "channel")})
+
+    @cached_property
+    def topics(self) -> DataFrame:
+        return self.labelled.select("ticket_id", "topic", "topic_label")
 
     @cached_property
     def sentiment(self) -> DataFrame:
@@ -101,8 +105,7 @@ class Source:
 
     @cached_property
     def ticket_terms(self) -> DataFrame:
-        topics = self.topics.select("ticket_id", "topic")
-        return tp.term_counts(self.tickets.select("ticket_id", "text").join(topics, "ticket_id"))
+        return tp.term_counts(self.labelled)
 
     @cached_property
     def embedded(self) -> DataFrame:
@@ -724,11 +727,18 @@ def _(s):
     return scored.drop("text")
 
 
-@query("analyze_one", f"""SELECT sentiment_label, sentiment_confidence, lex_compound, is_critical, text FROM scored ORDER BY ticket_id LIMIT 1""")
+_FIRST = "(SELECT id, " + _HITS.replace("clean", "substr(clean, 1, 512)") + " AS h FROM d_src)"
+_FIRST_MODEL = f"(SELECT id, CASE WHEN h > 0 THEN 'negative' ELSE 'positive' END AS ml, 0.5 + 0.5 * least(h, 4) / 4 AS ms FROM {_FIRST})"
+
+
+@query("analyze_one", f"""SELECT id AS doc_id, {_label('h')} AS sentiment_label, round(least(abs(h), 1), 4) AS sentiment_confidence, lex_compound,
+  round(ms, 4) AS model_score, lex_compound < -0.7 AS is_critical
+  FROM (SELECT s.id, s.lex_compound, ms, {_hybrid('s.lex_compound', 'ml', 'ms')} AS h FROM d_scores s JOIN {_FIRST_MODEL} USING (id))""")
 def _(s):
-    # The single-text form, applied to one text taken from the table.
-    text = s.tickets.orderBy("ticket_id").select("text").first()["text"]
-    return se.analyze_one(s.spark, text).select("sentiment_label", "sentiment_confidence", "lex_compound", "is_critical", "text")
+    # The rule for single texts, where the model sees 512 characters, over all documents.
+    model = md.user_model_scores(_load_word_model)
+    scored = se.analyze_sentiment(s.documents.select("doc_id", "text"), model=model, max_chars=512)
+    return scored.select("doc_id", "sentiment_label", "sentiment_confidence", "lex_compound", "model_score", "is_critical")
 
 
 @query("sentiment_alerts", """SELECT ticket_id, sentiment_label AS label, sentiment_confidence AS confidence, lex_compound, model_score,
@@ -958,7 +968,7 @@ def _(s):
 
 @query("cluster_topics")
 def _(s):
-    reduced = _reduced(s).persist()
+    reduced = materialise(_reduced(s), "reduced")
     return tm.cluster_topics(reduced, tm.fit_clusters(reduced), "vec_id")
 
 
