@@ -47,10 +47,13 @@ def pattern_mentions(text: Column, pattern: str, label: str) -> Column:
 def pattern_entities(df: DataFrame, id_col: str = "ticket_id", text_col: str = "text") -> DataFrame:
     """MONEY and DATE mentions, one row each: (id, entity, entity_type, start, end)."""
     stripped = _readable(df, id_col, text_col)
-    arrays = F.concat(
+    return stripped.filter(F.col("_text").rlike(r"\d")).select(id_col, F.inline(_pattern_arrays())).toDF(id_col, "entity", "entity_type", "start", "end")
+
+
+def _pattern_arrays() -> Column:
+    return F.concat(
         pattern_mentions(F.col("_text"), tx.MONEY_PATTERN, "MONEY"), pattern_mentions(F.col("_text"), tx.DATE_PATTERN, "DATE")
     )
-    return stripped.filter(F.col("_text").rlike(r"\d")).select(id_col, F.inline(arrays)).toDF(id_col, "entity", "entity_type", "start", "end")
 
 
 def _readable(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,13 +69,11 @@ def gazetteer(*parts: tuple[DataFrame, str, str]) -> DataFrame:
     return out.filter(F.length("name") >= MIN_TEXT_LENGTH).distinct()
 
 
-def gazetteer_entities(
-    df: DataFrame, names: DataFrame, max_words: int = 2, id_col: str = "ticket_id", text_col: str = "text"
-) -> DataFrame:
-    """Mentions of listed names: runs of 1..max_words tokens equi-joined to the name table.
+def _spots(df: DataFrame, max_words: int, id_col: str, text_col: str, patterns: bool) -> DataFrame:
+    """(id, name, entity, label, start) of all that may be a mention, from one pass over the texts.
 
-    The name table may be of any size; Spark broadcasts it only if it is small. Only the id, the run and its
-    place are moved, never the text.
+    Runs of 1..max_words tokens come with the name to look up and no label. Pattern matches come with their
+    label and a name that no list holds, made from the id so that these rows spread over a shuffle.
     """
     tokens = _readable(df, id_col, text_col)
     tokens = tokens.withColumn("_tok", F.regexp_extract_all("_text", F.lit(NAME_TOKEN), F.lit(0)))
@@ -86,22 +87,69 @@ def gazetteer_entities(
     fields = [F.col("_tok").alias("t0"), F.slice("_gap", F.lit(1), F.col("_size")).alias("g0"), F.col("_before").alias("b")]
     for k in range(1, max_words):
         fields += [F.slice("_tok", F.lit(k + 1), F.col("_size")).alias(f"t{k}"), F.slice("_gap", F.lit(k + 1), F.col("_size")).alias(f"g{k}")]
-    rows = tokens.filter("_size > 0").select(id_col, F.inline(F.arrays_zip(*fields)))
+    listed = F.when(F.col("_size") > 0, F.arrays_zip(*fields))
+    if patterns:
+        none = F.lit(None).cast("string")
+        rest = [none.alias(f"{c}{k}") for k in range(1, max_words) for c in ("t", "g")]
+        listed = F.concat(
+            F.transform(
+                F.coalesce(listed, F.array()),
+                lambda z: F.struct(*[z[c].alias(c) for c in _token_fields(max_words)], none.alias("label")),
+            ),
+            F.transform(
+                F.when(F.col("_text").rlike(r"\d"), _pattern_arrays()).otherwise(F.from_json(F.lit("[]"), MENTION)),
+                lambda m: F.struct(
+                    m["text"].alias("t0"), F.lit("").alias("g0"), m["start"].cast("bigint").alias("b"), *rest, m["label"].alias("label")
+                ),
+            ),
+        )
+    rows = tokens.select(id_col, F.inline(listed))
+    if not patterns:
+        rows = rows.withColumn("label", F.lit(None).cast("string"))
     start = (F.col("b") + F.length("g0")).cast("int")
 
     def run(n: int) -> Column:
-        followers = [F.col(f"t{k}") for k in range(1, n)]
         linked = F.lit(True)
         for k in range(1, n):
             gap = F.col(f"g{k}")
             linked = linked & F.col(f"t{k}").isNotNull() & ((gap == " ") | gap.rlike(r"^(?U)\s+$"))
         entity = F.concat(F.col("t0"), *[c for k in range(1, n) for c in (F.col(f"g{k}"), F.col(f"t{k}"))])
-        name = F.lower(F.concat_ws(" ", F.col("t0"), *followers))
-        return F.when(linked, F.struct(name.alias("name"), entity.alias("entity"), start.alias("start")))
+        name = F.lower(F.concat_ws(" ", *[F.col(f"t{k}") for k in range(n)]))
+        if n == 1:
+            name = F.when(F.col("label").isNull(), name).otherwise(F.concat(F.lit("\n"), F.col(id_col).cast("string")))
+        return F.when(linked, F.struct(name.alias("name"), entity.alias("entity"), F.col("label").alias("found"), start.alias("start")))
+
+    runs = F.array(*[run(n) for n in range(1, max_words + 1)])
+    return rows.select(id_col, F.inline(runs)).filter("name is not null")
+
+
+def _token_fields(max_words: int) -> list[str]:
+    return ["t0", "g0", "b", *[f"{c}{k}" for k in range(1, max_words) for c in ("t", "g")]]
+
+
+def gazetteer_entities(
+    df: DataFrame, names: DataFrame, max_words: int = 2, id_col: str = "ticket_id", text_col: str = "text"
+) -> DataFrame:
+    """Mentions of listed names: runs of 1..max_words tokens equi-joined to the name table.
+
+    The name table may be of any size; Spark broadcasts it only if it is small. Only the id, the run and its
+    place are moved, never the text.
+    """
+    spots = _spots(df, max_words, id_col, text_col, patterns=False)
+    return spots.join(names, "name").select(id_col, "entity", F.col("label").alias("entity_type"), "start", _end())
+
 
-    spots = rows.select(id_col, F.inline(F.array(*[run(n) for n in range(1, max_words + 1)]))).filter("name is not null")
-    end = (F.col("start") + F.length("entity")).alias("end")
-    return spots.join(names, "name").select(id_col, "entity", F.col("label").alias("entity_type"), "start", end)
+def _end() -> Column:
+    return (F.col("start") + F.length("entity")).alias("end")
+
+
+def _patterns_and_names(df: DataFrame, names: DataFrame, max_words: int, id_col: str, text_col: str) -> DataFrame:
+    """Pattern and name mentions together, reading the texts once."""
+    spots = _spots(df, max_words, id_col, text_col, patterns=True)
+    return (
+        spots.join(names, "name", "left").withColumn("entity_type", F.coalesce("found", "label"))
+        .filter("entity_type is not null").select(id_col, "entity", "entity_type", "start", _end())
+    )
 
 
 def target_types(mentions: DataFrame, types: Iterable[str] = ENTITY_TYPES) -> DataFrame:
@@ -165,10 +213,10 @@ def entity_mentions(
     """One row per mention: (id, entity, entity_type, start, end). One shuffle, on the ticket id."""
     if extractor is not None:
         found = extractor(df)
-    else:
+    elif names is None:
         found = pattern_entities(df, id_col, text_col)
-        if names is not None:
-            found = found.unionByName(gazetteer_entities(df, names, max_words, id_col, text_col))
+    else:
+        found = _patterns_and_names(df, names, max_words, id_col, text_col)
     grouped = _grouped(target_types(found, types), id_col)
     if not flat:
         return grouped

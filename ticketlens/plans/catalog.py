@@ -30,6 +30,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Types of the given tables that are read by most queries, so that no file has to be opened to find them.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+}
+
+
 class Source:
     """The given tables and the tables derived from them."""
 
@@ -37,7 +47,8 @@ class Source:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        reader = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
+        return reader.parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def tickets(self) -> DataFrame:
@@ -122,11 +133,13 @@ class Source:
 
     def inputs(self, written: bool = False) -> rp.ReportInputs:
         """Report inputs; written ones are computed once for all the sections that read them."""
-        tickets = self.tickets.select("ticket_id", "created_at", "priority", "text")
-        parts = [self.topics, self.sentiment, self.entities, tickets]
-        if written:
-            parts = [materialise(p, n) for p, n in zip(parts, ("topics", "sentiment", "entities", "tickets"))]
-        return rp.ReportInputs(*parts)
+        if not written:
+            return rp.ReportInputs(self.topics, self.sentiment, self.entities, self.tickets.select("ticket_id", "created_at", "priority", "text"))
+        base = Source(self.spark, self.folder)
+        base.tickets = materialise(self.tickets, "tickets")
+        sentiment = materialise(base.sentiment, "sentiment")
+        entities = materialise(base.entities, "entities")
+        return rp.ReportInputs(base.topics, sentiment, entities, base.tickets.select("ticket_id", "created_at", "priority", "text"))
 
 
 def query(name: str, sql: str | None = None):
