@@ -68,6 +68,11 @@ def is_analyzable(cleaned: Column) -> Column:
     return F.length(F.trim(cleaned)) > 0
 
 
+def has_text(text: Column) -> Column:
+    """True when anything is left after the strip; stops at the first such character."""
+    return F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
+
+
 def long_enough(text: Column, n: int) -> Column:
     """True for texts of at least n characters after the strip; null counts as too short."""
     return F.coalesce(F.length(strip(text)) >= n, F.lit(False))
@@ -79,7 +84,7 @@ def min_length(df: DataFrame, n: int, text_col: str = "text") -> DataFrame:
 
 
 def drop_blank(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return min_length(df, 1, text_col)
+    return df.filter(has_text(F.col(text_col))).withColumn(text_col, strip(F.col(text_col)))
 
 
 def complaint_context(text: Column, extra_keywords: Iterable[str] = ()) -> Column:

@@ -57,7 +57,9 @@ def _pattern_arrays() -> Column:
 
 
 def _readable(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(id_col, tx.strip(F.col(text_col)).alias("_text")).filter(F.length("_text") >= MIN_TEXT_LENGTH)
+    # Through a generator, so that the filter reads the stripped text instead of stripping it again.
+    stripped = df.select(id_col, F.inline(F.array(F.struct(tx.strip(F.col(text_col)).alias("_text")))))
+    return stripped.filter(F.length("_text") >= MIN_TEXT_LENGTH)
 
 
 def gazetteer(*parts: tuple[DataFrame, str, str]) -> DataFrame:

@@ -15,6 +15,7 @@ from ticketlens.functions.wordlists import (
 )
 from ticketlens.operators.topics import topic_word_counts
 from ticketlens.operators.trends import daily_trend
+from ticketlens.session import small_table
 
 # --- Fixed values ---------------------------------------------------------------------
 REPORT_TITLE = "Weekly Customer Support Intelligence Report"
@@ -379,7 +380,7 @@ def report_facts(
         facts = facts.unionByName(part)
     skipped = {n for n, on in (("topic_words", include_wordclouds), ("entity_heatmap", include_heatmaps)) if not on}
     listed = [s for s in SECTIONS if s[1] not in skipped]
-    sections = inputs.spark.createDataFrame(listed, "section int, name string, missing string")
+    sections = small_table(inputs.spark, listed, "section int, name string, missing string")
     return sections.join(facts, "name", "left").select(
         "section", "name", F.coalesce("ord", F.lit(1)).alias("ord"), "key",
         F.when(F.col("ord").isNull(), F.col("missing")).otherwise(F.col("value")).alias("value"), "number",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions import text as tx
 from ticketlens.functions.wordlists import BOOSTERS_DOWN, BOOSTERS_UP, LEXICON, NEGATIONS
+from ticketlens.session import small_table
 
 # --- Fixed values: weights of the lexicon rules ---------------------------------------
 BOOST = 0.293
@@ -216,11 +217,12 @@ def lexicon_join_sentiment(
             fields += [F.get("_words", i - k).alias(f"w{k}"), F.get("_lower", i - k).alias(f"l{k}")]
         return F.struct(*fields)
 
+    # The outer form keeps the optimizer from testing the array before it is taken apart, by building it twice.
     rows = words.withColumn("_at", F.transform("_lower", around)).select(
-        id_col, "_n", "_caps", "_but", "_e0", F.inline("_at")
+        id_col, "_n", "_caps", "_but", "_e0", F.inline_outer("_at")
     )
     hit = lexicon.join(
-        lexicon.sparkSession.createDataFrame([(w,) for w in (*BOOSTERS_UP, *BOOSTERS_DOWN)], "token string"), "token", "left_anti"
+        small_table(lexicon.sparkSession, [(w,) for w in (*BOOSTERS_UP, *BOOSTERS_DOWN)], "token string"), "token", "left_anti"
     ).withColumnRenamed("token", "l0")
     hits = rows.join(hit, "l0")
     for k in (1, 2, 3):

@@ -44,10 +44,9 @@ def validate_tickets(df: DataFrame, text_col: str = "text", observation: Observa
     An observation receives the number of rows read and of rows with text, without a second pass.
     """
     require_columns(df, [text_col])
-    df = df.withColumn(text_col, tx.strip(F.col(text_col)))
     if observation is not None:
-        df = df.observe(observation, F.count("*").alias("rows_in"), F.count_if(F.length(text_col) > 0).alias("rows_with_text"))
-    return df.filter(F.length(text_col) > 0).distinct()
+        df = df.observe(observation, F.count("*").alias("rows_in"), F.count_if(tx.has_text(F.col(text_col))).alias("rows_with_text"))
+    return tx.drop_blank(df, text_col).distinct()
 
 
 def validation_counts(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions import text as tx
 from ticketlens.functions.wordlists import STOP_WORDS
+from ticketlens.session import small_table
 
 # --- Fixed values ---------------------------------------------------------------------
 TOP_N_WORDS = 10
@@ -224,8 +225,8 @@ def _merges(similarity: DataFrame, max_topics: int) -> list[tuple[int, int, int,
 
 def topic_hierarchy(similarity: DataFrame, max_topics: int = 500) -> DataFrame:
     """(step, parent_id, left_id, right_id, distance): merge tree over the small topic table."""
-    return similarity.sparkSession.createDataFrame(
-        _merges(similarity, max_topics), "step int, parent_id bigint, left_id bigint, right_id bigint, distance double"
+    return small_table(
+        similarity.sparkSession, _merges(similarity, max_topics), "step int, parent_id bigint, left_id bigint, right_id bigint, distance double"
     )
 
 
@@ -236,7 +237,7 @@ def reduce_topics(assignment: DataFrame, similarity: DataFrame, n_topics: int, m
     for _, parent, left, right, _ in merges[: max(len(merges) + 1 - n_topics, 0)]:
         members[parent] = members.pop(left, [left]) + members.pop(right, [right])
     moved = [(int(old), int(new)) for new, olds in members.items() for old in olds]
-    mapping = assignment.sparkSession.createDataFrame(moved, "topic int, _new int")
+    mapping = small_table(assignment.sparkSession, moved, "topic int, _new int")
     merged = assignment.join(F.broadcast(mapping), "topic", "left").withColumn("topic", F.coalesce("_new", "topic")).drop("_new")
     return renumber_by_size(merged)
 
@@ -266,7 +267,7 @@ def topic_word_counts(
     if texts is not None:
         chosen = chosen.drop(text_col).join(texts.select("ticket_id", text_col), "ticket_id", "left")
     words = with_terms(chosen.select(label_col, text_col), text_col, stop_words, max_n=1)
-    counts = words.select(F.col(label_col).alias("topic_label"), F.explode("terms").alias("word")).groupBy("topic_label", "word").agg(
+    counts = words.select(F.col(label_col).alias("topic_label"), F.explode_outer("terms").alias("word")).filter("word is not null").groupBy("topic_label", "word").agg(
         F.count("*").alias("count")
     )
     order = W.partitionBy("topic_label").orderBy(F.desc("count"), "word")

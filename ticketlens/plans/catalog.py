@@ -22,7 +22,7 @@ from ticketlens.operators import trends as tr
 from ticketlens.plans import oracle as orc
 from ticketlens.plans.oracle import _clean, _hybrid, _label, _mean, _pct, _strip, compose
 from ticketlens.plans.weekly import WeeklyConfig, run_weekly
-from ticketlens.session import materialise, scratch_path, spread
+from ticketlens.session import materialise, scratch_path, small_table, spread
 from ticketlens.sources import readers, writers
 from ticketlens.sources.sample import CATEGORIES, CHANNELS, ticket_source
 
@@ -80,7 +80,7 @@ class Source:
 
     @cached_property
     def names(self) -> DataFrame:
-        extra = self.spark.createDataFrame([("legal",), ("safety",)], "name string")
+        extra = small_table(self.spark, [("legal",), ("safety",)], "name string")
         return en.gazetteer(
             (self.table("part"), "p_name", "PRODUCT"), (self.table("nation"), "n_name", "GPE"), (self.table("supplier"), "s_name", "ORG"),
             (self.table("customer"), "c_name", "PERSON"), (extra, "name", "ORG"),
@@ -660,7 +660,7 @@ def _(s):
 
 @query("lexicon_join_sentiment", "SELECT id AS ticket_id, lex_pos, lex_neg, lex_neu, lex_compound FROM t_scores")
 def _(s):
-    lexicon = s.spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
+    lexicon = small_table(s.spark, list(LEXICON.items()), "token string, valence double")
     cleaned = s.tickets.select("ticket_id", tx.clean(F.col("text"), False).alias("clean"))
     return se.lexicon_join_sentiment(cleaned, lexicon, negations=NEGATIONS)
 

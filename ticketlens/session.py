@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "*", app: str = "ticketlens") -> SparkSession:
@@ -53,3 +55,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal out a table that arrives in fewer pieces than there are cores; larger ones are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a constant of the plan. Unlike rows handed over from Python, their size is known to the
+    planner, so that joins with them need no shuffle."""
+    names = [field.strip().split(" ")[0] for field in schema.split(",")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    fields = ", ".join(field.strip().replace(" ", ": ", 1) for field in schema.split(","))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
