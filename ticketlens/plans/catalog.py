@@ -67,7 +67,7 @@ class Source:
         text = (
             F.when(kind == 0, F.lit(None)).when(kind == 1, "").when(kind == 2, "   ").when(kind == 3, " x ")
             .when(kind == 4, F.concat(F.lit("\t"), "text", F.lit("\n\n")))
-            .when(kind == 5, F.replace("text", F.lit(" "), F.lit("  ")))
+            .when(kind == 5, F.replace("text", F.lit(" "), F.lit("\u00a0 ")))
             .when(kind == 6, F.concat(F.lit("\x01"), "text", F.lit("\x7f")))
             .when(kind == 7, " ab").otherwise(F.col("text"))
         )
