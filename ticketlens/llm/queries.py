@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ticketlens.llm import langid
+from ticketlens.llm.fingerprints import compare_with_next
 from ticketlens.llm.frames import read
 from ticketlens.llm.neardup import near_duplicates
+from ticketlens.llm.pieces import encode_documents
+from ticketlens.llm.quality import quality_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +24,34 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def piece_model() -> str:
+    """Where the SentencePiece model lies on the machine that asks."""
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return compare_with_next(read(spark, folder, "documents"))
+
+
+@query
+def op6_sentencepiece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(read(spark, folder, "documents"), piece_model)
+
+
 @query
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_verdicts(read(spark, folder, "documents"))
+
+
+@query
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    held_out = F.coalesce(langid.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    net = langid.train(documents.filter(~held_out))
+    return langid.identify(documents, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
