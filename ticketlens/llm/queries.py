@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import langid
+from ticketlens.llm import langid, mixing, secrets
 from ticketlens.llm.fingerprints import compare_with_next
 from ticketlens.llm.frames import read
 from ticketlens.llm.neardup import near_duplicates
@@ -34,11 +34,28 @@ def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_with_next(read(spark, folder, "documents"))
 
 
+@query
+def op5_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    queued = mixing.queue(read(spark, folder, "documents"))
+    return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+ORACLES["op5_mixing_sources"] = mixing.ORACLE
+
+
 @query
 def op6_sentencepiece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(read(spark, folder, "documents"), piece_model)
 
 
+@query
+def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digests(secrets.scan(read(spark, folder, "documents")))
+
+
+ORACLES["op7_secret_scans"] = secrets.oracle()
+
+
 @query
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"))
