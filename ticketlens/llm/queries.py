@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import langid, mixing, secrets
+from ticketlens.llm import langid, mixing, secrets, toxicity
 from ticketlens.llm.fingerprints import compare_with_next
 from ticketlens.llm.frames import read
 from ticketlens.llm.neardup import near_duplicates
@@ -34,6 +34,16 @@ def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_with_next(read(spark, folder, "documents"))
 
 
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    labels = read(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    learnt = labels.filter(~toxicity.held_out(F.col("id")) & F.col("label").isNotNull())
+    model = toxicity.train(documents.join(learnt, F.col("doc_id") == F.col("id")).select("text", "label"))
+    scores = toxicity.score(documents, model)
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op5_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     queued = mixing.queue(read(spark, folder, "documents"))
