@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import langid, mixing, secrets, toxicity
+from ticketlens.llm import langid, mixing, secrets, toxicity, warc
 from ticketlens.llm.fingerprints import compare_with_next
 from ticketlens.llm.frames import read
 from ticketlens.llm.neardup import near_duplicates
 from ticketlens.llm.pieces import encode_documents
 from ticketlens.llm.quality import quality_verdicts
+from ticketlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +45,16 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query
+def op4_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(warc.records(read(spark, folder, "pages")), path)
+    return warc.capture_digests(warc.assemble(warc.read(spark, path)))
+
+
+ORACLES["op4_warc_transactions"] = warc.ORACLE
+
+
 @query
 def op5_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     queued = mixing.queue(read(spark, folder, "documents"))
