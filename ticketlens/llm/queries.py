@@ -14,6 +14,7 @@ from ticketlens.llm.frames import read
 from ticketlens.llm.neardup import near_duplicates
 from ticketlens.llm.pieces import encode_documents
 from ticketlens.llm.quality import quality_verdicts
+from ticketlens.llm.token_counts import Vocabulary, count_tokens
 from ticketlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,15 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_vocabulary() -> Vocabulary:
+    return Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(read(spark, folder, "documents"), byte_vocabulary)
+
+
 @query
 def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_with_next(read(spark, folder, "documents"))
