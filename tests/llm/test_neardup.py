@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from ticketlens.llm.neardup import NearDup, near_duplicates
+from ticketlens.llm.neardup import NearDup, keep_one, near_duplicates
 
 SCHEMA = "doc_id bigint, text string, kept string, component_id string"
 
@@ -61,6 +61,11 @@ def answer(spark, rows, plan=NearDup()):
 def test_groups_of_near_copies(spark, edits):
     rows = corpus(edits, 12, 12, edits)
     assert answer(spark, rows) == brute(rows)
+    if edits == 2:
+        docs = spark.createDataFrame(rows, SCHEMA)
+        kept = keep_one(docs)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in brute(rows) if r[3])
 
 
 def test_a_large_group_spans_several_tiles(spark, monkeypatch):

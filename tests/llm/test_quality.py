@@ -2,7 +2,7 @@ from collections import Counter
 
 import pytest
 
-from ticketlens.llm.quality import QualityRules, host_rates, quality_verdicts
+from ticketlens.llm.quality import QualityRules, host_rates, keep_good, quality_verdicts
 
 SCHEMA = "doc_id bigint, text string, source string, host string, kept string, n_words string"
 
@@ -43,6 +43,10 @@ def test_bad_hosts(spark):
     assert not any(got[i] for i in range(40)) and all(got[100 + i] for i in range(5))
     assert all(v for k, v in got.items() if 200 <= k < 900) and got[901]
     assert len(got) == len(rows)
+    docs = spark.createDataFrame([(*r, "1", 2) for r in rows], "doc_id bigint, text string, source string, host string, n_words int")
+    out = keep_good(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.fillna("", "source").collect()) == sorted((*r[:2], r[2] or "", "1", 2) for r in rows if got[r[0]])
 
 
 def test_shrinkage(spark):
@@ -54,4 +58,5 @@ def test_shrinkage(spark):
 
 
 def test_empty(spark):
-    assert quality_verdicts(spark.createDataFrame([], SCHEMA)).collect() == []
+    none = spark.createDataFrame([], SCHEMA)
+    assert quality_verdicts(none).collect() == [] and keep_good(none).collect() == []

@@ -237,3 +237,11 @@ def near_duplicates(documents: DataFrame, plan: NearDup = NearDup()) -> DataFram
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     )
+
+
+def keep_one(documents: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
+    """The rows of ``documents`` that ``near_duplicates`` keeps, with all their columns: of each group the row with the smallest doc_id
+    (each of its copies, if a row is repeated)."""
+    dropped = near_duplicates(documents, plan).filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    dropped = materialise(dropped, "neardup-dropped")
+    return documents.join(small(dropped, dropped.count()), documents["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
