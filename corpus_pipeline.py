@@ -3,20 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ticketlens.llm.neardup import near_duplicates
+from ticketlens.llm.mixing import mix
+from ticketlens.llm.neardup import keep_one
+from ticketlens.llm.pieces import encode_documents
+from ticketlens.llm.quality import keep_good
+from ticketlens.llm.queries import piece_model
+from ticketlens.llm.secrets import redact
 from ticketlens.session import materialise
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return keep_good(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies."""
-    dropped = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(dropped, docs.doc_id.eqNullSafe(dropped.id), "left_anti")
+    """The document with the smallest id of each group of near copies stays."""
+    return keep_one(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text become a marker."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    return mix(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per mixed document with its ids."""
+    return encode_documents(docs, piece_model, with_ids=True)
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
+    ("secret_scans", secret_scans),
+    ("mixing", mixing),
+    ("encoding", encoding),
 ]
 
 #: SentencePiece ids cannot be computed in SQL.
