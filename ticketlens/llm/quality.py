@@ -162,3 +162,30 @@ def keep_good(documents: DataFrame, rules: QualityRules = QualityRules(), text:
     rows = rows.select("row", F.col("row")[host].alias("host"), rules.failed().alias("failed"), rules.faulty().alias("fault"))
     kept = rows.filter("not failed").join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left").filter(F.col("bad").isNull() | ~F.col("fault"))
     return kept.select("row.*")
+
+
+ORACLE = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents),
+w AS (SELECT row, i, array_to_string(words[i:i + 7], ' ') AS run FROM (SELECT row, words, unnest(range(1, len(words) - 6)) AS i FROM d)),
+c AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, run) AS n FROM w) WHERE n > 1),
+r AS (SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM c, range(8) x(k) GROUP BY row),
+m AS (
+  SELECT row, doc_id, source, len(words) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN r USING (row)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+f AS (
+  SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS fault
+  FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (fault) AS faults FROM f GROUP BY source),
+p AS (SELECT avg(faults / n) AS m, var_pop(faults / n) AS v FROM h),
+k AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) > 2 * v THEN m * (1 - m) / v - 1 ELSE 1 END AS k FROM p),
+g AS (SELECT source, (faults + m * k) / (n + k) > 0.5 AS bad FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (bad AND fault) AS kept
+FROM f JOIN g ON f.source IS NOT DISTINCT FROM g.source
+"""

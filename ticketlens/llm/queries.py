@@ -13,6 +13,7 @@ from ticketlens.llm.fingerprints import compare_with_next
 from ticketlens.llm.frames import read
 from ticketlens.llm.neardup import near_duplicates
 from ticketlens.llm.pieces import encode_documents
+from ticketlens.llm.quality import ORACLE as QUALITY_ORACLE
 from ticketlens.llm.quality import quality_verdicts
 from ticketlens.llm.token_counts import Vocabulary, count_tokens
 from ticketlens.session import scratch_path
@@ -97,6 +98,9 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_verdicts(read(spark, folder, "documents"))
 
 
+ORACLES["op9_quality_rules"] = QUALITY_ORACLE
+
+
 @query
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
