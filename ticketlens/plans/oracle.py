@@ -13,7 +13,7 @@ from ticketlens.functions.wordlists import (
     NEGATIONS, STOP_WORDS,
 )
 from ticketlens.operators import report as rp
-from ticketlens.sources.sample import ACTIONS, CATEGORIES, CHANNELS, ERRORS, FEATURES, PRIORITIES
+from ticketlens.sources.sample import CATEGORIES, CHANNELS, DEVICES, MOMENTS, PRIORITIES, SCREENS
 
 
 def _q(text: str) -> str:
@@ -66,10 +66,9 @@ _SLOTS = {
     "product": "coalesce(p_name, 'item')",
     "org": "coalesce(s_name, 'your shop')",
     "place": "coalesce(n_name, 'my city')",
-    "feature": f"{_list(FEATURES)}[turn % {len(FEATURES)} + 1]",
-    "error": f"{_list(ERRORS)}[turn % {len(ERRORS)} + 1]",
-    "action": f"{_list(ACTIONS)}[(turn // 3) % {len(ACTIONS)} + 1]",
-    "version": "'v' || CAST(o_orderkey % 3 + 3 AS VARCHAR) || '.' || CAST(o_orderkey % 10 AS VARCHAR) || '.' || CAST(o_orderkey % 21 AS VARCHAR)",
+    "screen": f"{_list(SCREENS)}[turn % {len(SCREENS)} + 1]",
+    "device": f"{_list(DEVICES)}[turn % {len(DEVICES)} + 1]",
+    "moment": f"{_list(MOMENTS)}[(turn // 3) % {len(MOMENTS)} + 1]",
 }
 _text = f"{_list([t for _, _, texts in CATEGORIES for t in texts])}[cat * 8 + turn % 8 + 1]"
 for _name, _sql in _SLOTS.items():
@@ -268,7 +267,7 @@ _cte("summary", f"""
 
 
 _advice_leading = (
-    "'Focus resources on ''' || top_topic || ''' — the leading complaint category accounts for ' || top_topic_pct "
+    "'Focus resources on ''' || top_topic || ''' — the leading complaint category accounting for ' || top_topic_pct "
     "|| ' of all tickets (' || format('{:,}', top_topic_count) || ' tickets).'"
 )
 _cte("advice", f"""

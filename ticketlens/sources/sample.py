@@ -5,64 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Category, upper bound of its share on a 0..19 key scale (.20/.20/.20/.25/.15), and its eight texts.
-CATEGORIES = (
-    ("billing", 4, (
-        "Order {order} was billed twice and ${amount} is missing from my account. This is unacceptable and I am very upset!",
-        "Please send the invoice for {order} dated {date}, the total of ${amount} looks wrong.",
-        "{person} asked for a refund of ${amount} on {date} and nothing happened. AWFUL service, I am furious!!!",
-        "Thanks for the quick refund of ${amount} on order {order}, your billing desk was extremely helpful.",
-        "My card shows a charge of {amount} dollars from {org} that I never made, is this fraud?",
-        "The new price of {amount} USD is not good, but the support from {person} was really great.",
-        "Why does the renewal cost ${amount} for {days} days?? The fee is unfair and confusing.",
-        "I would like to move the payment date of {order} to {date}.",
-    )),
-    ("shipping", 8, (
-        "Parcel {order} should have reached {place} by {date} but it is still missing.",
-        "The {product} from {org} arrived fast and the courier was friendly. Great job!",
-        "The box with my {product} came damaged and dirty. Terrible packing, absolutely disgusting!!",
-        "Where is {order}? It has been {days} days and the tracking page is stuck.",
-        "Delivery to {place} was delayed by {days} days, this is the worst carrier and I hate the rude driver.",
-        "Can {order} be sent to {place} instead of the old address?",
-        "The shipment was not late and the driver was polite, I am pleased.",
-        "Order {order} was lost, {person} promised an answer by {date} and never called.",
-    )),
-    ("product_quality", 12, (
-        "The {product} is broken after {days} days, a really poor and worthless thing.",
-        "I love this {product}, it is excellent and very easy to use!",
-        "The {product} from {org} smells awful and seems unsafe. Please tell your Safety team.",
-        "My {product} does not match the picture, the colour is wrong and parts are missing.",
-        "The {product} is good but the cover is defective.",
-        "Bought a {product} for ${amount}: GREAT quality, I recommend it.",
-        "This {product} is USELESS trash, {org} is a disgraceful maker and I want to file a complaint!",
-        "Is there a manual for the {product} in stock at {place}?",
-    )),
-    ("technical_support", 17, (
-        "I cannot log in since {date}, the reset mail is never sent.",
-        "The {feature} page fails with {error} whenever I {action}, this is slightly annoying.",
-        "Version {version} is slow and the {feature} view is stuck. So frustrated!",
-        "Your fix for {error} works, thank you {person}, that was a prompt and useful answer.",
-        "How do I {action} from the {feature} page?",
-        "After {days} days the {feature} problem is still not resolved. Horrible, horrible support and a stupid bot!!!",
-        "The update to {version} is a wonderful improvement, {feature} is smooth and fast.",
-        "Our team in {place} gets {error} when we {action}, please help before {date}.",
-    )),
-    ("returns", 20, (
-        "I want to return the {product} from order {order}, how do I get a label?",
-        "The return of my {product} was refused after {days} days. Your policy is unfair and the agent was extremely rude.",
-        "{org} sent the wrong {product}, I need an exchange by {date}.",
-        "Refund of ${amount} for {order} came back within {days} days, I am very happy with the service.",
-        "I sent the {product} back to {place} and only {amount} USD was credited. Our Legal desk will start a lawsuit!",
-        "The return page is confusing, but {person} was patient and made it easy.",
-        "Never received the money for my returned {product}. Angry and disappointed, the worst shop I know!",
-        "Can I return a gift without the number of the order?",
-    )),
-)
+# --- Fixed values: categories with the upper bound of their share on a 0..19 key scale, channels and priorities ---------
+CATEGORY_SHARES = (("billing", 4), ("shipping", 8), ("product_quality", 12), ("technical_support", 17), ("returns", 20))
 CHANNELS = (("email", 6), ("chat", 11), ("phone", 14), ("web_form", 18), ("social_media", 20))
 PRIORITIES = (("low", 3), ("medium", 11), ("high", 17), ("urgent", 20))
-FEATURES = ("search", "reports", "inbox", "calendar", "profile", "export", "alerts")
-ERRORS = ("E-101 LOGIN", "E-204 TIMEOUT", "E-305 SYNC", "E-417 FORMAT", "E-509 LIMIT")
-ACTIONS = ("save a draft", "upload a picture", "share a link", "change my password")
+
+# Eight letters of a fictional club shop for each category.
+TEXTS = {
+    "billing": (
+        "Our treasurer needs a stamped receipt for {order} from {date}, the amount is ${amount}.",
+        "The raffle voucher over ${amount} was thrown away by {person}. Horrible, horrible behaviour, I am furious!!!",
+        "{person} found a nice discount of {amount} USD for our choir, thank you so much!",
+        "Could {org} split ${amount} into {days} small payments for the orchestra?",
+        "Two of my bonus points are missing on {date}, is that an error?",
+        "The membership is not cheap at ${amount}, but the garden evenings are really wonderful.",
+        "A donation of {amount} dollars went to the harbour street depot and nobody wrote a note, this is disgraceful and I am angry!",
+        "Which currency did {place} use for the tombola on {date}?",
+    ),
+    "shipping": (
+        "The pallet for {place} waits behind the blue gate, the code is 4711.",
+        "{person} carried the {product} up four floors and smiled, an outstanding courier!",
+        "The crate with the {product} was opened by a fox. Absolutely disgusting, the straw is dirty!!",
+        "May the van of {org} ring at the bakery after {date}?",
+        "For {days} days the ferry to {place} did not sail, what a terrible and hopeless timetable, I hate it.",
+        "Please write {order} on the lid in green ink.",
+        "The bicycle messenger was never rude and quite fast, we are pleased.",
+        "A goat ate the label of {order}, so the harbour street depot lost it.",
+    ),
+    "product_quality": (
+        "Paint flakes off the {product} like snow, a really poor and worthless toy.",
+        "My grandmother loves the {product}, it is excellent for her balcony!",
+        "The {product} by {org} hums at night and the Safety officer of our school wants to see it.",
+        "Only the left half of the {product} is dyed, the seam is broken.",
+        "The {product} feels good in the hand but its bell is awful.",
+        "We gave ${amount} for the {product}: a GREAT birthday present, I recommend it.",
+        "This {product} is USELESS trash, {org} should be ashamed, here is my formal complaint!",
+        "Does the {product} float, and may it swim in {place}?",
+    ),
+    "technical_support": (
+        "On {moment} the {screen} shows last year's concert.",
+        "With {device} the {screen} flickers {moment}, this is slightly annoying.",
+        "Our club gave up: the {screen} turns pink on {device}. So frustrated!",
+        "{person} drew a clear sketch of the {screen} for us, that was prompt and useful.",
+        "Is there a larger font for the {screen} on {device}?",
+        "For {days} days the {screen} speaks Latin. Horrible, horrible machine and a stupid parrot!!!",
+        "The {screen} with captions is a wonderful idea, smooth and easy {moment}.",
+        "The choir of {place} sings to the {screen} {moment}, may it record until {date}?",
+    ),
+    "returns": (
+        "Where do we drop the {product} of {order}, at the harbour street depot?",
+        "After {days} days in the cellar nobody took the {product} back. The clerk was extremely rude and unfair.",
+        "{org} swapped our {product} for a drum, an exchange until {date} would do.",
+        "On day {days} the refund of ${amount} for {order} lay in the letter box, I am very happy.",
+        "{place} kept the {product} and gave {amount} USD to a circus. Our Legal adviser prepares a lawsuit!",
+        "The form for sending things home is confusing, but {person} was patient and friendly.",
+        "My twin returned the {product} as a joke. Angry, disappointed, the worst prank I know!",
+        "Will the museum shop accept an unopened gift?",
+    ),
+}
+CATEGORIES = tuple((name, bound, TEXTS[name]) for name, bound in CATEGORY_SHARES)
+SCREENS = ("timeline", "seat map", "wish list", "photo wall", "recipe box", "guest book", "playlist")
+DEVICES = ("a tablet", "an old phone", "the kitchen radio", "a smart watch", "a borrowed laptop")
+MOMENTS = ("before breakfast", "during the match", "after midnight", "on the train")
 
 
 def _by_bound(key: Column, choices: tuple[tuple[str, int], ...]) -> Column:
@@ -128,12 +132,9 @@ def ticket_source(
         "product": F.coalesce("product", F.lit("item")),
         "org": F.coalesce("org", F.lit("your shop")),
         "place": F.coalesce("place", F.lit("my city")),
-        "feature": _pick(FEATURES, turn % len(FEATURES)),
-        "error": _pick(ERRORS, turn % len(ERRORS)),
-        "action": _pick(ACTIONS, _div(turn, 3) % len(ACTIONS)),
-        "version": F.concat(
-            F.lit("v"), (key % 3 + 3).cast("string"), F.lit("."), (key % 10).cast("string"), F.lit("."), (key % 21).cast("string")
-        ),
+        "screen": _pick(SCREENS, turn % len(SCREENS)),
+        "device": _pick(DEVICES, turn % len(DEVICES)),
+        "moment": _pick(MOMENTS, _div(turn, 3) % len(MOMENTS)),
     }
     text = _pick(templates, F.col("category_index") * 8 + turn % 8)
     for name, value in slots.items():
