@@ -54,7 +54,7 @@ def test_total_counts_the_largest_table_unless_told(frames, spark):
 def test_negative_share_of_exactly_thirty_percent_is_no_finding(frames):
     texts = [r["recommendation"] for r in rp.recommendations(frames).orderBy("ord").collect()]
     assert len(texts) == 3
-    assert texts[0] == "Focus resources on 'T0' — the leading complaint category accounts for 40.0% of all tickets (4 tickets)."
+    assert texts[0] == "Focus resources on 'T0' — the leading complaint category accounting for 40.0% of all tickets (4 tickets)."
     assert texts[1].startswith("4 tickets (40.0%) were flagged") and texts[2].startswith("The top 3 complaint categories cover 100.0%")
 
 

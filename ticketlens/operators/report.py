@@ -25,7 +25,7 @@ OTHER = "Other"
 NO_TOPIC = "N/A"
 NEGATIVE_SHARE = 30
 LEADING_TOPICS = 3
-ADVICE_LEADING = "Focus resources on '%s' — the leading complaint category accounts for %s of all tickets (%,d tickets)."
+ADVICE_LEADING = "Focus resources on '%s' — the leading complaint category accounting for %s of all tickets (%,d tickets)."
 ADVICE_NEGATIVE_MEAN = (
     "Overall average sentiment is negative (%.2f). "
     "Investigate systemic service gaps driving customer dissatisfaction."
@@ -287,19 +287,19 @@ def recommendations(inputs: ReportInputs, total: str = "largest", summary: DataF
     return row.select(F.posexplode(listed).alias("ord", "recommendation")).withColumn("ord", F.col("ord") + 1)
 
 
-# Report sections: number, name, and what is written where a section has no rows.
+# --- Fixed values: report sections, with what is written where one has no rows ---------
 SECTIONS = (
     (1, "executive_summary", "No data available"),
     (2, "topic_bar", "No topic data available"),
     (2, "topic_pie", "No topic data available"),
-    (2, "topic_words", "No text data for topics"),
+    (2, "topic_words", "No words to count"),
     (3, "sentiment_distribution", "No sentiment labels available"),
     (3, "sentiment_trend", "Insufficient data for daily trend"),
     (3, "sentiment_by_topic", "Insufficient data for topic-sentiment comparison"),
     (4, "entity_bar", "No entity data available"),
     (4, "entity_by_type", "No entity type data available"),
     (4, "entity_heatmap", "Not enough variety for entity co-occurrence heatmap"),
-    (5, "critical_alerts", "No critical alerts in this period"),
+    (5, "critical_alerts", "No critical alerts this period."),
     (6, "recommendations", "No recommendations"),
 )
 
