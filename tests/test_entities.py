@@ -123,3 +123,31 @@ def test_copies_of_one_ticket_give_their_pairs_once(spark):
     rows = [(str(i), e) for i in range(500) for e in ("a", "b", "c")]
     out = en.co_occurrence(spark.createDataFrame(rows, "ticket_id string, entity string")).collect()
     assert sorted((r["entity_a"], r["entity_b"], r["count"]) for r in out) == [("a", "b", 500), ("a", "c", 500), ("b", "c", 500)]
+
+
+def test_names_as_users_write_them(spark):
+    listed = ["acme co.", "red widget", "o'neill-smith", "new york city", "the very large blue bolt", "customer#0001", "c++", "at&t"]
+    names = spark.createDataFrame([(n, "ORG") for n in listed], "name string, label string")
+    text = (
+        "Acme Co. sent 'red widget' and the red widget's lid, red widget- and (RED  WIDGET). O'Neill-Smith of New\tYork City likes "
+        "the very large blue bolt; Customer#0001, C++ and AT&T. Not: redwidget, red widgets, customer#00012, new york, xc++, o'neill"
+    )
+    got = en.gazetteer_entities(spark.createDataFrame([("1", text), ("2", None), ("3", "acme co.")], "ticket_id string, text string"), names).collect()
+    assert all(text[r["start"] : r["end"]] == r["entity"] for r in got if r["ticket_id"] == "1")
+    assert sorted(r["entity"].lower() for r in got if r["ticket_id"] == "1") == sorted([
+        "acme co.", "red widget", "red widget", "red widget", "red  widget", "o'neill-smith", "new\tyork city", "the very large blue bolt",
+        "customer#0001", "c++", "at&t",
+    ])
+    assert [r["ticket_id"] for r in got if r["ticket_id"] != "1"] == ["3"]
+
+
+def test_many_amounts_in_one_text(spark):
+    text = " and ".join(f"${i}.50" for i in range(20_000))
+    rows = en.pattern_entities(spark.createDataFrame([("1", text)], "ticket_id string, text string")).collect()
+    assert len(rows) == 20_000 and all(text[r["start"] : r["end"]] == r["entity"] for r in rows)
+
+
+def test_complaint_words_are_literal(spark):
+    df = spark.createDataFrame([("it Broke a+b",), ("a REFUND",), ("fine",), (None,)], "text string")
+    got = [r[0] for r in df.select(en.tx.complaint_context(F.col("text"), ["a+b", "x\\Ey"])).collect()]
+    assert got == [True, True, False, False]

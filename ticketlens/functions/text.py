@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +30,10 @@ _NFKC_OPEN = r"[\x{80}-\x{BF}\x{100}-\x{2011}\x{2017}\x{2020}-\x{10FFFF}]"
 _SPACE = r"[\s\x1c-\x1f]"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_python(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _nfkc_python(texts: pa.Array) -> pa.Array:
+    # Arrow's own utf8_normalize leaves some letters and marks apart that NFKC joins.
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def nfkc(text: Column) -> Column:
@@ -89,11 +90,8 @@ def drop_blank(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def complaint_context(text: Column, extra_keywords: Iterable[str] = ()) -> Column:
     """True when any complaint keyword occurs anywhere in the text, also inside words."""
-    lowered = F.lower(fill_text(text))
-    found = F.lit(False)
-    for keyword in (*COMPLAINT_KEYWORDS, *extra_keywords):
-        found = found | F.contains(lowered, F.lit(keyword))
-    return found
+    words = [k for k in (*COMPLAINT_KEYWORDS, *extra_keywords)]
+    return F.lower(fill_text(text)).rlike("|".join("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in words))
 
 
 def parse_money(amount: Column) -> Column:

@@ -18,8 +18,8 @@ PRODUCT_REASON = "product_mentioned_in_complaint"
 AMOUNT_REASON = "high_value_amount_%.2f"
 
 MENTION = "array<struct<text:string,label:string,start:int,end:int>>"
-# Tokens of names: letters, digits and the signs that occur inside names.
-NAME_TOKEN = r"[\p{L}\p{N}_#&'-]+"
+# Tokens of names and texts alike: words, and every other sign by itself.
+NAME_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85]"
 
 
 def pattern_mentions(text: Column, pattern: str, label: str) -> Column:
@@ -29,19 +29,14 @@ def pattern_mentions(text: Column, pattern: str, label: str) -> Column:
     so equal matches get their own offsets.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    lengths = F.transform(
-        F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("p"), matches.alias("m")),
-        lambda z: F.struct(z["m"].alias("m"), F.length(z["p"]).alias("gap"), F.length(z["m"]).alias("len")),
-    )
-    empty = F.from_json(F.lit("[]"), MENTION)
-    def add(acc: Column, z: Column) -> Column:
-        start = F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)) + z["gap"]
-        return F.concat(
-            acc, F.array(F.struct(z["m"].alias("text"), F.lit(label).alias("label"), start.alias("start"), (start + z["len"]).alias("end")))
-        )
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda p: F.length(p).cast("bigint"))
+    before = ax.running_total(F.zip_with(gaps, matches, lambda g, m: g + F.length(m)))
 
-    return F.aggregate(lengths, empty, add)
+    def mention(z: Column) -> Column:
+        start = (z["before"] + z["gap"]).cast("int")
+        return F.struct(z["m"].alias("text"), F.lit(label).alias("label"), start.alias("start"), (start + F.length(z["m"])).alias("end"))
+
+    return F.transform(F.arrays_zip(before.alias("before"), gaps.alias("gap"), matches.alias("m")), mention)
 
 
 def pattern_entities(df: DataFrame, id_col: str = "ticket_id", text_col: str = "text") -> DataFrame:
@@ -63,94 +58,51 @@ def _readable(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def gazetteer(*parts: tuple[DataFrame, str, str]) -> DataFrame:
-    """(name, label) from tables: each part is (table, name column, label)."""
+    """(name, label) from tables: each part is (table, name column, label). Names are compared in lower case, with single blanks."""
     out = None
     for table, column, label in parts:
-        names = table.select(F.lower(F.trim(column)).alias("name"), F.lit(label).alias("label"))
+        names = table.select(F.lower(tx.collapse_ws(F.col(column))).alias("name"), F.lit(label).alias("label"))
         out = names if out is None else out.unionByName(names)
     return out.filter(F.length("name") >= MIN_TEXT_LENGTH).distinct()
 
 
-def _spots(df: DataFrame, max_words: int, id_col: str, text_col: str, patterns: bool) -> DataFrame:
-    """(id, name, entity, label, start) of all that may be a mention, from one pass over the texts.
-
-    Runs of 1..max_words tokens come with the name to look up and no label. Pattern matches come with their
-    label and a name that no list holds, made from the id so that these rows spread over a shuffle.
-    """
-    tokens = _readable(df, id_col, text_col)
-    tokens = tokens.withColumn("_tok", F.regexp_extract_all("_text", F.lit(NAME_TOKEN), F.lit(0)))
-    tokens = tokens.withColumn("_gap", F.split("_text", NAME_TOKEN, -1)).withColumn("_size", F.size("_tok"))
-    # Lengths of gap, token, gap, token, ... give every token its place.
+def _token_rows(df: DataFrame, longest: Column, id_col: str, text_col: str) -> DataFrame:
+    """(id, head, start, pieces) of every token: in lower case, its place, and the tokens from it on with the blanks behind each,
+    as many as the longest name has."""
+    texts = _readable(df, id_col, text_col).withColumn("_longest", longest)
+    texts = texts.withColumn("_tok", F.regexp_extract_all("_text", F.lit(NAME_TOKEN), F.lit(0)))
+    texts = texts.withColumn("_gap", F.split("_text", NAME_TOKEN, -1)).withColumn("_size", F.size("_tok"))
     lengths = F.zip_with(
         F.slice("_gap", F.lit(1), F.col("_size")), F.col("_tok"), lambda g, t: (F.length(g) + F.length(t)).cast("bigint")
     )
-    tokens = tokens.withColumn("_before", ax.running_total(lengths))
-    # One row per token with its followers beside it; what is built from them is compiled, unlike lambdas.
-    fields = [F.col("_tok").alias("t0"), F.slice("_gap", F.lit(1), F.col("_size")).alias("g0"), F.col("_before").alias("b")]
-    for k in range(1, max_words):
-        fields += [F.slice("_tok", F.lit(k + 1), F.col("_size")).alias(f"t{k}"), F.slice("_gap", F.lit(k + 1), F.col("_size")).alias(f"g{k}")]
-    listed = F.when(F.col("_size") > 0, F.arrays_zip(*fields))
-    if patterns:
-        none = F.lit(None).cast("string")
-        rest = [none.alias(f"{c}{k}") for k in range(1, max_words) for c in ("t", "g")]
-        listed = F.concat(
-            F.transform(
-                F.coalesce(listed, F.array()),
-                lambda z: F.struct(*[z[c].alias(c) for c in _token_fields(max_words)], none.alias("label")),
-            ),
-            F.transform(
-                F.when(F.col("_text").rlike(r"\d"), _pattern_arrays()).otherwise(F.from_json(F.lit("[]"), MENTION)),
-                lambda m: F.struct(
-                    m["text"].alias("t0"), F.lit("").alias("g0"), m["start"].cast("bigint").alias("b"), *rest, m["label"].alias("label")
-                ),
-            ),
-        )
-    rows = tokens.select(id_col, F.inline(listed))
-    if not patterns:
-        rows = rows.withColumn("label", F.lit(None).cast("string"))
-    start = (F.col("b") + F.length("g0")).cast("int")
-
-    def run(n: int) -> Column:
-        linked = F.lit(True)
-        for k in range(1, n):
-            gap = F.col(f"g{k}")
-            linked = linked & F.col(f"t{k}").isNotNull() & ((gap == " ") | gap.rlike(r"^(?U)\s+$"))
-        entity = F.concat(F.col("t0"), *[c for k in range(1, n) for c in (F.col(f"g{k}"), F.col(f"t{k}"))])
-        name = F.lower(F.concat_ws(" ", *[F.col(f"t{k}") for k in range(n)]))
-        if n == 1:
-            name = F.when(F.col("label").isNull(), name).otherwise(F.concat(F.lit("\n"), F.col(id_col).cast("string")))
-        return F.when(linked, F.struct(name.alias("name"), entity.alias("entity"), F.col("label").alias("found"), start.alias("start")))
-
-    runs = F.array(*[run(n) for n in range(1, max_words + 1)])
-    return rows.select(id_col, F.inline(runs)).filter("name is not null")
-
-
-def _token_fields(max_words: int) -> list[str]:
-    return ["t0", "g0", "b", *[f"{c}{k}" for k in range(1, max_words) for c in ("t", "g")]]
-
-
-def gazetteer_entities(
-    df: DataFrame, names: DataFrame, max_words: int = 2, id_col: str = "ticket_id", text_col: str = "text"
-) -> DataFrame:
-    """Mentions of listed names: runs of 1..max_words tokens equi-joined to the name table.
+    pieces = F.zip_with("_tok", F.slice("_gap", F.lit(2), F.col("_size")), lambda t, g: F.concat(t, g))
+    texts = texts.withColumns({"_before": ax.running_total(lengths), "_pieces": pieces})
 
-    The name table may be of any size; Spark broadcasts it only if it is small. Only the id, the run and its
-    place are moved, never the text.
-    """
-    spots = _spots(df, max_words, id_col, text_col, patterns=False)
-    return spots.join(names, "name").select(id_col, "entity", F.col("label").alias("entity_type"), "start", _end())
+    def row(t: Column, i: Column) -> Column:
+        start = F.get("_before", i) + F.length(F.get("_gap", i))
+        return F.struct(F.lower(t).alias("head"), start.cast("int").alias("start"), F.slice("_pieces", i + 1, F.col("_longest")).alias("pieces"))
 
+    return texts.select(id_col, F.inline(F.transform("_tok", row)))
 
-def _end() -> Column:
-    return (F.col("start") + F.length("entity")).alias("end")
 
+def gazetteer_entities(df: DataFrame, names: DataFrame, id_col: str = "ticket_id", text_col: str = "text") -> DataFrame:
+    """Mentions of listed names of any number of words: (id, entity, entity_type, start, end).
 
-def _patterns_and_names(df: DataFrame, names: DataFrame, max_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Pattern and name mentions together, reading the texts once."""
-    spots = _spots(df, max_words, id_col, text_col, patterns=True)
-    return (
-        spots.join(names, "name", "left").withColumn("entity_type", F.coalesce("found", "label"))
-        .filter("entity_type is not null").select(id_col, "entity", "entity_type", "start", _end())
+    A name is found wherever the text has it, in any case, with any white space for a blank, between the borders of words.
+    Tokens are first joined to the names' first tokens, which leaves the few places where a name can begin and the
+    lengths it can have there; only these runs are joined to the names. Both are equi-joins that Spark broadcasts if
+    small. Only ids, short runs and their places are moved, never the text.
+    """
+    tokens = F.regexp_extract_all("name", F.lit(NAME_TOKEN), F.lit(0))
+    listed = names.select("name", "label", tokens.alias("_t")).filter(F.size("_t") > 0)
+    heads = listed.groupBy(F.get("_t", F.lit(0)).alias("head")).agg(F.collect_set(F.size("_t")).alias("sizes"))
+    longest = listed.agg(F.coalesce(F.max(F.size("_t")), F.lit(1))).scalar()
+    starts = _token_rows(df, longest, id_col, text_col).join(heads, "head").select(id_col, "start", "pieces", F.explode("sizes").alias("n"))
+    entity = tx.strip(F.array_join(F.slice("pieces", F.lit(1), F.col("n")), ""))
+    runs = starts.filter(F.size("pieces") >= F.col("n")).select(id_col, "start", F.inline(F.array(F.struct(entity.alias("entity")))))
+    runs = runs.withColumn("name", F.lower(tx.collapse_ws(F.col("entity"))))
+    return runs.join(listed.select("name", "label"), "name").select(
+        id_col, "entity", F.col("label").alias("entity_type"), "start", (F.col("start") + F.length("entity")).alias("end")
     )
 
 
@@ -188,7 +140,6 @@ def extract_entities(
     names: DataFrame | None = None,
     types: Iterable[str] = ENTITY_TYPES,
     extractor=None,
-    max_words: int = 2,
     id_col: str = "ticket_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -197,7 +148,7 @@ def extract_entities(
     ``extractor`` replaces patterns and names by a function from the table to a mention table
     (id, entity, entity_type, start, end), for example a model behind ``mapInPandas``.
     """
-    found = entity_mentions(df, names, types, extractor, max_words, id_col, text_col, flat=False)
+    found = entity_mentions(df, names, types, extractor, id_col, text_col, flat=False)
     empty = F.from_json(F.lit("[]"), MENTION)
     return df.select(id_col).join(found, id_col, "left").withColumn("entities", F.coalesce("entities", empty))
 
@@ -207,7 +158,6 @@ def entity_mentions(
     names: DataFrame | None = None,
     types: Iterable[str] = ENTITY_TYPES,
     extractor=None,
-    max_words: int = 2,
     id_col: str = "ticket_id",
     text_col: str = "text",
     flat: bool = True,
@@ -218,7 +168,7 @@ def entity_mentions(
     elif names is None:
         found = pattern_entities(df, id_col, text_col)
     else:
-        found = _patterns_and_names(df, names, max_words, id_col, text_col)
+        found = pattern_entities(df, id_col, text_col).unionByName(gazetteer_entities(df, names, id_col, text_col))
     grouped = _grouped(target_types(found, types), id_col)
     if not flat:
         return grouped
@@ -260,8 +210,12 @@ def entity_pairs(mentions: DataFrame, id_col: str = "ticket_id") -> DataFrame:
 
 
 def _pairs(sets: DataFrame, *keep: str) -> DataFrame:
-    firsts = sets.filter(F.size("set") > 1).select(*keep, "set", F.posexplode("set").alias("pos", "entity_a"))
-    return firsts.select(*keep, "entity_a", F.explode(F.slice("set", F.col("pos") + 2, F.size("set"))).alias("entity_b"))
+    """Pairs by position; a row carries its own two entities, not the set."""
+    size = F.size("set")
+    pairs = F.flatten(F.transform(
+        F.sequence(F.lit(1), size - 1), lambda i: F.transform(F.slice("set", i + 1, size), lambda b: F.struct(F.element_at("set", i).alias("entity_a"), b.alias("entity_b")))
+    ))
+    return sets.filter(size > 1).select(*keep, F.inline(pairs))
 
 
 def co_occurrence(mentions: DataFrame, id_col: str = "ticket_id") -> DataFrame:

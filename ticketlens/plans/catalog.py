@@ -80,7 +80,7 @@ class Source:
 
     @cached_property
     def names(self) -> DataFrame:
-        extra = small_table(self.spark, [("legal",), ("safety",)], "name string")
+        extra = small_table(self.spark, [("legal",), ("safety",), ("harbour street depot",)], "name string")
         return en.gazetteer(
             (self.table("part"), "p_name", "PRODUCT"), (self.table("nation"), "n_name", "GPE"), (self.table("supplier"), "s_name", "ORG"),
             (self.table("customer"), "c_name", "PERSON"), (extra, "name", "ORG"),

@@ -181,7 +181,6 @@ _cte("scored", f"""
 # Mentions: patterns and names.
 _MONEY = r"(?i)\$[\d,]+(?:\.\d{1,2})?|[\d,]+\s*(?:dollars?|usd)"
 _DATE = r"\b\d{4}-\d{2}-\d{2}\b"
-_TOKEN = r"[\pL\pN_#&''-]+"
 
 
 def _pattern(name: str, pattern: str, label: str) -> None:
@@ -202,18 +201,15 @@ _cte("gaz", """
   SELECT DISTINCT lower(name) AS name, label FROM (
     SELECT p_name AS name, 'PRODUCT' AS label FROM part UNION ALL SELECT n_name, 'GPE' FROM nation
     UNION ALL SELECT s_name, 'ORG' FROM supplier UNION ALL SELECT c_name, 'PERSON' FROM customer
-    UNION ALL SELECT unnest(['legal', 'safety']), 'ORG')""")
-_cte("toks", f"""
-  SELECT *, lead(tok) OVER o AS tok2, lead(gap) OVER o AS gap2, sum(length(gap) + length(tok)) OVER o - length(tok) AS start
-  FROM (SELECT ticket_id, unnest(regexp_extract_all(text, '{_TOKEN}')) AS tok,
-               generate_subscripts(regexp_extract_all(text, '{_TOKEN}'), 1) AS ord,
-               unnest(string_split_regex(text, '{_TOKEN}')[1:len(regexp_extract_all(text, '{_TOKEN}'))]) AS gap FROM stripped)
-  WINDOW o AS (PARTITION BY ticket_id ORDER BY ord)""", "stripped")
+    UNION ALL SELECT unnest(['legal', 'safety', 'harbour street depot']), 'ORG')""")
 _cte("named", """
-  SELECT r.ticket_id, r.entity, g.label AS entity_type, CAST(r.start AS INTEGER) AS "start", CAST(r.start + length(r.entity) AS INTEGER) AS "end"
-  FROM (SELECT ticket_id, tok AS entity, start FROM toks
-        UNION ALL SELECT ticket_id, tok || gap2 || tok2, start FROM toks WHERE regexp_full_match(gap2, '\\s+')) r
-  JOIN gaz g ON g.name = lower(regexp_replace(r.entity, '\\s+', ' ', 'g'))""", "toks", "gaz")
+  SELECT ticket_id, substr(text, CAST(pos AS INTEGER) + 1, length(name)) AS entity, label AS entity_type, CAST(pos AS INTEGER) AS "start",
+         CAST(pos + length(name) AS INTEGER) AS "end"
+  FROM (SELECT *, list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(name) AS pos
+        FROM (SELECT *, unnest(range(1, len(parts))) AS i
+              FROM (SELECT s.ticket_id, s.text, g.name, g.label, string_split(lower(s.text), g.name) AS parts FROM stripped s JOIN gaz g ON contains(lower(s.text), g.name))))
+  WHERE NOT (pos > 0 AND regexp_matches(substr(text, CAST(pos AS INTEGER), 1), '[\\pL\\pN_]') AND regexp_matches(name, '^[\\pL\\pN_]'))
+    AND NOT (regexp_matches(substr(text, CAST(pos AS INTEGER) + length(name) + 1, 1), '[\\pL\\pN_]') AND regexp_matches(name, '[\\pL\\pN_]$'))""", "stripped", "gaz")
 _cte("all_mentions", "SELECT * FROM patterns UNION ALL SELECT * FROM named", "patterns", "named")
 _cte("mentions", """
   SELECT ticket_id, entity, entity_type, "start", "end" FROM (
