@@ -82,11 +82,11 @@ def test_join_form_equals_row_local_form(spark, texts):
     assert as_dict(se.lexicon_join_sentiment(texts, lexicon)) == as_dict(se.lexicon_sentiment(texts))
 
 
-def test_own_lexicon_and_size_guard(spark, texts):
+def test_own_lexicon_of_any_size(spark, texts):
     df = spark.createDataFrame([("1", "purple rain")], "ticket_id string, clean string")
     assert se.lexicon_sentiment(df, lexicon={"purple": 2.0}).first()["lex_compound"] > 0
-    with pytest.raises(ValueError):
-        se.lexicon_sentiment(df, lexicon={f"w{i}": 1.0 for i in range(se.MAX_INLINE_LEXICON + 1)})
+    large = {f"w{i}": 1.0 for i in range(25_000)} | {"purple": 2.0}
+    assert se.lexicon_sentiment(df, lexicon=large).first()["lex_compound"] > 0
 
 
 def test_scores_stay_in_range(texts):
@@ -146,6 +146,17 @@ def test_user_model_failure_falls_back_and_sees_the_cut_text(spark):
     assert cut["lex_compound"] == se.analyze_sentiment(df).first()["lex_compound"]
 
 
+def test_user_model_batches_fall_back_whole(spark):
+    df = spark.createDataFrame([(i, f"text {i}" if i != 3 else None) for i in range(6)], "i int, clean string").coalesce(1)
+    broken = {
+        "null label": lambda texts: ((None if t.endswith("1") else "POSITIVE", 0.8) for t in texts),
+        "too few": lambda texts: [("POSITIVE", 0.8)] * (len(texts) - any(t.endswith("1") for t in texts)),
+    }
+    for predict in broken.values():
+        got = {r.i: (r.model_label, r.model_score) for r in md.user_model_scores(lambda p=predict: p, batch_size=2)(df).collect()}
+        assert got == {i: ("neutral", 0.0) if i < 2 else ("positive", 0.8) for i in range(6)}
+
+
 def test_analyze_one(spark):
     row = se.analyze_one(spark, "This is GREAT!").first()
     assert row["sentiment_label"] == "positive"

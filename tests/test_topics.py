@@ -99,8 +99,11 @@ def test_prediction_and_probability(blobs, spark):
     assert own == pytest.approx(got["0-0"]["probability"])
     near = tm.representative_docs(blobs, centroids, n=3)
     assert near.groupBy("topic").count().filter("count <> 3").count() == 0
-    with pytest.raises(ValueError):
-        tm.closest_topic(blobs, centroids, max_topics=2)
+    odd = spark.createDataFrame([("null", 0, None), ("zero", 1, [0.0] * 4), ("far", 9, [1.0, 0.0, 0.0, 0.0])], "ticket_id string, topic int, embedding array<double>")
+    found = {r["ticket_id"]: (r["topic"], r["similarity"], r["probability"]) for r in tm.closest_topic(odd.drop("topic"), centroids).collect()}
+    assert found["null"] == found["zero"] == (-1, 0.0, 0.0) and found["far"][0] == 0
+    assert {r["probability"] for r in tm.topic_probability(odd, centroids, "topic").collect()} == {0.0}
+    assert {(r["topic"], r["similarity"]) for r in tm.representative_docs(odd, centroids).collect()} == {(0, 0.0), (1, 0.0), (9, 0.0)}
 
 
 def test_assign_topics_gives_short_texts_minus_one(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
@@ -54,28 +54,29 @@ def user_model_scores(
 ) -> Callable[[DataFrame], DataFrame]:
     """A model stage from a Python model.
 
-    ``load`` is called once per task and returns a function from a list of texts to (label, score) pairs.
-    A batch that fails falls back to neutral with score 0, like a text without a score.
+    ``load`` is called once per task and returns a function from a list of texts to (label, score) pairs. A batch that
+    fails, half way or with another number of pairs than texts, falls back whole to neutral with score 0, like a text without
+    a score. Only the texts are handed to Python.
     """
+    kind = T.StructType([T.StructField("model_label", T.StringType()), T.StructField("model_score", T.DoubleType())])
+
+    def answers(predict, batch: list[str]) -> list[tuple[str, float]]:
+        try:
+            pairs = [(label.lower(), float(score)) for label, score in predict(batch)]
+        except Exception:
+            pairs = []
+        return pairs if len(pairs) == len(batch) else [("neutral", 0.0)] * len(batch)
+
+    @F.arrow_udf(kind)
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        predict = load()
+        for column in columns:
+            texts = [t or "" for t in column.to_pylist()]
+            pairs = [p for at in range(0, len(texts), batch_size) for p in answers(predict, texts[at : at + batch_size])]
+            labels, scores = pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())
+            yield pa.StructArray.from_arrays([labels, scores], ["model_label", "model_score"])
 
     def apply(df: DataFrame) -> DataFrame:
-        schema = T.StructType(
-            [*df.schema.fields, T.StructField("model_label", T.StringType()), T.StructField("model_score", T.DoubleType())]
-        )
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            predict = load()
-            for frame in frames:
-                texts = frame[text_col].fillna("").tolist()
-                pairs: list[tuple[str, float]] = []
-                for at in range(0, len(texts), batch_size):
-                    batch = texts[at : at + batch_size]
-                    try:
-                        pairs.extend((label.lower(), float(score)) for label, score in predict(batch))
-                    except Exception:
-                        pairs.extend([("neutral", 0.0)] * len(batch))
-                yield frame.assign(model_label=[p[0] for p in pairs], model_score=[p[1] for p in pairs])
-
-        return df.mapInPandas(run, schema)
+        return df.withColumn("_model", scored(F.col(text_col))).select(*[F.col(f"`{c}`") for c in df.columns], "_model.*")
 
     return apply

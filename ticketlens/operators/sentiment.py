@@ -31,9 +31,6 @@ HYBRID_ALPHA = 0.4
 LABEL_CUT = 0.15
 CRITICAL_BELOW = -0.7
 
-# Largest lexicon that is written into the plan; larger ones go through ``lexicon_join_sentiment``.
-MAX_INLINE_LEXICON = 20_000
-
 SCORES = ("lex_pos", "lex_neg", "lex_neu", "lex_compound")
 
 
@@ -131,10 +128,11 @@ def lexicon_sentiment(
     lexicon: Mapping[str, float] | None = None,
     negations: Iterable[str] = NEGATIONS,
 ) -> DataFrame:
-    """Add lex_pos, lex_neg, lex_neu and lex_compound for a cleaned text column, row by row in the JVM."""
+    """Add lex_pos, lex_neg, lex_neu and lex_compound for a cleaned text column, row by row in the JVM.
+
+    The lexicon is a mapping and becomes part of the plan; one that is kept as a table goes to ``lexicon_join_sentiment``.
+    """
     lexicon = LEXICON if lexicon is None else lexicon
-    if len(lexicon) > MAX_INLINE_LEXICON:
-        raise ValueError(f"{len(lexicon)} lexicon entries: use lexicon_join_sentiment")
     boosters = {*BOOSTERS_UP, *BOOSTERS_DOWN}
     opinion_words = [w for w in lexicon if w not in boosters]
     levels: dict[float, list[str]] = {}
@@ -337,8 +335,8 @@ def analyze_sentiment(
     )
 
 
-def analyze_one(spark, text: str, max_chars: int = 512, **options) -> DataFrame:
-    """The same for a single text, of which the model is given a number of characters."""
+def analyze_one(spark, text: str, max_chars: int | None = None, **options) -> DataFrame:
+    """The same for a single text; ``max_chars`` limits what a model is given of it."""
     return analyze_sentiment(spark.createDataFrame([(text,)], "text string"), max_chars=max_chars, **options)
 
 

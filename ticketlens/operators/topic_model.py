@@ -15,8 +15,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketlens.functions import text as tx
+from ticketlens.functions.arrays import cosine
 from ticketlens.operators import topics as tp
 from ticketlens.session import scratch_root
 
@@ -45,7 +47,7 @@ def embed_with(df: DataFrame, predict, text_col: str = "text", batch_size: int =
     """Add ``embedding`` from a user model: ``predict`` is a factory as for ``predict_batch_udf``."""
     from pyspark.ml.functions import predict_batch_udf
 
-    encode = predict_batch_udf(predict, return_type="array<float>", batch_size=batch_size)
+    encode = predict_batch_udf(predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     return df.withColumn("embedding", encode(F.col(text_col)))
 
 
@@ -182,50 +184,73 @@ def topic_centroids(df: DataFrame, topic_col: str = "topic", embedding_col: str
     )
 
 
-def _model_rows(centroids: DataFrame, max_topics: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = centroids.orderBy("topic").limit(max_topics + 1).collect()
-    if len(rows) > max_topics:
-        raise ValueError(f"more than {max_topics} topics")
+# Products of vectors and centroids that a task holds at a time.
+_CELLS = 4_000_000
+
+
+def _model_rows(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Topics and unit centroids: the model, which every task needs whole."""
+    rows = centroids.orderBy("topic").collect()
     if not rows:
         raise ValueError("no topics to compare with")
     matrix = np.array([r["centroid"] for r in rows], dtype="float64")
-    return np.array([r["topic"] for r in rows], dtype="int32"), matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.array([r["topic"] for r in rows], dtype="int32"), matrix / np.where(norms > 0, norms, 1)
 
 
-def closest_topic(
-    df: DataFrame, centroids: DataFrame, embedding_col: str = "embedding", max_topics: int = tp.MAX_TOPICS
-) -> DataFrame:
+def _directions(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and which rows have a direction: neither null nor zero nor with a null in them."""
+    usable = np.array([v is not None and len(v) == width and None not in v for v in vectors.to_pylist()], bool)
+    x = np.zeros((len(vectors), width))
+    if usable.any():
+        x[usable] = np.asarray(vectors.filter(pa.array(usable)).flatten(), dtype="float64").reshape(-1, width)
+    norms = np.linalg.norm(x, axis=1)
+    return x / np.where(norms > 0, norms, 1)[:, None], usable & (norms > 0)
+
+
+def _blocks(x: np.ndarray, unit: np.ndarray):
+    step = max(1, _CELLS // len(unit))
+    for at in range(0, len(x), step):
+        yield slice(at, at + step), x[at : at + step] @ unit.T
+
+
+def closest_topic(df: DataFrame, centroids: DataFrame, embedding_col: str = "embedding") -> DataFrame:
     """Add ``topic``, ``similarity`` and ``probability`` (softmax over topics of the cosine).
 
-    The centroids are model-sized and go to the tasks as one matrix; a batch of vectors is one product.
+    The centroids are the model and go to the tasks as one matrix; a block of vectors is one product. Null and zero
+    vectors get topic -1, similarity and probability 0.
     """
-    names, unit = _model_rows(centroids, max_topics)
+    names, unit = _model_rows(centroids)
 
     @F.arrow_udf("struct<topic:int,similarity:double,probability:double>")
     def nearest(vectors: pa.Array) -> pa.Array:
-        x = np.asarray(vectors.flatten(), dtype="float64").reshape(-1, unit.shape[1])
-        sims = (x @ unit.T) / np.linalg.norm(x, axis=1, keepdims=True)
-        best = sims.argmax(axis=1)
-        at = np.arange(len(x))
-        odds = np.exp(sims)
-        columns = [names[best], sims[at, best], odds[at, best] / odds.sum(axis=1)]
+        x, usable = _directions(vectors, unit.shape[1])
+        topic, similarity, probability = np.full(len(x), tp.OUTLIER, "int32"), np.zeros(len(x)), np.zeros(len(x))
+        for part, sims in _blocks(x, unit):
+            best = sims.argmax(axis=1)
+            top = sims[np.arange(len(best)), best]
+            topic[part], similarity[part], probability[part] = names[best], top, np.exp(top) / np.exp(sims).sum(axis=1)
+        columns = [np.where(usable, topic, tp.OUTLIER).astype("int32"), np.where(usable, similarity, 0.0), np.where(usable, probability, 0.0)]
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["topic", "similarity", "probability"])
 
     return df.withColumn("_near", nearest(F.col(embedding_col))).select("*", "_near.*").drop("_near")
 
 
-def topic_probability(df: DataFrame, centroids: DataFrame, topic_col: str, embedding_col: str = "embedding", max_topics: int = tp.MAX_TOPICS) -> DataFrame:
-    """Add ``probability``: softmax over topics of the cosine, taken at the assigned topic."""
-    names, unit = _model_rows(centroids, max_topics)
+def topic_probability(df: DataFrame, centroids: DataFrame, topic_col: str, embedding_col: str = "embedding") -> DataFrame:
+    """Add ``probability``: softmax over topics of the cosine, taken at the assigned topic; 0 for null and zero vectors and for
+    topics without a centroid."""
+    names, unit = _model_rows(centroids)
 
     @F.arrow_udf("double")
     def confidence(vectors: pa.Array, topics: pa.Array) -> pa.Array:
-        x = np.asarray(vectors.flatten(), dtype="float64").reshape(-1, unit.shape[1])
-        odds = np.exp((x @ unit.T) / np.linalg.norm(x, axis=1, keepdims=True))
-        own = np.asarray(topics)
+        x, usable = _directions(vectors, unit.shape[1])
+        own = np.array([tp.OUTLIER if t is None else t for t in topics.to_pylist()])
         at = np.clip(np.searchsorted(names, own), 0, len(names) - 1)
-        found = names[at] == own
-        return pa.array(np.where(found, odds[np.arange(len(x)), at] / odds.sum(axis=1), 0.0))
+        out = np.zeros(len(x))
+        for part, sims in _blocks(x, unit):
+            odds = np.exp(sims)
+            out[part] = odds[np.arange(len(odds)), at[part]] / odds.sum(axis=1)
+        return pa.array(np.where(usable & (names[at] == own), out, 0.0))
 
     return df.withColumn("probability", confidence(F.col(embedding_col), F.col(topic_col)))
 
@@ -236,21 +261,16 @@ def representative_docs(
 ) -> DataFrame:
     """(topic, rank, id, similarity): the n members closest to the centroid of their own topic.
 
-    Only id and similarity are ranked; each task cuts to n per topic before the shuffle.
+    Centroids are joined by topic. Only id and similarity are ranked; each task cuts to n per topic before the shuffle.
+    Null and zero vectors, and topics without a centroid, have similarity 0.
     """
-    names, unit = _model_rows(centroids, tp.MAX_TOPICS)
-
-    @F.arrow_udf("double")
-    def own_similarity(vectors: pa.Array, topics: pa.Array) -> pa.Array:
-        x = np.asarray(vectors.flatten(), dtype="float64").reshape(-1, unit.shape[1])
-        at = np.searchsorted(names, np.asarray(topics))
-        return pa.array((x * unit[at]).sum(axis=1) / np.linalg.norm(x, axis=1))
-
-    members = df.filter(F.col(topic_col) != tp.OUTLIER).select(
-        F.col(topic_col).alias("topic"), id_col, F.round(own_similarity(F.col(embedding_col), F.col(topic_col)), 9).alias("similarity")
-    )
+    own = centroids.select(F.col("topic").alias(topic_col), "centroid")
+    members = df.filter(F.col(topic_col) != tp.OUTLIER).select(topic_col, id_col, F.col(embedding_col).alias("_vector")).join(own, topic_col, "left")
+    usable = F.exists("_vector", lambda x: x != 0) & F.exists("centroid", lambda x: x != 0)
+    similarity = F.coalesce(F.when(usable, cosine(F.col("_vector"), F.col("centroid"))), F.lit(0.0))
+    ranked = members.select(F.col(topic_col).alias("topic"), id_col, F.round(similarity, 9).alias("similarity"))
     order = W.partitionBy("topic").orderBy(F.desc("similarity"), id_col)
-    return members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("topic", "rank", id_col, "similarity")
+    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("topic", "rank", id_col, "similarity")
 
 
 def predict_topics(

@@ -75,8 +75,7 @@ class Source:
 
     @cached_property
     def scored(self) -> DataFrame:
-        # The derived texts are plain ASCII, which normalisation cannot change.
-        return se.analyze_sentiment(self.tickets, normalise=False)
+        return se.analyze_sentiment(self.tickets)
 
     @cached_property
     def names(self) -> DataFrame:
@@ -661,7 +660,7 @@ def _(s):
 @query("lexicon_join_sentiment", "SELECT id AS ticket_id, lex_pos, lex_neg, lex_neu, lex_compound FROM t_scores")
 def _(s):
     lexicon = small_table(s.spark, list(LEXICON.items()), "token string, valence double")
-    cleaned = s.tickets.select("ticket_id", tx.clean(F.col("text"), False).alias("clean"))
+    cleaned = s.tickets.select("ticket_id", tx.clean(F.col("text")).alias("clean"))
     return se.lexicon_join_sentiment(cleaned, lexicon, negations=NEGATIONS)
 
 
@@ -740,7 +739,7 @@ def _(s):
     return scored.drop("text")
 
 
-_FIRST = "(SELECT id, " + _HITS.replace("clean", "substr(clean, 1, 512)") + " AS h FROM d_src)"
+_FIRST = f"(SELECT id, {_HITS} AS h FROM d_src)"
 _FIRST_MODEL = f"(SELECT id, CASE WHEN h > 0 THEN 'negative' ELSE 'positive' END AS ml, 0.5 + 0.5 * least(h, 4) / 4 AS ms FROM {_FIRST})"
 
 
@@ -748,9 +747,9 @@ _FIRST_MODEL = f"(SELECT id, CASE WHEN h > 0 THEN 'negative' ELSE 'positive' END
   round(ms, 4) AS model_score, lex_compound < -0.7 AS is_critical
   FROM (SELECT s.id, s.lex_compound, ms, {_hybrid('s.lex_compound', 'ml', 'ms')} AS h FROM d_scores s JOIN {_FIRST_MODEL} USING (id))""")
 def _(s):
-    # The rule for single texts, where the model sees 512 characters, over all documents.
+    # The rule for single texts over all documents.
     model = md.user_model_scores(_load_word_model)
-    scored = se.analyze_sentiment(s.documents.select("doc_id", "text"), model=model, max_chars=512)
+    scored = se.analyze_sentiment(s.documents.select("doc_id", "text"), model=model)
     return scored.select("doc_id", "sentiment_label", "sentiment_confidence", "lex_compound", "model_score", "is_critical")
 
 
