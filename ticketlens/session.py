@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ def scratch_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ticketlens-")
         sc.setCheckpointDir(configured)
@@ -44,6 +46,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/ticketlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session that was started without it on its path. Once per session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ticketlens_shipped", False):
+        return
+    sc._ticketlens_shipped = True
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="ticketlens-package-"), "ticketlens.zip")  # the driver serves it from here
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as package:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    package.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, so that lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, name)
