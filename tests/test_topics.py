@@ -50,8 +50,32 @@ def test_similarity_of_unrelated_topics_and_tree(spark):
     assigned = spark.createDataFrame([(str(i), t) for i, t in enumerate([0, 0, 0, 1, 2, 3, -1])], "ticket_id string, topic int")
     reduced = {r["ticket_id"]: r["topic"] for r in tp.reduce_topics(assigned, sims, 2).collect()}
     assert reduced == {"0": 0, "1": 0, "2": 0, "3": 0, "4": 1, "5": 1, "6": -1}
-    with pytest.raises(Exception, match="more than 2 topics"):
-        tp.topic_similarity(weights, max_topics=2).collect()
+
+def brute_tree(n, pairs):
+    clusters = {t: [t] for t in range(n)}
+    out = []
+
+    def mean(a, b):
+        less = sum(round(pairs.get((min(x, y), max(x, y)), 0.0), 9) for x in clusters[a] for y in clusters[b])
+        return round(1 - less / (len(clusters[a]) * len(clusters[b])), 9)
+
+    node = {t: t for t in range(n)}
+    while len(clusters) > 1:
+        d, a, b = min((mean(a, b), a, b) for a in clusters for b in clusters if a < b)
+        out.append((len(out) + 1, n + len(out), node[a], node[b], d))
+        node[a] = n + len(out) - 1
+        clusters[a] += clusters.pop(b)
+    return out
+
+
+def test_tree_equals_brute_force(spark):
+    rng = random.Random(4)
+    pairs = {(a, b): rng.random() * 0.9 for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.2 and a < 27}
+    rows = [(t, t, 1.0) for t in range(30)] + [(a, b, s) for (a, b), s in pairs.items()]
+    sims = spark.createDataFrame(rows, "topic_a bigint, topic_b bigint, similarity double")
+    got = [tuple(r) for r in tp.topic_hierarchy(sims).orderBy("step").collect()]
+    want = brute_tree(30, pairs)
+    assert [r[:4] for r in got] == [r[:4] for r in want] and [r[4] for r in got] == pytest.approx([r[4] for r in want], abs=2e-9)
 
 
 def test_renumber_by_size(spark):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions import text as tx
 from ticketlens.functions.wordlists import STOP_WORDS
-from ticketlens.session import small_table
+from ticketlens.session import materialise
 
 # --- Fixed values ---------------------------------------------------------------------
 TOP_N_WORDS = 10
@@ -21,9 +21,6 @@ MIN_TEXT_LENGTH = 3
 OUTLIER = -1
 REPRESENTATIVE_DOCS = 5
 
-# Topics are model-sized data: tables with one row per topic may be held whole up to this number.
-MAX_TOPICS = 2000
-
 
 def _runs(n: int) -> Column:
     """Runs of n neighbouring tokens, joined by a blank."""
@@ -160,7 +157,7 @@ def topic_bar_data(keywords: DataFrame, n_topics: int = 8, n_words: int = 8) ->
     return keywords.filter((F.col("topic") >= 0) & (F.col("topic") < n_topics) & (F.col("rank") <= n_words))
 
 
-def topic_similarity(weights: DataFrame, max_topics: int = MAX_TOPICS) -> DataFrame:
+def topic_similarity(weights: DataFrame) -> DataFrame:
     """(topic_a, topic_b, similarity) with a <= b, for topics that share a term: cosine of their term vectors.
 
     Terms are spread over the tasks; every task adds its terms into one topics x topics matrix, and only
@@ -174,8 +171,6 @@ def topic_similarity(weights: DataFrame, max_topics: int = MAX_TOPICS) -> DataFr
         for batch in batches:
             for topic in np.unique(np.concatenate(batch["topics"].tolist())) if len(batch) else ():
                 place.setdefault(int(topic), len(place))
-            if len(place) > max_topics:
-                raise ValueError(f"more than {max_topics} topics")
             grown = np.zeros((len(place), len(place)))
             grown[: len(total), : len(total)] = total
             matrix = np.zeros((len(batch), len(place)))
@@ -195,51 +190,76 @@ def topic_similarity(weights: DataFrame, max_topics: int = MAX_TOPICS) -> DataFr
     )
 
 
-def _merges(similarity: DataFrame, max_topics: int) -> list[tuple[int, int, int, int, float]]:
-    """Average-linkage merges of at most max_topics topics: (step, parent, left, right, distance)."""
-    pairs = similarity.filter("topic_a >= 0").limit(max_topics * (max_topics + 1) // 2 + 1).toPandas()
-    topics = sorted({*pairs["topic_a"], *pairs["topic_b"]})
-    if len(topics) > max_topics:
-        raise ValueError(f"more than {max_topics} topics")
-    # Topics without a common term have no row: their cosine is 0.
-    distance = {(a, b): 1.0 for i, a in enumerate(topics) for b in topics[i + 1 :]}
-    for a, b, s in zip(pairs["topic_a"], pairs["topic_b"], pairs["similarity"]):
-        if a != b:
-            distance[(a, b)] = round(1.0 - s, 9)
-    weight = {t: 1 for t in topics}
-    parent = max(topics, default=0)
-    out = []
-    while len(weight) > 1:
-        (left, right), d = min(distance.items(), key=lambda item: (item[1], item[0]))
-        parent += 1
-        out.append((len(out) + 1, int(parent), int(left), int(right), float(d)))
-        wl, wr = weight.pop(left), weight.pop(right)
-        del distance[(left, right)]
-        for other in weight:
-            dl = distance.pop((min(left, other), max(left, other)))
-            dr = distance.pop((min(right, other), max(right, other)))
-            distance[(other, parent)] = (wl * dl + wr * dr) / (wl + wr)
-        weight[parent] = wl + wr
-    return out
-
-
-def topic_hierarchy(similarity: DataFrame, max_topics: int = 500) -> DataFrame:
-    """(step, parent_id, left_id, right_id, distance): merge tree over the small topic table."""
-    return small_table(
-        similarity.sparkSession, _merges(similarity, max_topics), "step int, parent_id bigint, left_id bigint, right_id bigint, distance double"
+def _merges(similarity: DataFrame) -> DataFrame:
+    """(step, a, b, distance): average-linkage merges of clusters, each named by its smallest topic, a < b.
+
+    Two clusters that are nearest to each other merge in any order of merging, so every round merges all such pairs at once:
+    a few joins and aggregates over the pairs that share a term. Pairs without a row have a cosine of 0, a distance of 1;
+    only what distances differ from 1 is kept and summed. Equal distances go by the smaller, then the larger name.
+    """
+    known = similarity.filter("topic_a >= 0").select("topic_a", "topic_b", "similarity")
+    sizes = known.select(F.col("topic_a").alias("key")).union(known.select("topic_b")).distinct().withColumn("size", F.lit(1).cast("bigint"))
+    apart = known.filter("topic_a <> topic_b").withColumn("less", F.round("similarity", 9))
+    pairs = apart.select(F.col("topic_a").alias("a"), F.col("topic_b").alias("b"), "less").union(apart.select("topic_b", "topic_a", "less"))
+    sizes, pairs = materialise(sizes, "merge-sizes"), materialise(pairs, "merge-pairs")
+    done: DataFrame | None = None
+    turn = 0
+    while True:
+        turn += 1
+        mean = F.round(1 - F.col("less") / (F.col("na") * F.col("nb")), 9)
+        measured = (
+            pairs.join(sizes.select(F.col("key").alias("a"), F.col("size").alias("na")), "a")
+            .join(sizes.select(F.col("key").alias("b"), F.col("size").alias("nb")), "b").withColumn("distance", mean).filter("distance < 1")
+        )
+        nearest = measured.groupBy("a").agg(F.min(F.struct("distance", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "b")).alias("m"))
+        nearest = nearest.select("a", "m.b", "m.distance")
+        other = nearest.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        merged = materialise(nearest.filter("a < b").join(other, ["a", "b"]).select(F.lit(turn).alias("turn"), "a", "b", "distance"), "merge-round")
+        if merged.isEmpty():
+            break
+        done = merged if done is None else done.union(merged)
+        to = merged.select(F.col("b").alias("old"), F.col("a").alias("new"))
+
+        def renamed(df: DataFrame, key: str) -> DataFrame:
+            return df.join(to, F.col(key) == F.col("old"), "left").withColumn(key, F.coalesce("new", key)).drop("old", "new")
+
+        sizes = materialise(renamed(sizes, "key").groupBy("key").agg(F.sum("size").alias("size")), "merge-sizes")
+        pairs = materialise(renamed(renamed(pairs, "a"), "b").filter("a <> b").groupBy("a", "b").agg(F.sum("less").alias("less")), "merge-pairs")
+    # What is left has nothing in common: everything joins the smallest, in order.
+    first = sizes.agg(F.min("key")).scalar()
+    rest = sizes.select(F.lit(turn).alias("turn"), first.alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("distance")).filter("a < b")
+    done = rest if done is None else done.union(rest)
+    return done.select(F.row_number().over(W.orderBy("distance", "turn", "a", "b")).alias("step"), "a", "b", "distance")
+
+
+def topic_hierarchy(similarity: DataFrame) -> DataFrame:
+    """(step, parent_id, left_id, right_id, distance): the merge tree. New nodes are numbered on from the largest topic."""
+    merges = materialise(_merges(similarity), "merges")
+    largest = similarity.filter("topic_a >= 0").agg(F.greatest(F.max("topic_a"), F.max("topic_b"))).scalar()
+    last = merges.groupBy(F.col("a").alias("b")).agg(F.max("step").alias("own"))
+    before = F.lag("step").over(W.partitionBy("a").orderBy("step"))
+    return merges.withColumn("before", before).join(last, "b", "left").withColumn("largest", largest).select(
+        "step", (F.col("largest") + F.col("step")).cast("bigint").alias("parent_id"),
+        F.coalesce(F.col("largest") + F.col("before"), F.col("a")).cast("bigint").alias("left_id"),
+        F.coalesce(F.col("largest") + F.col("own"), F.col("b")).cast("bigint").alias("right_id"), "distance",
     )
 
 
-def reduce_topics(assignment: DataFrame, similarity: DataFrame, n_topics: int, max_topics: int = 500) -> DataFrame:
+def reduce_topics(assignment: DataFrame, similarity: DataFrame, n_topics: int) -> DataFrame:
     """Follow the merge tree until n_topics are left and renumber by size; outliers stay outliers."""
-    merges = _merges(similarity, max_topics)
-    members: dict[int, list[int]] = {}
-    for _, parent, left, right, _ in merges[: max(len(merges) + 1 - n_topics, 0)]:
-        members[parent] = members.pop(left, [left]) + members.pop(right, [right])
-    moved = [(int(old), int(new)) for new, olds in members.items() for old in olds]
-    mapping = small_table(assignment.sparkSession, moved, "topic int, _new int")
-    merged = assignment.join(F.broadcast(mapping), "topic", "left").withColumn("topic", F.coalesce("_new", "topic")).drop("_new")
-    return renumber_by_size(merged)
+    merges = materialise(_merges(similarity), "merges")
+    steps = max(merges.count() + 1 - n_topics, 0)
+    mapping = materialise(merges.filter(F.col("step") <= steps).select(F.col("b").alias("old"), F.col("a").alias("new")), "merge-map")
+    while True:  # the name of the name, until names stay
+        on = mapping.select(F.col("old").alias("new"), F.col("new").alias("far"))
+        mapping = materialise(mapping.join(on, "new", "left").select("old", F.coalesce("far", "new").alias("new"), F.col("far").isNotNull().alias("moved")), "merge-map")
+        if mapping.filter("moved").isEmpty():
+            break
+        mapping = mapping.select("old", "new")
+    kind = assignment.schema["topic"].dataType
+    mapping = mapping.select(F.col("old").cast(kind).alias("topic"), F.col("new").cast(kind).alias("_new"))
+    merged = assignment.join(mapping, "topic", "left").withColumn("topic", F.coalesce("_new", "topic")).drop("_new")
+    return renumber_by_size(merged.select(*assignment.columns))
 
 
 def renumber_by_size(assignment: DataFrame, min_size: int = 1) -> DataFrame:
