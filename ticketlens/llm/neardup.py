@@ -27,7 +27,7 @@ from ticketlens.llm.frames import components, small
 from ticketlens.llm.shingles import WordHasher, numbers, shingle_sets, signature
 from ticketlens.session import materialise
 
-TILE = 256
+TILE = 4096
 
 
 @dataclass(frozen=True)
