@@ -70,6 +70,7 @@ def test_groups_of_near_copies(spark, edits):
 
 def test_a_large_group_spans_several_tiles(spark, monkeypatch):
     monkeypatch.setattr("ticketlens.llm.neardup.TILE", 16)
+    monkeypatch.setattr("ticketlens.llm.neardup.FEW", 8)
     rows = corpus(5, 2, 120, 12)
     assert answer(spark, rows) == brute(rows)
 

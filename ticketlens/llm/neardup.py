@@ -7,8 +7,9 @@ below that distance meet in a bucket. Pairs that meet are compared on their full
 
 Buckets are never expanded into all pairs. Texts with equal shingle sets are one class. Every class is first compared with
 its bucket's smallest class; what these links connect needs no more comparing. Only buckets that still hold several
-components are scanned, in tiles of bounded size, and a pair across components leaves the scan in one bucket only and if a
-longer signature allows the required similarity. No bucket and no number of partners is capped.
+components are scanned, in tiles of bounded size. A pair across components is looked at in the first bucket only in which it
+meets, and if a longer signature allows the required similarity. Large buckets bring the sets along and give only links that
+connect components, so that no task's output grows with the pairs. No bucket and no number of partners is capped.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from ticketlens.llm.frames import components, small
 from ticketlens.llm.shingles import WordHasher, numbers, shingle_sets, signature
 from ticketlens.session import materialise
 
-TILE = 4096
+# Rows of a tile, and the members up to which a bucket's pairs leave it unconfirmed; larger buckets bring their sets along.
+TILE = 1024
+FEW = 64
 
 
 @dataclass(frozen=True)
@@ -76,53 +79,69 @@ def _sets(batches: Iterator[pa.RecordBatch], plan: NearDup) -> Iterator[pa.Recor
         )
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets of distinct hashes reach the similarity, in whole numbers."""
+    n, m = len(a), len(b)
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (n + m - common)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], plan: NearDup) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets reach the similarity, in whole numbers."""
+    """Pairs whose full sets reach the similarity."""
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-            n, m = len(a) // 8, len(b) // 8
-            ok = 100 * min(n, m) >= plan.percent * max(n, m)
-            if ok:
-                both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok = 100 * common >= plan.percent * (n + m - common)
-            keep.append(ok)
+        keep = [
+            _similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), plan.percent)
+            for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())
+        ]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], plan: NearDup) -> Iterator[pa.RecordBatch]:
-    """Pairs across components within each tile pair; rows arrive sorted by (slot, key, i, j) and tiles are bounded."""
+def _scan_tile(rows: pa.Table, plan: NearDup) -> list[tuple[int, int, bool]]:
+    """Pairs across components of one tile pair. If the rows bring their sets, links that connect components are confirmed here;
+    else pairs that pass the longer signature leave unconfirmed."""
+    slot, i, j = (rows.column(c)[0].as_py() for c in ("slot", "i", "j"))
+    cid, n, tile = (rows.column(c).to_numpy() for c in ("cid", "n_shingles", "tile"))
+    label = rows.column("label").to_numpy().copy()
+    if label.min() == label.max():
+        return []
     least = plan.least_equal(plan.screen, 5.5)
+    symbols = rows.column("chunks").combine_chunks().flatten().to_numpy().view(np.uint16).reshape(len(cid), plan.chunks, 4)
+    screen = np.frombuffer(b"".join(rows.column("screen").to_pylist()), np.uint8).reshape(len(cid), plan.screen)
+    sets = [None if x is None else np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    left, right = (tile == i).nonzero()[0], (tile == j).nonzero()[0]
+    out = []
+    for x in left.tolist():
+        y = right[right > x] if i == j else right
+        y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= plan.percent * np.maximum(n[y], n[x]))]
+        if len(y):
+            y = y[(screen[y] == screen[x]).sum(axis=1) >= least]
+        if not len(y):
+            continue
+        wrong = symbols[y] != symbols[x]
+        errors = wrong.sum(axis=2)
+        chunk = (errors <= 1).argmax(axis=1)  # the first chunk in which they meet, and its first fitting error
+        at = np.arange(len(y))
+        error = np.where(errors[at, chunk] == 0, 0, wrong[at, chunk].argmax(axis=1))
+        for k in y[chunk * 4 + error == slot].tolist():
+            sure = sets[x] is not None
+            if sure:
+                if label[k] == label[x] or not _similar(sets[x], sets[k], plan.percent):
+                    continue
+                label[label == label[k]] = label[x]
+            out.append((min(cid[x], cid[k]), max(cid[x], cid[k]), sure))
+    return out
 
-    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        slot, i, j = (rows.column(c)[0].as_py() for c in ("slot", "i", "j"))
-        cid, label, n, tile = (rows.column(c).to_numpy() for c in ("cid", "label", "n_shingles", "tile"))
-        if label.min() == label.max():
-            return cid[:0], cid[:0]
-        symbols = rows.column("chunks").combine_chunks().flatten().to_numpy().view(np.uint16).reshape(len(cid), plan.chunks, 4)
-        screen = np.frombuffer(b"".join(rows.column("screen").to_pylist()), np.uint8).reshape(len(cid), plan.screen)
-        left, right = (tile == i).nonzero()[0], (tile == j).nonzero()[0]
-        found_a, found_b = [], []
-        for x in left.tolist():
-            y = right[right > x] if i == j else right
-            y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= plan.percent * np.maximum(n[y], n[x]))]
-            if len(y):
-                y = y[(screen[y] == screen[x]).sum(axis=1) >= least]
-            if len(y):
-                wrong = symbols[y] != symbols[x]
-                errors = wrong.sum(axis=2)
-                chunk = (errors <= 1).argmax(axis=1)  # the first chunk in which they meet, and its first fitting error
-                at = np.arange(len(y))
-                error = np.where(errors[at, chunk] == 0, 0, wrong[at, chunk].argmax(axis=1))
-                y = y[chunk * 4 + error == slot]
-                found_a.append(np.full(len(y), cid[x]))
-                found_b.append(cid[y])
-        if not found_a:
-            return cid[:0], cid[:0]
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return np.minimum(a, b), np.maximum(a, b)
+
+def _scan(batches: Iterator[pa.RecordBatch], plan: NearDup) -> Iterator[pa.RecordBatch]:
+    """All tile pairs of a task; rows arrive sorted by (slot, key, i, j), and tiles are bounded."""
+    def found(rows: list[pa.Table]) -> pa.RecordBatch:
+        columns = list(zip(*[pair for r in rows for pair in _scan_tile(r, plan)])) or [[], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "sure"])
 
     held: pa.Table | None = None
     for batch in batches:
@@ -134,17 +153,10 @@ def _scan(batches: Iterator[pa.RecordBatch], plan: NearDup) -> Iterator[pa.Recor
         keys = [rows.column(c).to_numpy() for c in ("slot", "key", "i", "j")]
         cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
         edges = [0, *cuts.tolist()]
-        done = [pairs(rows.slice(s, e - s)) for s, e in zip(edges, edges[1:])]
         held = rows.slice(edges[-1])
-        yield _links(done)
+        yield found([rows.slice(s, e - s) for s, e in zip(edges, edges[1:])])
     if held is not None and len(held):
-        yield _links([pairs(held)])
-
-
-def _links(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield found([held])
 
 
 def _key(slot: Column) -> Column:
@@ -216,15 +228,20 @@ def near_duplicates(documents: DataFrame, plan: NearDup = NearDup()) -> DataFram
     open_ = labelled.join(mixed.select("slot", "key"), ["slot", "key"], "left_semi")
     n_tiles = F.ceil(F.col("size") / TILE).cast("int")
     tiled = open_.withColumn("tile", F.pmod(F.xxhash64("cid"), n_tiles).cast("int")).select(
-        "slot", "key", "cid", "label", "tile", F.explode(F.sequence(F.lit(0), n_tiles - 1)).alias("other")
+        "slot", "key", "cid", "label", "size", "tile", F.explode(F.sequence(F.lit(0), n_tiles - 1)).alias("other")
     )
     tiled = tiled.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
-    long = sets.select("cid", "screen").dropDuplicates(["cid"]).join(
-        classes.select("cid", "n_shingles", "chunks"), "cid"
-    )
-    rows = tiled.join(long, "cid").repartition("slot", "key", "i", "j").sortWithinPartitions("slot", "key", "i", "j", "cid")
-    candidates = rows.mapInArrow(lambda it: _scan(it, plan), "a bigint, b bigint")
-    second = _confirmed(materialise(candidates.distinct(), "neardup-second"), sets, plan, "neardup-second")
+    names = ["slot", "key", "i", "j", "tile", "cid", "label", "n_shingles", "chunks", "screen", "shingles"]
+    screens = sets.select("cid", "screen").dropDuplicates(["cid"]).join(classes.select("cid", "n_shingles", "chunks"), "cid")
+    few = tiled.filter(F.col("size") <= FEW).join(screens, "cid").withColumn("shingles", F.lit(None).cast("binary"))
+    large = materialise(tiled.filter(F.col("size") > FEW).select("cid").distinct(), "neardup-large")
+    whole = sets.join(small(large, large.count()), "cid", "left_semi").dropDuplicates(["cid"])
+    many = tiled.filter(F.col("size") > FEW).join(whole.join(classes.select("cid", "n_shingles", "chunks"), "cid"), "cid")
+    rows = few.select(names).union(many.select(names)).repartition("slot", "key", "i", "j")
+    rows = rows.sortWithinPartitions("slot", "key", "i", "j", "cid")
+    candidates = materialise(rows.mapInArrow(lambda it: _scan(it, plan), "a bigint, b bigint, sure boolean"), "neardup-second")
+    second = _confirmed(candidates.filter("not sure").select("a", "b").distinct(), sets, plan, "neardup-second")
+    second = second.union(candidates.filter("sure").select("a", "b"))
 
     final = components(first.union(second), "neardup-all")
     named = classes.select("set_id", "cid", "doc_id").join(final.withColumnRenamed("node", "cid"), "cid", "left").select(
