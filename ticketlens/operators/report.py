@@ -289,6 +289,7 @@ def recommendations(inputs: ReportInputs, total: str = "largest", summary: DataF
 
 # --- Fixed values: report sections, with what is written where one has no rows ---------
 SECTIONS = (
+    (0, "period", "No period"),
     (1, "executive_summary", "No data available"),
     (2, "topic_bar", "No topic data available"),
     (2, "topic_pie", "No topic data available"),
@@ -328,6 +329,10 @@ def report_facts(
         )
 
     none = F.lit(None)
+    if inputs.tickets is not None and "created_at" in inputs.tickets.columns:
+        span = report_period_facts(inputs.tickets).filter("period_end is not null")
+        ends = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(c).alias("k"), F.col(c).alias("v")) for i, c in enumerate(span.columns)])
+        add("period", span.select(F.inline(ends)), F.col("k"), F.col("v"), none, ["n"])
     summary = executive_summary(inputs, total)
     fields = [c for c in summary.columns]
     numeric = {c for c in fields if c not in ("top_topic", "top_topic_pct", "critical_pct")}
@@ -390,5 +395,5 @@ def report_facts(
 
 def report_period_facts(tickets: DataFrame, days: int = 7) -> DataFrame:
     """(period_start, period_end): the span named in the header of the report."""
-    end = F.to_date(F.max("created_at"))
+    end = F.to_date(F.max(F.col("created_at").try_cast("timestamp_ntz")))
     return tickets.agg(F.date_sub(end, days).alias("period_start"), end.alias("period_end"))

@@ -181,7 +181,7 @@ def _(s):
     path = scratch_path(s.spark, "tickets") + ".csv"
     lines = _text_time(s.tickets).withColumn("text", F.replace("text", F.lit(" "), F.lit("\n")))
     lines.write.option("header", True).option("escape", '"').csv(path)
-    return _typed(readers.scan_csv(s.spark, path, readers.TICKET_SCHEMA))
+    return _typed(readers.scan_csv(s.spark, path, readers.TICKET_SCHEMA, multi_line=True))
 
 
 @query("scan_json", f"SELECT {_TICKET_COLS} FROM tickets")
@@ -222,11 +222,23 @@ def _(s):
     return tb.map_columns(docs, ticket_id="doc_id", text="text", created_at="seen_at", priority="lang")
 
 
-@query("load_enriched", "SELECT sentiment_label, count(*) AS \"count\" FROM scored GROUP BY 1")
+@query("load_enriched", """SELECT 'sentiment' AS part, ticket_id, sentiment_label AS a, CAST(NULL AS VARCHAR) AS b, lex_compound AS n FROM scored
+  UNION ALL SELECT 'topics', ticket_id, topic_label, NULL, topic FROM (SELECT r.ticket_id, 'T' || r.topic AS topic_label, r.topic FROM r_topics r)
+  UNION ALL SELECT 'tickets', ticket_id, text, priority, NULL FROM tickets
+  UNION ALL SELECT 'entities', ticket_id, entity, entity_type, NULL FROM mentions""")
 def _(s):
     path = scratch_path(s.spark, "enriched")
-    writers.write_enriched(tb.build_enriched(s.tickets, s.topics, None, s.scored), path)
-    return rp.sentiment_distribution(readers.load_enriched(s.spark, path).sentiment)
+    spans = en.extract_entities(s.tickets, s.names)
+    writers.write_enriched(_enriched(s).join(spans, "ticket_id"), path)
+    inputs = readers.load_enriched(s.spark, path)
+    none = F.lit(None)
+    parts = [
+        inputs.sentiment.select(F.lit("sentiment").alias("part"), "ticket_id", F.col("sentiment_label").alias("a"), none.cast("string").alias("b"), F.col("sentiment_score").alias("n")),
+        inputs.topics.select(F.lit("topics"), "ticket_id", "topic_label", none.cast("string"), F.col("topic").cast("double")),
+        inputs.tickets.select(F.lit("tickets"), "ticket_id", "text", "priority", none.cast("double")),
+        inputs.entities.select(F.lit("entities"), "ticket_id", "entity", "entity_type", none.cast("double")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 _ENRICHED = f"""SELECT {_TICKET_COLS}, r.topic, 'T' || r.topic AS topic_label, sentiment_label, sentiment_confidence, lex_compound,
@@ -249,11 +261,12 @@ def _info(s) -> DataFrame:
     return tp.topic_info(s.topics, tp.topic_keywords(tp.c_tf_idf(s.ticket_terms)))
 
 
-@query("write_topic_summary", "SELECT topic, \"count\", name FROM tt_info")
+@query("write_topic_summary", "SELECT topic, \"count\", name, keywords FROM tt_info")
 def _(s):
     path = scratch_path(s.spark, "topic_summary")
     writers.write_topic_summary(_info(s), path, "csv")
-    return readers.scan_csv(s.spark, path).select(F.col("topic").cast("int").alias("topic"), F.col("count").cast("bigint").alias("count"), "name")
+    words = F.array_join(F.from_json("keywords", "array<string>"), " | ").alias("keywords")
+    return readers.scan_csv(s.spark, path).select(F.col("topic").cast("int").alias("topic"), F.col("count").cast("bigint").alias("count"), "name", words)
 
 
 @query("write_entity_summary", "SELECT entity, entity_type, n AS \"count\" FROM entity_n")
@@ -804,7 +817,12 @@ def _(s):
 @query("entity_report", """SELECT 'top' AS part, entity AS a, entity_type AS b, n FROM (SELECT * FROM entity_n ORDER BY n DESC, entity, entity_type LIMIT 20)
   UNION ALL SELECT 'type', entity_type, NULL, count(*) FROM mentions GROUP BY 2
   UNION ALL SELECT 'critical', entity, reason, frequency FROM critical_e
-  UNION ALL SELECT 'totals', 'mentions', NULL, count(*) FROM mentions""")
+  UNION ALL SELECT 'totals', 'mentions', NULL, count(*) FROM mentions
+  UNION ALL SELECT 'totals', 'unique', NULL, count(*) FROM entity_n
+  UNION ALL SELECT 'totals', 'documents', NULL, count(*) FROM tickets
+  UNION ALL SELECT 'pairs', entity_a, entity_b, count(*) FROM (
+    SELECT DISTINCT a.ticket_id, a.entity AS entity_a, b.entity AS entity_b FROM mentions a JOIN mentions b ON a.ticket_id = b.ticket_id AND a.entity < b.entity) GROUP BY 2, 3
+  UNION ALL SELECT 'table', entity, entity_type, n FROM entity_n""")
 def _(s):
     parts = en.entity_report(materialise(s.mentions, "mentions"), s.tickets)
     none = F.lit(None).cast("string")
@@ -812,7 +830,10 @@ def _(s):
         parts["top_entities"].select(F.lit("top").alias("part"), F.col("entity").alias("a"), F.col("entity_type").alias("b"), F.col("count").alias("n")),
         parts["type_distribution"].select(F.lit("type"), "entity_type", none, "count"),
         parts["critical_entities"].select(F.lit("critical"), "entity", "reason", "frequency"),
-        parts["totals"].select(F.lit("totals"), F.lit("mentions"), none, "total_mentions"),
+        *[parts["totals"].select(F.lit("totals"), F.lit(k), none, c) for k, c in
+          (("mentions", "total_mentions"), ("unique", "total_unique_entities"), ("documents", "n_documents_processed"))],
+        parts["co_occurrence"].select(F.lit("pairs"), "entity_a", "entity_b", "count"),
+        parts["entity_table"].select(F.lit("table"), "entity", "entity_type", "count"),
     ]
     out = rows[0]
     for r in rows[1:]:
@@ -890,12 +911,13 @@ def _(s):
     return _round(tm.topic_probability(s.embedded, s.centroids, "topic").select("vec_id", "probability"), "probability", digits=6)
 
 
-@query("predict_topics", f"""SELECT b.vec_id, b.topic, array_to_string(k.words, ' | ') AS keywords, {_mean('b.p', 6)} AS probability
-  FROM (SELECT vec_id, arg_max(topic, sim) AS topic, max(exp(sim)) / sum(exp(sim)) AS p FROM sims WHERE vec_id IN (SELECT doc_id FROM documents) GROUP BY vec_id) b
-  JOIN (SELECT topic, list(term ORDER BY "rank") AS words FROM et_kw GROUP BY 1) k USING (topic)""")
+@query("predict_topics", f"""SELECT d.doc_id AS vec_id, coalesce(b.topic, -1) AS topic, coalesce(array_to_string(k.words, ' | '), '') AS keywords,
+  coalesce({_mean('b.p', 6)}, 0) AS probability
+  FROM documents d LEFT JOIN (SELECT vec_id, arg_max(topic, sim) AS topic, max(exp(sim)) / sum(exp(sim)) AS p FROM sims GROUP BY vec_id) b ON b.vec_id = d.doc_id
+  LEFT JOIN (SELECT topic, list(term ORDER BY "rank") AS words FROM et_kw GROUP BY 1) k USING (topic)""")
 def _(s):
-    texts = s.embedded_texts
-    keywords = tp.topic_keywords(tp.c_tf_idf(tp.term_counts(texts)))
+    keywords = tp.topic_keywords(tp.c_tf_idf(tp.term_counts(s.embedded_texts)))
+    texts = s.documents.select(F.col("doc_id").alias("vec_id"), "text").join(s.embedded, "vec_id", "left")
     found = tm.predict_topics(texts, s.centroids, keywords, id_col="vec_id")
     return _round(found, "probability", digits=6).withColumn("keywords", F.array_join("keywords", " | "))
 
@@ -968,7 +990,8 @@ def _load_encoder():
     return encode
 
 
-@query("embed_user")
+@query("embed_user", """SELECT doc_id, list_transform(range(26), lambda i: CAST((length(l) - length(replace(l, chr(CAST(97 + i AS INTEGER)), '')))::DOUBLE
+  / greatest(length(regexp_replace(l, '[^a-z]', '', 'g')), 1) AS FLOAT)) AS embedding FROM (SELECT doc_id, lower(coalesce(text, '')) AS l FROM documents)""")
 def _(s):
     return tm.embed_with(s.documents.select("doc_id", "text"), _load_encoder).select("doc_id", "embedding")
 
@@ -991,7 +1014,7 @@ def _(s):
 
 @query("assign_topics")
 def _(s):
-    model = tm.fit_topics(s.documents, ks=(8,), dimensions=256)
+    model = tm.fit_topics(s.documents)
     return tm.assign_topics(s.documents, model, "doc_id")
 
 
@@ -1049,7 +1072,9 @@ def _facts_sql() -> str:
     )
     num = "row_number() OVER (ORDER BY {})"
     n, d = "CAST(n AS DOUBLE) AS number", "NULL AS value"
+    last = "(SELECT CAST(max(created_at) AS DATE) AS last FROM tickets)"
     sections = [
+        part("period", f"SELECT 1 AS ord, 'period_start' AS key, CAST(CAST(last - INTERVAL 7 DAY AS DATE) AS VARCHAR) AS value, CAST(NULL AS DOUBLE) AS number FROM {last} UNION ALL SELECT 2, 'period_end', CAST(last AS VARCHAR), NULL FROM {last}"),
         part("executive_summary", rows),
         part("topic_bar", f"SELECT {num.format('n DESC, topic_label')} AS ord, topic_label AS key, {d}, {n} FROM topic_n ORDER BY n DESC, topic_label LIMIT 12"),
         part("topic_pie", f"SELECT {num.format('topic_label = ' + chr(39) + 'Other' + chr(39) + ', n DESC, topic_label')} AS ord, topic_label AS key, {_pct('n', 'sum(n) OVER ()')} AS value, {n} FROM pie"),
@@ -1079,7 +1104,7 @@ def _(s):
 @query("run_weekly")
 def _(s):
     output = scratch_path(s.spark, "weekly")
-    result = run_weekly(s.spark, s.tickets, output, WeeklyConfig(names=s.names, topic_counts=(10,)))
+    result = run_weekly(s.spark, s.tickets, output, WeeklyConfig(names=s.names))
     if result.errors:
         raise RuntimeError("; ".join(result.errors))
     return s.spark.read.parquet(f"{output}/report")

@@ -14,9 +14,8 @@ TICKET_COLUMNS = ("ticket_id", "text", "created_at", "priority", "channel", "cat
 TICKET_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in TICKET_COLUMNS])
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
-    """CSV with a header. Texts may hold quoted line breaks, which keeps each file in one piece; set
-    ``multi_line=False`` for data without them and large files are split."""
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header; large files are split. ``multi_line=True`` reads quoted line breaks, which keeps each file in one piece."""
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     if schema is not None:
         return reader.schema(schema).option("enforceSchema", False).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -40,7 +41,7 @@ def write_entity_summary(mentions: DataFrame, path: str, critical: DataFrame | N
 
 def write_report(facts: DataFrame, path: str, run_id: str | None = None, fmt: str = "parquet") -> str:
     """Add one run to the report table, which is partitioned by run."""
-    run_id = run_id or datetime.now().strftime("%Y%m%d_%H%M%S")
+    run_id = run_id or f"{datetime.now():%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
     # A report is a few hundred rows: one file per run.
-    facts.withColumn("generated_at", F.lit(run_id)).coalesce(1).write.mode("overwrite").format(fmt).save(f"{path}/run_id={run_id}")
+    facts.withColumn("generated_at", F.lit(run_id)).repartition(1).write.mode("overwrite").format(fmt).save(f"{path}/run_id={run_id}")
     return run_id
