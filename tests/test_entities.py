@@ -151,3 +151,8 @@ def test_complaint_words_are_literal(spark):
     df = spark.createDataFrame([("it Broke a+b",), ("a REFUND",), ("fine",), (None,)], "text string")
     got = [r[0] for r in df.select(en.tx.complaint_context(F.col("text"), ["a+b", "x\\Ey"])).collect()]
     assert got == [True, True, False, False]
+
+
+def test_empty_corpus_is_an_error(tickets, names):
+    with pytest.raises(ValueError, match="no documents"):
+        en.extract_entities(tickets.limit(0), names)

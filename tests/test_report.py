@@ -105,6 +105,8 @@ def test_merged(frames):
     assert merged.count() == 10 and merged.filter("has_entities").count() == 4
     assert tb.merged_with_entity_flag(None, frames.sentiment, frames.entities) is frames.sentiment
     assert tb.merged_with_entity_flag(None, None, frames.entities) is frames.entities
+    assert tb.merged_with_entity_flag(frames.topics.limit(0), frames.sentiment, None) is frames.sentiment
+    assert tb.merged_with_entity_flag(None, frames.sentiment.limit(0), frames.entities) is frames.entities
 
 
 def test_value_counts(spark):
@@ -122,10 +124,10 @@ def test_facts_with_one_table_missing(frames, gone):
         "topics": {"topic_bar", "topic_pie", "topic_words", "sentiment_by_topic"},
         "sentiment": {"sentiment_distribution", "sentiment_trend", "sentiment_by_topic", "topic_words"},
         "entities": {"entity_bar", "entity_by_type", "entity_heatmap", "topic_words"},
-        "tickets": {"sentiment_trend", "topic_words"},
+        "tickets": {"sentiment_trend", "topic_words", "period"},
     }[gone]
     assert missing == expected
-    assert {r["section"] for r in rows} == {1, 2, 3, 4, 5, 6}
+    assert {r["section"] for r in rows} == {0, 1, 2, 3, 4, 5, 6}
 
 
 def test_section_switches(frames):

@@ -143,12 +143,12 @@ def extract_entities(
     id_col: str = "ticket_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, entities) for every ticket; null and short texts get an empty array.
+    """(id, entities) for every ticket; null and short texts get an empty array. An empty table is an error.
 
     ``extractor`` replaces patterns and names by a function from the table to a mention table
     (id, entity, entity_type, start, end), for example a model behind ``mapInPandas``.
     """
-    found = entity_mentions(df, names, types, extractor, id_col, text_col, flat=False)
+    found = entity_mentions(require_texts(df), names, types, extractor, id_col, text_col, flat=False)
     empty = F.from_json(F.lit("[]"), MENTION)
     return df.select(id_col).join(found, id_col, "left").withColumn("entities", F.coalesce("entities", empty))
 
@@ -172,7 +172,19 @@ def entity_mentions(
     grouped = _grouped(target_types(found, types), id_col)
     if not flat:
         return grouped
-    return grouped.select(id_col, F.inline("entities")).toDF(id_col, "entity", "entity_type", "start", "end")
+    return flat_mentions(grouped, id_col)
+
+
+def flat_mentions(arrays: DataFrame, id_col: str = "ticket_id") -> DataFrame:
+    """One row per mention from the arrays of ``extract_entities``."""
+    return arrays.select(id_col, F.inline("entities")).toDF(id_col, "entity", "entity_type", "start", "end")
+
+
+def require_texts(df: DataFrame) -> DataFrame:
+    """The table itself; an empty corpus is an error."""
+    if df.isEmpty():
+        raise ValueError("no documents to extract entities from")
+    return df
 
 
 def entity_counts(mentions: DataFrame) -> DataFrame:

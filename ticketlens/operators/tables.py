@@ -84,20 +84,25 @@ def build_enriched(
     entities: DataFrame | None = None,
 ) -> DataFrame:
     """Tickets with topic, topic label, sentiment columns and, when given, the entity arrays."""
-    out = tickets
+    # The narrow tables meet first, so that the texts are joined once.
+    beside = None if topics is None else topics.select("ticket_id", "topic")
+    if entities is not None:
+        arrays = entities.select("ticket_id", "entities")
+        beside = arrays if beside is None else beside.join(arrays, "ticket_id", "full")
+    out = tickets if beside is None else tickets.join(beside, "ticket_id", "left")
     if topics is not None:
-        out = enrich_topic(out, topics)
+        out = out.withColumn("topic", F.coalesce("topic", F.lit(OUTLIER)))
         out = topic_label_map(out, info) if info is not None else out.withColumn("topic_label", F.lit(UNKNOWN_TOPIC))
     if sentiment is not None:
         out = enrich_sentiment(out, sentiment)
-    if entities is not None:
-        out = out.join(entities.select("ticket_id", "entities"), "ticket_id", "left")
     added = [c for c in out.columns if c not in tickets.columns]
     return out.select(*tickets.columns, *added)
 
 
-def merged_with_entity_flag(topics: DataFrame | None, sentiment: DataFrame | None, entities: DataFrame | None) -> DataFrame:
-    """Topics with sentiment beside them and a flag for tickets that have entities. None means no table."""
+def merged_with_entity_flag(topics: DataFrame | None, sentiment: DataFrame | None, entities: DataFrame | None) -> DataFrame | None:
+    """Topics with sentiment beside them and a flag for tickets that have entities. Without topics, the first of sentiment and
+    entities that has rows. No table and an empty one are the same."""
+    topics, sentiment, entities = (None if t is None or t.isEmpty() else t for t in (topics, sentiment, entities))
     if topics is None:
         return sentiment if sentiment is not None else entities
     out = topics

@@ -110,33 +110,27 @@ def run_weekly(spark: SparkSession, source: str | DataFrame, output: str, config
         return tp.topic_info(assigned, keywords)
 
     def sentiment() -> DataFrame:
-        scored = se.analyze_sentiment(
-            tickets.select("ticket_id", "text"), model=cfg.sentiment_model, alpha=cfg.hybrid_alpha,
-            critical_threshold=cfg.critical_threshold,
+        # Row-local: the scores are written beside the tickets, and the enriched table needs no join for them.
+        return se.analyze_sentiment(
+            tickets, model=cfg.sentiment_model, alpha=cfg.hybrid_alpha, critical_threshold=cfg.critical_threshold,
         )
-        return scored.drop("text")
 
     def mentions() -> DataFrame:
-        if result.n_tickets == 0:
-            raise ValueError("no documents")
-        return en.entity_mentions(tickets, cfg.names, cfg.entity_types)
+        return en.entity_mentions(en.require_texts(tickets), cfg.names, cfg.entity_types, flat=False)
 
     assigned = stage("topics", topics)
     named = stage("topic_info", info) if assigned is not None else None
     if named is not None:
         sink("topic_summary", lambda: writers.write_topic_summary(named, f"{output}/topic_summary", cfg.fmt))
     scored = stage("sentiment", sentiment)
-    found = stage("entities", mentions)
+    arrays = stage("entities", mentions)
+    found = None if arrays is None else en.flat_mentions(arrays)
     if found is not None:
         critical = en.critical_entities(found, tickets, high_value=cfg.critical_money_threshold)
         sink("entity_summary", lambda: writers.write_entity_summary(found, f"{output}/entity_summary", critical, cfg.fmt))
 
     def enriched() -> DataFrame:
-        arrays = None
-        if cfg.with_entities and found is not None:
-            spot = F.struct(F.col("start"), F.col("end"), F.col("entity").alias("text"), F.col("entity_type").alias("label"))
-            arrays = found.groupBy("ticket_id").agg(F.array_sort(F.collect_list(spot)).alias("entities"))
-        return tb.build_enriched(tickets, assigned, named, scored, arrays)
+        return tb.build_enriched(tickets if scored is None else scored, assigned, named, None, arrays if cfg.with_entities else None)
 
     sink("enriched_tickets", lambda: writers.write_enriched(enriched(), f"{output}/enriched_tickets", cfg.fmt))
 
