@@ -1,22 +1,12 @@
-"""Queries against their SQL on the smallest tables. FULL=1 compares all, else a share of every group."""
-
-import os
+"""Queries against their SQL on the smallest tables."""
 
 import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from ticketlens.plans.catalog import ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
-SHARE = (
-    "ticket_source scan_csv scan_json load_tickets collapse_ws parse_money pct report_period enrich_topic topic_label_map "
-    "merged_with_entity_flag keyword_contains_join co_occurrence topic_sentiment_breakdown type_cooccurrence pie_with_other "
-    "dedupe_exact sentiment_trend critical_tickets lexicon_sentiment lexicon_sentiment_documents lexicon_join_sentiment hybrid_score "
-    "analyze_one entity_mentions extract_entities critical_entities term_counts_documents topic_keywords representative_docs "
-    "predict_topics topic_similarity topic_word_counts report_facts"
-).split()
-ORACLES = entry.oracle_sql()
-NAMES = list(ORACLES) if os.environ.get("FULL") else SHARE
 
 
 @pytest.fixture(scope="module")
@@ -24,13 +14,13 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_same_rows(spark, con, name):
     assert difference(entry.queries()[name](spark, FOLDER), con, ORACLES[name]) is None
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
