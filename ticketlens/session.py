@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -35,6 +37,7 @@ def scratch_root(spark: SparkSession) -> str:
         if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ticketlens-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         sc.setCheckpointDir(configured)
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
@@ -42,8 +45,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/ticketlens/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in this application's part of the shared folder."""
+    return f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/ticketlens/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables that this application wrote to the shared folder. Call it when its results have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
