@@ -6,7 +6,7 @@ import pytest
 
 from ticketlens.llm.mixing import MixPlan, mix, queue
 
-SCHEMA = "doc_id bigint, text string, source string, size string, copies string, key string"
+SCHEMA = "doc_id bigint, text string, source string, size string, _copies string, _copy string"
 
 
 def brute(rows):

@@ -4,7 +4,7 @@ import re
 
 from ticketlens.llm.secrets import BASE, IDENTIFIERS, KEYS, KINDS, REACH, WEAK, digests, redact, scan
 
-SCHEMA = "doc_id bigint, text string, n_chars bigint, base string, spans string, row_key string"
+SCHEMA = "doc_id bigint, text string, n_chars bigint, _spans string, _found string, row_key string"
 
 
 def found(text, patterns):

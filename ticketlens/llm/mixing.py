@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketlens.llm.frames import fresh
 from ticketlens.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -138,7 +139,8 @@ def mix(documents: DataFrame, plan: MixPlan = MixPlan(), doc_id: str = "doc_id",
         places.alias("p"),
         F.col(f"d.{doc_id}").eqNullSafe(F.col("p._id")) & F.col(f"d.{source}").eqNullSafe(F.col("p._source")) & (size == F.col("p._size")),
     )
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("p._copies"))).alias("_copy")).select(*[F.col(f"`{c}`") for c in documents.columns])
+    again = F.explode(F.sequence(F.lit(1), F.col("p._copies"))).alias(fresh("_copy", documents.columns))
+    return joined.select("d.*", again).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 ORACLE = """

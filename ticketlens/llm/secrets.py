@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.arrays import running_total
+from ticketlens.llm.frames import fresh
 from ticketlens.session import materialise
 
 
@@ -163,11 +164,12 @@ def redact(documents: DataFrame, marker: str = "[SECRET]", reach: int = REACH, d
         lambda acc: F.concat(F.array_join(acc["parts"], ""), body.substr((acc["upto"] + 1).cast("int"), F.length(body))),
     )
     new = F.when(F.col("s._spans").isNull(), body).otherwise(cleaned)
-    columns = [F.col(f"d.`{c}`") if c != text else F.col("_new").alias(text) for c in documents.columns]
-    out = joined.select("d.*", "s._spans", new.alias("_new")).alias("d")
+    found, changed = fresh("_found", documents.columns), fresh("_changed", documents.columns)
+    columns = [F.col(f"`{c}`") if c != text else F.col(changed).alias(text) for c in documents.columns]
+    out = joined.select("d.*", F.col("s._spans").isNotNull().alias(found), new.alias(changed))
     if "n_chars" in documents.columns:
         at = documents.columns.index("n_chars")
-        size = F.when(F.col("_spans").isNull(), F.col("d.n_chars")).otherwise(F.length("_new"))
+        size = F.when(F.col(found), F.length(changed)).otherwise(F.col("n_chars"))
         columns[at] = size.cast(documents.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*columns)
 
