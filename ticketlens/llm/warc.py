@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.llm.frames import small
+from ticketlens.session import materialise
+
 _END = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SMALLEST_REVISITED = 100
@@ -46,8 +49,8 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", page_id: str =
         F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).alias("size"),
     )
     equal = rows.filter(F.col("size") >= SMALLEST_REVISITED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    equal = equal.filter("n > 1").select(F.col("digest").alias("equal"), "first")
-    joined = rows.join(equal, rows.digest == equal.equal, "left")
+    equal = materialise(equal.filter("n > 1").select(F.col("digest").alias("equal"), "first"), "warc-equal")
+    joined = rows.join(small(equal, equal.count()), rows.digest == equal.equal, "left")
     revisit = F.col("equal").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     me = _record_id("response", F.col("page_id"), F.col("digest"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(_END * 2))
