@@ -16,7 +16,7 @@ from ticketlens.llm.pieces import encode_documents
 from ticketlens.llm.quality import ORACLE as QUALITY_ORACLE
 from ticketlens.llm.quality import quality_verdicts
 from ticketlens.llm.token_counts import Vocabulary, count_tokens
-from ticketlens.session import scratch_path
+from ticketlens.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,7 +60,7 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op4_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(warc.records(read(spark, folder, "pages")), path)
-    return warc.capture_digests(warc.assemble(warc.read(spark, path)))
+    return warc.capture_digests(warc.assemble(materialise(warc.read(spark, path), "warc-records")))
 
 
 ORACLES["op4_warc_transactions"] = warc.ORACLE
