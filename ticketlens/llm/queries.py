@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.llm import langid, mixing, secrets, toxicity, warc
 from ticketlens.llm.fingerprints import compare_with_next
-from ticketlens.llm.frames import read
+from ticketlens.llm.frames import read, small
 from ticketlens.llm.neardup import near_duplicates
 from ticketlens.llm.pieces import encode_documents
 from ticketlens.llm.quality import ORACLE as QUALITY_ORACLE
@@ -49,9 +49,10 @@ def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
-    labels = read(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    learnt = labels.filter(~toxicity.held_out(F.col("id")) & F.col("label").isNotNull())
-    model = toxicity.train(documents.join(learnt, F.col("doc_id") == F.col("id")).select("text", "label"))
+    labels = read(spark, folder, "labels")
+    picked, counts = toxicity.pick(labels.filter(~toxicity.held_out(F.col("doc_id"))), label="toxic")
+    learnt = documents.select("doc_id", "text").join(small(picked, picked.count()), F.col("doc_id") == F.col("id"))
+    model = toxicity.train(learnt.select("text", "label"), true_counts=counts)
     scores = toxicity.score(documents, model)
     return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 

@@ -108,17 +108,32 @@ def fit(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, pairs: tuple[
     return w, float(bias)
 
 
-def train(labelled: DataFrame, plan: ToxicityPlan = ToxicityPlan(), text: str = "text", label: str = "label") -> ToxicityModel:
+def pick(labels: DataFrame, plan: ToxicityPlan = ToxicityPlan(), doc_id: str = "doc_id", label: str = "label") -> tuple[DataFrame, dict[int, int]]:
+    """A sample (id, label) of a label table, fixed by a hash of the ids, and the true number of each label; so that only the texts
+    of the sample need be looked up. Rows without an id or with another label than 0 and 1 are left out."""
+    rows = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL")
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("label") == 1, F.lit(plan.per_label / counts.get(1, 1))).otherwise(F.lit(plan.per_label / counts.get(0, 1)))
+    lucky = F.pmod(F.xxhash64("id", F.lit(plan.seed)), F.lit(1_000_000)) < share * 1_000_000
+    return materialise(rows.filter(lucky), "toxicity-picked"), counts
+
+
+def train(
+    labelled: DataFrame, plan: ToxicityPlan = ToxicityPlan(), text: str = "text", label: str = "label", true_counts: dict[int, int] | None = None
+) -> ToxicityModel:
     """The model learnt from the rows with a label 0 or 1. Other labels are ignored, null texts are empty. The sample is fixed by a hash of
     the texts and weighted back to the labels' true shares. Features are counted in Spark; the driver gets the most
-    telling ones and, for each sampled text, which of them it has. Without rows of both labels only the prior is learnt."""
+    telling ones and, for each sampled text, which of them it has. Without rows of both labels only the prior is learnt.
+    ``true_counts`` gives the labels' numbers if ``labelled`` is a sample already."""
     rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("label") == 1, F.lit(plan.per_label / counts.get(1, 1))).otherwise(F.lit(plan.per_label / counts.get(0, 1)))
+    if true_counts is not None:
+        counts = {y: true_counts.get(y, 0) if counts.get(y) else 0 for y in (0, 1)}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     prior = float(np.log((n1 + 0.5) / (n0 + 0.5)))
     if not n0 or not n1:
         return ToxicityModel(plan, {}, prior)
-    share = F.when(F.col("label") == 1, F.lit(plan.per_label / n1)).otherwise(F.lit(plan.per_label / n0))
     lucky = F.pmod(F.xxhash64("text", F.lit(plan.seed)), F.lit(1_000_000)) < share * 1_000_000
     sample = materialise(rows.filter(lucky), "toxicity-sample")
 
