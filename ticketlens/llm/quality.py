@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketlens.llm.frames import fresh
+from ticketlens.llm.frames import fresh, small
 from ticketlens.llm.shingles import WordHasher, text_bytes, windows
+from ticketlens.session import materialise
 
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b" \t\n\x0b\x0c\r"
@@ -129,6 +130,13 @@ def host_rates(verdicts: DataFrame, host: str = "host", fault: str = "fault") ->
     )
 
 
+def _bad_hosts(judged: DataFrame, rules: QualityRules) -> DataFrame:
+    """Hosts above the limit. The table is written and counted, so that the texts are joined to it without a shuffle by host."""
+    bad = host_rates(judged).filter(F.col("rate") > rules.host_limit).select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
+    bad = materialise(bad, "quality-hosts")
+    return small(bad, bad.count())
+
+
 def quality_verdicts(
     documents: DataFrame, rules: QualityRules = QualityRules(), doc_id: str = "doc_id", text: str = "text", host: str = "source"
 ) -> DataFrame:
@@ -143,7 +151,7 @@ def quality_verdicts(
     judged = measured.select("doc_id", "host", *[F.col(names[m]).alias(m) for m in MEASURES]).withColumns(
         {"base_failed": rules.failed(), "fault": rules.faulty()}
     )
-    bad = host_rates(judged).filter(F.col("rate") > rules.host_limit).select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
+    bad = _bad_hosts(judged, rules)
     out = judged.join(bad, judged.host.eqNullSafe(bad.bad_host), "left")
     kept = ~F.col("base_failed") & ~(F.col("bad").isNotNull() & F.col("fault"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
@@ -156,7 +164,7 @@ def keep_good(documents: DataFrame, rules: QualityRules = QualityRules(), text:
     """
     narrow, names = measure(documents.select(F.col(host).alias("host"), F.col(text).alias("text")), rules)
     judged = narrow.select("host", *[F.col(names[m]).alias(m) for m in MEASURES]).select("host", rules.faulty().alias("fault"))
-    bad = host_rates(judged).filter(F.col("rate") > rules.host_limit).select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
+    bad = _bad_hosts(judged, rules)
     measured, names = measure(documents, rules, text)
     rows = measured.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *[F.col(names[m]).alias(m) for m in MEASURES])
     rows = rows.select("row", F.col("row")[host].alias("host"), rules.failed().alias("failed"), rules.faulty().alias("fault"))
