@@ -60,7 +60,7 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    warc.write(warc.records(read(spark, folder, "pages")), path)
+    warc.write(warc.records(read(spark, folder, "pages")), path, "gzip")
     return warc.capture_digests(warc.assemble(materialise(warc.read(spark, path), "warc-records")))
 
 
