@@ -40,6 +40,16 @@ def test_load(spark, tmp_path, kind):
     assert sorted(map(tuple, rows)) == [("1", 'line one\nline "two", three'), ("2", "plain")]
 
 
+def test_quoted_line_breaks_survive_every_csv_path(spark, tmp_path):
+    path = tmp_path / "tickets.csv"
+    write(path, "csv")
+    result = run_weekly(spark, str(path), str(tmp_path / "run"), WeeklyConfig(topic_counts=(2,)))
+    tickets = spark.read.parquet(str(tmp_path / "run" / "stages" / "tickets"))
+    assert result.n_tickets == 4 and tickets.filter("ticket_id = '1'").first()["text"] == RECORDS[0]["text"]
+    assert readers.scan_csv(spark, str(path)).count() == 4
+    assert readers.scan_tickets(spark, str(path), multi_line=False).count() == 5
+
+
 def test_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.load_tickets(spark, str(tmp_path / "none.csv"))

@@ -45,6 +45,7 @@ class WeeklyConfig:
     sentiment_model: Callable[[DataFrame], DataFrame] | None = None
     names: DataFrame | None = None
     fmt: str = "parquet"
+    csv_multi_line: bool = True
 
 
 @dataclass
@@ -86,7 +87,7 @@ def run_weekly(spark: SparkSession, source: str | DataFrame, output: str, config
 
     try:
         columns = (cfg.ticket_id_col, cfg.text_col, cfg.timestamp_col, cfg.priority_col)
-        raw = scan_tickets(spark, source, None, *columns) if isinstance(source, str) else tb.map_columns(source, *columns)
+        raw = scan_tickets(spark, source, None, *columns, cfg.csv_multi_line) if isinstance(source, str) else tb.map_columns(source, *columns)
         raw = raw.withColumn("text", tx.fill_text(F.col("text")))
         if "created_at" in raw.columns and dict(raw.dtypes)["created_at"] == "string":
             raw = raw.withColumn("created_at", F.try_to_timestamp("created_at").cast("timestamp_ntz"))

@@ -14,8 +14,8 @@ TICKET_COLUMNS = ("ticket_id", "text", "created_at", "priority", "channel", "cat
 TICKET_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in TICKET_COLUMNS])
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
-    """CSV with a header; large files are split. ``multi_line=True`` reads quoted line breaks, which keeps each file in one piece."""
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header and quoted line breaks, each file in one piece. ``multi_line=False`` splits large files, but tears quoted line breaks."""
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     if schema is not None:
         return reader.schema(schema).option("enforceSchema", False).csv(path)
@@ -52,23 +52,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def scan_tickets(
     spark: SparkSession, path: str, schema: T.StructType | None = None, ticket_id: str = "ticket_id", text: str = "text",
-    created_at: str = "created_at", priority: str | None = "priority",
+    created_at: str = "created_at", priority: str | None = "priority", multi_line: bool = True,
 ) -> DataFrame:
-    """Read by suffix, check the required columns and rename configured ones to the standard names."""
-    return map_columns(_by_suffix(spark, path, schema), ticket_id, text, created_at, priority)
+    """Read by suffix, check the required columns and rename configured ones to the standard names. ``multi_line`` is that of CSV files."""
+    return map_columns(_by_suffix(spark, path, schema, multi_line), ticket_id, text, created_at, priority)
 
 
-def load_tickets(spark: SparkSession, path: str, text_col: str = "text", schema: T.StructType | None = None) -> DataFrame:
-    """Read by suffix and validate: blank texts and whole-row duplicates are dropped."""
-    return validate_tickets(require_columns(_by_suffix(spark, path, schema), [text_col]), text_col)
+def load_tickets(spark: SparkSession, path: str, text_col: str = "text", schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """Read by suffix and validate: blank texts and whole-row duplicates are dropped. ``multi_line`` is that of CSV files."""
+    return validate_tickets(require_columns(_by_suffix(spark, path, schema, multi_line), [text_col]), text_col)
 
 
-def _by_suffix(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+def _by_suffix(spark: SparkSession, path: str, schema: T.StructType | None, multi_line: bool) -> DataFrame:
     suffix = PurePosixPath(path).suffix.lower()
     if not _exists(spark, path):
         raise FileNotFoundError(path)
     if suffix not in _READERS:
         raise ValueError(f"unsupported suffix {suffix!r}: use one of {sorted(_READERS)}")
+    if suffix == ".csv":
+        return scan_csv(spark, path, schema, multi_line)
     return _READERS[suffix](spark, path, schema)
 
 
