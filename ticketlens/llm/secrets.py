@@ -2,9 +2,10 @@
 
 Three patterns find secrets by themselves. Other parts are too common to report alone: short access identifiers, account names, long
 runs of key characters, endpoints. They are joined by intervals: two parts belong together if they start within ``reach`` code points of
-each other, and a weak part is reported only if a complementary one is there. An identifier and a key complement each other; an
-endpoint needs both. For the join every part is filed under bins of ``reach`` code points; parts of one kind do not overlap, so
-that a bin holds a bounded number of them, and semi-joins never form pairs. Only DataFrame functions are used.
+each other, or, with ``gaps``, if at most ``reach`` code points lie between them, however long they are. A weak part is reported only
+if a complementary one is there. An identifier and a key complement each other; an endpoint needs both. For the join every part is
+filed under bins of ``reach`` code points, with ``gaps`` under those before its start and behind its end; parts of one kind do not
+overlap, so that a bin holds a bounded number of them, and semi-joins never form pairs. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -87,12 +88,13 @@ def _row_key(doc_id: str, text: str) -> Column:
     return F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))
 
 
-def scan(documents: DataFrame, reach: int = REACH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(documents: DataFrame, reach: int = REACH, doc_id: str = "doc_id", text: str = "text", gaps: bool = False) -> DataFrame:
     """Per row of ``documents``: doc_id, row_key, base and spans, arrays of (start, number, kind, end) in code points, ends exclusive.
 
     ``base`` holds the matches of the patterns that stand for themselves, ``spans`` also the linked weak parts, both by
     start and then kind. A weak span that equals a base span is not given twice. Null is an empty text. Rows with equal id and text
-    get equal answers. An empty table gives no rows. Other columns are ignored.
+    get equal answers. An empty table gives no rows. Other columns are ignored. ``gaps`` measures the reach from the end of a part to
+    the start of the next instead of between their starts.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     strong = F.array_sort(F.concat(*[_spans(whole, *p) for p in BASE]))
@@ -113,6 +115,21 @@ def scan(documents: DataFrame, reach: int = REACH, doc_id: str = "doc_id", text:
         close = F.abs(F.col("start") - F.col("o_start")) <= reach
         return rows.join(filed, (F.col("row_key") == F.col("o_row")) & (F.col("bin") == F.col("o_bin")) & close & apart, "left_semi")
 
+    def beside(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Rows with one of the others at most ``reach`` code points behind their end or before their start."""
+        def place(side: str, at: Column) -> Column:
+            return F.struct(F.lit(side).alias("side"), F.floor(at / reach).alias("bin"))
+
+        start, end = F.col("start"), F.col("end")
+        fields = [place("before", start - reach), place("before", start), place("behind", end), place("behind", end + reach)]
+        filed = others.select(
+            F.col("row_key").alias("o_row"), start.alias("o_start"), end.alias("o_end"), F.explode(F.array(*fields)).alias("o_place")
+        ).distinct()
+        placed = rows.withColumn("place", F.explode(F.array(place("before", end), place("behind", start))))
+        close = F.when(F.col("place.side") == "before", F.col("o_start") - end).otherwise(start - F.col("o_end")).between(0, reach)
+        return placed.join(filed, (F.col("row_key") == F.col("o_row")) & (F.col("place") == F.col("o_place")) & close, "left_semi").drop("place").distinct()
+
+    near = beside if gaps else near
     identifiers, keys = parts.filter(F.col("kind").isin(*IDENTIFIERS)), parts.filter(F.col("kind").isin(*KEYS))
     is_weak = F.col("number") >= len(BASE)
     linked = (
@@ -142,10 +159,12 @@ def digests(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
-def redact(documents: DataFrame, marker: str = "[SECRET]", reach: int = REACH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(
+    documents: DataFrame, marker: str = "[SECRET]", reach: int = REACH, doc_id: str = "doc_id", text: str = "text", gaps: bool = False
+) -> DataFrame:
     """``documents`` with every span of its texts replaced by ``marker``; spans that touch or overlap get one. A column ``n_chars``
-    is set to the new length in code points. Rows without a span stay as they are."""
-    spans = scan(documents, reach, doc_id, text).filter("size(spans) > 0").select(F.col("row_key").alias("_key"), F.col("spans").alias("_spans"))
+    is set to the new length in code points. Rows without a span stay as they are. ``gaps`` as in ``scan``."""
+    spans = scan(documents, reach, doc_id, text, gaps).filter("size(spans) > 0").select(F.col("row_key").alias("_key"), F.col("spans").alias("_spans"))
     spans = spans.dropDuplicates(["_key"])
     joined = documents.alias("d").join(spans.alias("s"), _row_key(f"d.{doc_id}", f"d.{text}") == F.col("s._key"), "left")
     body = F.col(f"d.{text}")
