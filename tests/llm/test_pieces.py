@@ -76,3 +76,12 @@ def test_documents(spark, library, folder):
         want.append((i, len(ids), *shas))
     assert sorted((tuple(r) for r in encode_documents(frame, PATH).collect()), key=repr) == sorted(want, key=repr)
     assert encode_documents(frame.limit(0), PATH, with_ids=True).collect() == []
+
+
+def test_decoded_text_is_that_of_the_ids(own, library):
+    for text in ("one two", "日本語 x", "é🙂 a  b", " ▁x", "", None):
+        n, _, decoded, ids = own.digest(text)
+        assert decoded == hashlib.sha256(library.decode([int(i) for i in ids.split(" ")]).encode()).hexdigest()
+    broken = PieceEncoder(PATH)
+    broken.memo["one"] = broken.memo["three"]
+    assert broken.digest("one two")[2] == hashlib.sha256(b"three two").hexdigest()

@@ -26,6 +26,7 @@ _BLANK = "▁"
 _MEMO_LIMIT = 300_000
 _NONE = float("-inf")
 _WORDS = re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+")
+_BYTE_RUNS = re.compile("[\udc00-\udcff]+")
 
 
 class PieceEncoder:
@@ -57,7 +58,10 @@ class PieceEncoder:
         self.fits = functools.lru_cache(_MEMO_LIMIT)(self._fits)
         self.blanks = functools.lru_cache(1 << 10)(self._blanks)
         self.memo, self.parts = Remembered(self._ids_text, _MEMO_LIMIT), Remembered(self._part, _MEMO_LIMIT // 2)
-        self.odd = False
+        self.written = {str(i): self.pieces[i] for i in self.plain} | {str(i): "" for i in special}
+        # Bytes are written as lone surrogates, which no piece holds, until their runs are decoded.
+        self.written |= {str(i): chr(0xDC00 + b) for i, b in self.bytes.items()}
+        self.run = functools.lru_cache(1 << 16)(_run)
 
     def merge(self, text: str) -> list[str]:
         """The model's own rule: join the best pair, the leftmost among equals, until none is a piece."""
@@ -125,10 +129,7 @@ class PieceEncoder:
         return [self.byte_ids.get(b, self.unknown) for b in text.encode()] if self.byte_ids else [self.unknown]
 
     def _ids_text(self, key: str) -> str:
-        ids = self._word(_BLANK + key)
-        if self.decode(ids) != key.replace(_BLANK, " "):
-            self.odd = True
-        return " ".join(map(str, ids))
+        return " ".join(map(str, self._word(_BLANK + key)))
 
     def words(self, text: str | None) -> list[str]:
         """A text's words without the blank that stands before each; other blanks belong to the word behind them."""
@@ -161,11 +162,15 @@ class PieceEncoder:
         first = next((i for i in ids if i not in self.special), None)
         return text[1:] if first is not None and first not in self.bytes and text.startswith(" ") else text
 
+    def _decode_written(self, ids: list[str]) -> str:
+        """``decode`` of decimal ids with special ids at the end only: a look-up each, then the runs of bytes."""
+        text = "".join(map(self.written.__getitem__, ids)).replace(_BLANK, " ").removeprefix(" ")
+        return text if text.isascii() else _BYTE_RUNS.sub(lambda m: self.run(m[0]), text)
+
     def digest(self, text: str | None) -> tuple[int, str, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text, and the ids, from remembered words."""
         ids = " ".join([*map(self.memo.__getitem__, self.words(text)), str(self.end)])
-        # Each remembered word was decoded once; the text needs decoding only if some word did not give itself again.
-        decoded = self.decode([int(i) for i in ids.split(" ")]) if self.odd or not text else text.replace(_BLANK, " ")
+        decoded = self._decode_written(ids.split(" "))
         return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids
 
 
@@ -186,6 +191,10 @@ class Remembered(dict):
         return value
 
 
+def _run(marks: str) -> str:
+    return _lenient(bytes(ord(c) - 0xDC00 for c in marks))
+
+
 def _lenient(data: bytes) -> str:
     """UTF-8, one replacement sign for each byte that belongs to no character."""
     out, at = [], 0
