@@ -186,3 +186,15 @@ def test_alert_preview(spark):
     df = spark.createDataFrame([("1", "worst terrible horrible " + "x" * 200)], "ticket_id string, text string")
     row = se.sentiment_alerts(se.analyze_sentiment(df)).first()
     assert len(row["preview"]) == 120
+
+
+def test_hybrid_query_normalises(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from ticketlens.plans import catalog
+
+    texts = ["this is terrible and broken", "this is \uff54\uff45\uff52\uff52\uff49\uff42\uff4c\uff45 and broken"]
+    tickets = spark.createDataFrame([(str(i), t, None) for i, t in enumerate(texts)], "ticket_id string, text string, priority string")
+    monkeypatch.setattr(catalog, "Source", lambda spark, folder: SimpleNamespace(tickets=tickets))
+    rows = {r.ticket_id: r for r in catalog.QUERIES["hybrid_score"](spark, "").collect()}
+    assert rows["0"].sentiment_confidence == rows["1"].sentiment_confidence != 0

@@ -729,7 +729,7 @@ _H = _hybrid("lex_compound", "coalesce(ml, 'neutral')", "coalesce(ms, 0)")
 @query("hybrid_score", f"""SELECT ticket_id, {_label('h')} AS sentiment_label, round(least(abs(h), 1), 4) AS sentiment_confidence, coalesce(ms, 0) AS model_score
   FROM (SELECT *, {_H} AS h FROM (SELECT *, {_BY_PRIORITY} AS ml, {_PRIORITY_SCORE} AS ms FROM scored))""")
 def _(s):
-    cleaned = s.tickets.select("ticket_id", "priority", tx.clean(F.col("text"), False).alias("clean"))
+    cleaned = s.tickets.select("ticket_id", "priority", tx.clean(F.col("text")).alias("clean"))
     scored = se.hybrid_score(_priority_model(se.lexicon_sentiment(cleaned)))
     return scored.select("ticket_id", "sentiment_label", "sentiment_confidence", "model_score")
 
