@@ -15,6 +15,7 @@ from ticketlens.llm.neardup import near_duplicates
 from ticketlens.llm.pieces import encode_documents
 from ticketlens.llm.quality import ORACLE as QUALITY_ORACLE
 from ticketlens.llm.quality import quality_verdicts
+from ticketlens.llm.runs import periodic_runs, plant_runs, run_digests
 from ticketlens.llm.token_counts import Vocabulary, count_tokens
 from ticketlens.session import materialise, scratch_path
 
@@ -108,3 +109,9 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(langid.fold(F.col("doc_id"), 4) == 2, F.lit(False))
     net = langid.train(documents.filter(~held_out))
     return langid.identify(documents, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", plant_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    return run_digests(periodic_runs(documents))
