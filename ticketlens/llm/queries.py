@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import langid, mixing, secrets, toxicity, warc
+from ticketlens.llm import langid, lexical, mixing, secrets, toxicity, warc
 from ticketlens.llm.fingerprints import compare_with_next
 from ticketlens.llm.frames import read, small
 from ticketlens.llm.neardup import near_duplicates
@@ -115,3 +115,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents").select("doc_id", plant_runs(F.col("doc_id"), F.col("text")).alias("text"))
     return run_digests(periodic_runs(documents))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(lexical.build_index(read(spark, folder, "documents")), read(spark, folder, "benchmark"))
+
+
+ORACLES["op12_lexical_search"] = lexical.ORACLE
