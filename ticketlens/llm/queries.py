@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import langid, lexical, mixing, secrets, toxicity, warc
+from ticketlens.llm import langid, lexical, licenses, mixing, secrets, toxicity, warc
 from ticketlens.llm.fingerprints import compare_with_next
 from ticketlens.llm.frames import read, small
 from ticketlens.llm.neardup import near_duplicates
@@ -123,3 +123,11 @@ def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_lexical_search"] = lexical.ORACLE
+
+
+@query
+def op13_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_digests(licenses.scan_licenses(read(spark, folder, "documents")))
+
+
+ORACLES["op13_license_scans"] = licenses.oracle()
