@@ -50,7 +50,7 @@ def tables():
     return docs, items
 
 
-@pytest.mark.parametrize("plan", [LexicalPlan(), LexicalPlan(k=3, shard=700, block=20), LexicalPlan(k=1, shard=100, growth=2), LexicalPlan(k=1000, shard=3000)])
+@pytest.mark.parametrize("plan", [LexicalPlan(), LexicalPlan(k=3, shard=7000, block=20), LexicalPlan(k=1, shard=20_000, growth=2), LexicalPlan(k=1000, shard=30_000)])
 def test_equals_brute_force(spark, tables, plan):
     docs, items = tables
     d = spark.createDataFrame([(i, t, "c", 1) for i, t in docs], "doc_id bigint, text string, term string, n int")
@@ -58,6 +58,13 @@ def test_equals_brute_force(spark, tables, plan):
     assert rows_of(search(build_index(d, plan), q, plan)) == brute(docs, items, plan.k)
 
 
+def test_copies_spread(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 4000 + [(1, "other")], "doc_id bigint, text string")
+    index = build_index(docs, LexicalPlan(shard=4000))
+    sizes = [len(r.ids) for r in index.rows.filter("term IS NULL").collect()]
+    assert sum(sizes) == 4001 == index.documents and max(sizes) < 1500
+
+
 def test_pruning_skips_strata(spark):
     from ticketlens.llm import lexical
 

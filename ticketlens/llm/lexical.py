@@ -1,8 +1,7 @@
 """Ranked lexical search over a length-stratified index.
 
 A document's normaliser ``m`` depends on its length alone, so documents with equal ``m`` form a stratum, in which a term's share of
-the score depends on its frequency alone. The index deals documents out to shards of bounded size by a hash of their place in the table,
-numbers a shard's documents stratum by stratum, and keeps one row per shard and term: its postings by stratum and, within it, by falling
+the score depends on its frequency alone. The index deals documents out to shards of bounded size by a hash, numbers a shard's documents stratum by stratum, and keeps one row per shard and term: its postings by stratum and, within it, by falling
 frequency. The first posting of a stratum gives the term's largest share there, and the sum over an item's terms is the bound of the
 stratum. Strata are visited by falling bound, in growing batches, until the next bound is below the k-th best score; the share of a
 term is computed once for each normaliser and frequency. Each shard gives its k best documents per item, and these are ranked.
@@ -11,6 +10,7 @@ term is computed once for each normaliser and frequency. Each shard gives its k
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,11 +32,11 @@ _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 @dataclass(frozen=True)
 class LexicalPlan:
-    """``k``: documents per item. ``shard``: expected postings of a shard, ``block``: expected item terms that meet a shard at once;
+    """``k``: documents per item. ``shard``: expected bytes of a shard's texts, ``block``: expected item terms that meet a shard at once;
     both bound a task's memory and change no result. ``growth``: how much larger each batch of strata is than all before it."""
 
     k: int = 50
-    shard: int = 2_000_000
+    shard: int = 8_000_000
     block: int = 200_000
     growth: int = 4
 
@@ -57,31 +57,33 @@ def folded(text: Column) -> Column:
 
 
 def term_frequencies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (terms with repeats), terms and tfs (distinct terms and their numbers) of every row with at least one term."""
+    """doc_id, n (terms with repeats), terms (distinct ones, joined by blanks), tfs (their numbers as 32-bit integers) and place (a hash) of every
+    row with at least one term. Equal rows of a task are told apart in their hashes by a running number, so that copies spread."""
     narrow = documents.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies: Counter[bytes] = Counter()
         for batch in batches:
             offsets, data = text_bytes(batch.column("text"))
-            raw, ends = data.tobytes(), offsets.tolist()
-            sizes, terms, tfs, cuts = [], [], [], [0]
-            for a, b in zip(ends, ends[1:]):
-                words = raw[a:b].translate(_TABLE).split()
+            ends = offsets.tolist()
+            rows: list[tuple[int, bytes, bytes, int]] = []
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), ends, ends[1:]):
+                raw = data[a:b].tobytes()
+                words = raw.translate(_TABLE).split()
                 found = Counter(words)
-                sizes.append(len(words))
-                terms += found
-                tfs += found.values()
-                cuts.append(len(terms))
-            cut = pa.array(cuts, pa.int32())
+                row = hashlib.blake2b(repr(doc).encode() + b" " + raw, digest_size=16).digest()
+                copies[row] += bool(words)
+                place = hashlib.blake2b(row + copies[row].to_bytes(8, "big"), digest_size=8).digest()
+                rows.append((len(words), b" ".join(found), np.fromiter(found.values(), np.int32, len(found)).tobytes(), int.from_bytes(place, "big", signed=True)))
+            n, terms, tfs, place = zip(*rows) if rows else ((),) * 4
             out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(cut, pa.array(terms, pa.binary()).cast(pa.string())),
-                 pa.ListArray.from_arrays(cut, pa.array(tfs, pa.int64()))],
-                ["doc_id", "n", "terms", "tfs"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.binary()), pa.array(place, pa.int64())],
+                ["doc_id", "n", "terms", "tfs", "place"],
             )
-            yield out.filter(pa.array(np.array(sizes, np.int64) > 0))
+            yield out.filter(pa.compute.greater(out.column("n"), 0))
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(count, f"doc_id {kind}, n bigint, terms array<string>, tfs array<bigint>")
+    return narrow.mapInArrow(count, f"doc_id {kind}, n bigint, terms string, tfs binary, place bigint")
 
 
 def build_index(documents: DataFrame, plan: LexicalPlan = LexicalPlan(), doc_id: str = "doc_id", text: str = "text") -> LexicalIndex:
@@ -90,17 +92,17 @@ def build_index(documents: DataFrame, plan: LexicalPlan = LexicalPlan(), doc_id:
     Terms are the maximal runs of letters and digits of ASCII and of all other characters beyond ASCII, A-Z folded. Null, empty and
     termless texts are no documents. Repeated rows are documents of their own; ids may be null or repeated. Other columns are ignored.
     """
-    counted = materialise(term_frequencies(documents, doc_id, text), "lexical-terms")
-    total = counted.agg(F.count("*").alias("n"), F.sum("n").alias("terms"), F.sum(F.size("tfs")).alias("postings")).first()
-    n_docs, n_terms, postings = total.n, total.terms or 0, total.postings or 0
-    shards = max(1, -(-postings // plan.shard))
-    place = F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    body = F.col(f"`{text}`")
+    sizes = F.count_if(body.rlike(TERM)).alias("n"), F.sum(F.regexp_count(body, F.lit(TERM)).cast("bigint")).alias("terms"), F.sum(F.octet_length(body)).alias("bytes")
+    total = documents.agg(*sizes).first()
+    n_docs, n_terms, shards = total.n, total.terms or 0, max(1, -(-(total.bytes or 0) // plan.shard))
+    counted = term_frequencies(documents, doc_id, text)
     m = F.lit(50) + F.expr(f"(50 * n * {n_docs}) div {max(1, n_terms)}")
-    dealt = counted.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), "doc_id", m.alias("m"), "terms", "tfs")
+    dealt = counted.select(F.pmod("place", F.lit(shards)).cast("int").alias("shard"), "doc_id", m.alias("m"), "terms", "tfs")
     id_type = counted.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("shard", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("df", T.LongType()),
-        T.StructField("docs", T.ArrayType(T.IntegerType())), T.StructField("tfs", T.ArrayType(T.LongType())),
+        T.StructField("docs", T.ArrayType(T.IntegerType())), T.StructField("tfs", T.ArrayType(T.IntegerType())),
         T.StructField("ids", T.ArrayType(id_type)), T.StructField("ms", T.ArrayType(T.LongType())),
     ])
     rows = dealt.groupBy("shard").applyInArrow(_inverted, schema)
@@ -111,11 +113,11 @@ def _inverted(rows: pa.Table) -> pa.Table:
     """Header and term rows of one shard."""
     rows = rows.take(pa.compute.sort_indices(rows, [("m", "ascending")])).combine_chunks()
     m, ids = rows.column("m").combine_chunks(), rows.column("doc_id").combine_chunks()
-    lists = rows.column("terms").combine_chunks()
+    lists = pa.compute.split_pattern(rows.column("terms").combine_chunks(), " ")
     sizes = np.diff(lists.offsets.to_numpy())
     coded = lists.flatten().dictionary_encode()
-    terms, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    tfs = rows.column("tfs").combine_chunks().flatten().to_numpy()
+    terms, names = coded.indices.to_numpy(), coded.dictionary
+    tfs = np.frombuffer(b"".join(rows.column("tfs").to_pylist()), np.int32)
     docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     stratum = np.cumsum(np.concatenate(([0], np.diff(m.to_numpy()) != 0)))[docs] if len(sizes) else docs
     order = np.lexsort((docs, -tfs, stratum, terms))
@@ -137,7 +139,7 @@ def _inverted(rows: pa.Table) -> pa.Table:
     shard = rows.column("shard")[0].as_py()
     return pa.table({
         "shard": pa.array(np.full(len(first), shard, np.int32)), "term": column(names, pa.string()), "df": column(pa.array(df, pa.int64()), pa.int64()),
-        "docs": lists_of(docs, pa.int32()), "tfs": lists_of(tfs, pa.int64()), "ids": header(ids), "ms": header(m),
+        "docs": lists_of(docs, pa.int32()), "tfs": lists_of(tfs, pa.int32()), "ids": header(ids), "ms": header(m),
     })
 
 
@@ -167,7 +169,7 @@ class _Shard:
         lists = rows.column("docs").combine_chunks()
         self.cuts = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy())))) if len(rows) else np.zeros(1, np.int64)
         self.docs = lists.flatten().to_numpy()
-        tfs = rows.column("tfs").combine_chunks().flatten().to_numpy()
+        tfs = rows.column("tfs").combine_chunks().flatten().to_numpy().astype(np.int64)
         self.strata = self.stratum[self.docs]
         # A share is computed once for each stratum and frequency.
         pairs, which = np.unique(np.stack([m[self.docs], tfs]), axis=1, return_inverse=True) if len(tfs) else (np.zeros((2, 0), np.int64), tfs)
