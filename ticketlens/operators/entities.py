@@ -161,14 +161,22 @@ def entity_mentions(
     id_col: str = "ticket_id",
     text_col: str = "text",
     flat: bool = True,
+    tagger=None,
 ) -> DataFrame:
-    """One row per mention: (id, entity, entity_type, start, end). One shuffle, on the ticket id."""
+    """One row per mention: (id, entity, entity_type, start, end). One shuffle, on the ticket id.
+
+    ``tagger``, a trained one, adds the names that no list holds. Its mentions meet the others under the same rule: leftmost, then longest.
+    """
     if extractor is not None:
         found = extractor(df)
-    elif names is None:
-        found = pattern_entities(df, id_col, text_col)
     else:
-        found = pattern_entities(df, id_col, text_col).unionByName(gazetteer_entities(df, names, id_col, text_col))
+        found = pattern_entities(df, id_col, text_col)
+        if names is not None:
+            found = found.unionByName(gazetteer_entities(df, names, id_col, text_col))
+        if tagger is not None:
+            from ticketlens.operators.tagger import tagged_entities
+
+            found = found.unionByName(tagged_entities(df, tagger, id_col, text_col)).distinct()
     grouped = _grouped(target_types(found, types), id_col)
     if not flat:
         return grouped

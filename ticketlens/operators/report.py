@@ -312,10 +312,12 @@ def report_facts(
     include_wordclouds: bool = True,
     include_heatmaps: bool = True,
     types: Sequence[str] = ENTITY_TYPES,
+    days: int | None = None,
 ) -> DataFrame:
     """The report as one table: (section, name, ord, key, value, number, status, title).
 
-    Sections without rows are listed with status ``no_data``.
+    Sections without rows are listed with status ``no_data``. ``days`` is the period that the inputs were cut to; None means that they
+    hold everything, so that the heading names their first and last day.
     """
     parts: list[DataFrame] = []
 
@@ -330,7 +332,7 @@ def report_facts(
 
     none = F.lit(None)
     if inputs.tickets is not None and "created_at" in inputs.tickets.columns:
-        span = report_period_facts(inputs.tickets).filter("period_end is not null")
+        span = report_period_facts(inputs.tickets, days).filter("period_end is not null")
         ends = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(c).alias("k"), F.col(c).alias("v")) for i, c in enumerate(span.columns)])
         add("period", span.select(F.inline(ends)), F.col("k"), F.col("v"), none, ["n"])
     summary = executive_summary(inputs, total)
@@ -393,7 +395,9 @@ def report_facts(
     )
 
 
-def report_period_facts(tickets: DataFrame, days: int = 7) -> DataFrame:
-    """(period_start, period_end): the span named in the header of the report."""
-    end = F.to_date(F.max(F.col("created_at").try_cast("timestamp_ntz")))
-    return tickets.agg(F.date_sub(end, days).alias("period_start"), end.alias("period_end"))
+def report_period_facts(tickets: DataFrame, days: int | None = None) -> DataFrame:
+    """(period_start, period_end): the span named in the header of the report, the last ``days`` or, with None, first to last day. One row, of nulls
+    if no ticket has a time."""
+    at = F.to_date(F.col("created_at").try_cast("timestamp_ntz"))
+    start = F.min(at) if days is None else F.date_sub(F.max(at), days)
+    return tickets.agg(start.alias("period_start"), F.max(at).alias("period_end"))

@@ -16,6 +16,7 @@ from ticketlens.operators import model as md
 from ticketlens.operators import report as rp
 from ticketlens.operators import sentiment as se
 from ticketlens.operators import tables as tb
+from ticketlens.operators import tagger as tg
 from ticketlens.operators import topic_model as tm
 from ticketlens.operators import topics as tp
 from ticketlens.operators import trends as tr
@@ -799,6 +800,11 @@ def _(s):
     return en.gazetteer_entities(s.tickets, s.names)
 
 
+@query("tagged_entities")
+def _(s):
+    return tg.tagged_entities(s.tickets, tg.train_tagger(s.tickets, s.names))
+
+
 @query("target_types", "SELECT ticket_id, entity, entity_type FROM mentions WHERE entity_type IN ('MONEY', 'GPE')")
 def _(s):
     return en.target_types(s.mentions, ["MONEY", "GPE"]).select("ticket_id", "entity", "entity_type")
@@ -1072,9 +1078,9 @@ def _facts_sql() -> str:
     )
     num = "row_number() OVER (ORDER BY {})"
     n, d = "CAST(n AS DOUBLE) AS number", "NULL AS value"
-    last = "(SELECT CAST(max(created_at) AS DATE) AS last FROM tickets)"
+    span = "(SELECT CAST(min(created_at) AS DATE) AS first, CAST(max(created_at) AS DATE) AS last FROM tickets)"
     sections = [
-        part("period", f"SELECT 1 AS ord, 'period_start' AS key, CAST(CAST(last - INTERVAL 7 DAY AS DATE) AS VARCHAR) AS value, CAST(NULL AS DOUBLE) AS number FROM {last} UNION ALL SELECT 2, 'period_end', CAST(last AS VARCHAR), NULL FROM {last}"),
+        part("period", f"SELECT 1 AS ord, 'period_start' AS key, CAST(first AS VARCHAR) AS value, CAST(NULL AS DOUBLE) AS number FROM {span} UNION ALL SELECT 2, 'period_end', CAST(last AS VARCHAR), NULL FROM {span}"),
         part("executive_summary", rows),
         part("topic_bar", f"SELECT {num.format('n DESC, topic_label')} AS ord, topic_label AS key, {d}, {n} FROM topic_n ORDER BY n DESC, topic_label LIMIT 12"),
         part("topic_pie", f"SELECT {num.format('topic_label = ' + chr(39) + 'Other' + chr(39) + ', n DESC, topic_label')} AS ord, topic_label AS key, {_pct('n', 'sum(n) OVER ()')} AS value, {n} FROM pie"),
@@ -1099,6 +1105,13 @@ def _(s):
     return facts.select("section", "name", "ord", "key", "value", "number", "status", "title")
 
 
+@query("report_period_facts", """SELECT 'all' AS period, CAST(min(created_at) AS DATE) AS period_start, CAST(max(created_at) AS DATE) AS period_end FROM tickets
+  UNION ALL SELECT n || ' days', CAST(CAST(max(created_at) AS DATE) - n * INTERVAL 1 DAY AS DATE), CAST(max(created_at) AS DATE) FROM tickets, (VALUES (7), (30)) d(n) GROUP BY n""")
+def _(s):
+    parts = [rp.report_period_facts(s.tickets, d).select(F.lit("all" if d is None else f"{d} days").alias("period"), "*") for d in (None, 7, 30)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- Whole run --------------------------------------------------------------------------
 
 @query("run_weekly")

@@ -152,7 +152,7 @@ def run_weekly(spark: SparkSession, source: str | DataFrame, output: str, config
                     setattr(inputs, name, table.join(ids, "ticket_id", "left_semi"))
         facts = rp.report_facts(
             inputs, cfg.report_title, include_wordclouds=cfg.include_wordclouds, include_heatmaps=cfg.include_heatmaps,
-            types=cfg.entity_types,
+            types=cfg.entity_types, days=cfg.reporting_period_days,
         )
         writers.write_report(facts, f"{output}/report")
 
