@@ -18,6 +18,9 @@ PRODUCT_REASON = "product_mentioned_in_complaint"
 AMOUNT_REASON = "high_value_amount_%.2f"
 
 MENTION = "array<struct<text:string,label:string,start:int,end:int>>"
+# 64-bit words of the bit set of names' first tokens, and mentions of a block in which overlaps are settled.
+_HEAD_WORDS = 2048
+_BLOCK = 64
 # Tokens of names and texts alike: words, and every other sign by itself.
 NAME_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85]"
 
@@ -66,10 +69,10 @@ def gazetteer(*parts: tuple[DataFrame, str, str]) -> DataFrame:
     return out.filter(F.length("name") >= MIN_TEXT_LENGTH).distinct()
 
 
-def _token_rows(df: DataFrame, longest: Column, id_col: str, text_col: str) -> DataFrame:
-    """(id, head, start, pieces) of every token: in lower case, its place, and the tokens from it on with the blanks behind each,
-    as many as the longest name has."""
-    texts = _readable(df, id_col, text_col).withColumn("_longest", longest)
+def _token_rows(df: DataFrame, longest: Column, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, head, start, pieces) of the tokens that may begin a name: in lower case, its place, and the tokens from it on with the blanks
+    behind each, as many as the longest name has."""
+    texts = _readable(df, id_col, text_col).withColumns({"_longest": longest, "_heads": _head_bits(heads)})
     texts = texts.withColumn("_tok", F.regexp_extract_all("_text", F.lit(NAME_TOKEN), F.lit(0)))
     texts = texts.withColumn("_gap", F.split("_text", NAME_TOKEN, -1)).withColumn("_size", F.size("_tok"))
     lengths = F.zip_with(
@@ -78,11 +81,37 @@ def _token_rows(df: DataFrame, longest: Column, id_col: str, text_col: str) -> D
     pieces = F.zip_with("_tok", F.slice("_gap", F.lit(2), F.col("_size")), lambda t, g: F.concat(t, g))
     texts = texts.withColumns({"_before": ax.running_total(lengths), "_pieces": pieces})
 
-    def row(t: Column, i: Column) -> Column:
+    def row(h: Column) -> Column:
+        i = h["i"]
         start = F.get("_before", i) + F.length(F.get("_gap", i))
-        return F.struct(F.lower(t).alias("head"), start.cast("int").alias("start"), F.slice("_pieces", i + 1, F.col("_longest")).alias("pieces"))
+        return F.struct(h["head"].alias("head"), start.cast("int").alias("start"), F.slice("_pieces", i + 1, F.col("_longest")).alias("pieces"))
 
-    return texts.select(id_col, F.inline(F.transform("_tok", row)))
+    # Most tokens begin no name: they are dropped within the array, before rows are made.
+    heads = F.filter(
+        F.transform("_tok", lambda t, i: F.struct(F.lower(t).alias("head"), i.alias("i"))), lambda h: _may_be(F.col("_heads"), h["head"])
+    )
+    return texts.select(id_col, F.inline(F.transform(heads, row)))
+
+
+def _slot(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(64 * _HEAD_WORDS))
+
+
+def _head_bits(heads: DataFrame) -> Column:
+    """A bit set of fixed size with a bit for every head, as one scalar. Other tokens may share a bit; the join that follows removes them."""
+    slot = _slot(F.col("head"))
+    words = (
+        heads.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits"))
+    )
+    by_word = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(_HEAD_WORDS - 1)), lambda w: F.coalesce(F.try_element_at(by_word, w), F.lit(0).cast("bigint")))
+    return words.agg(filled.alias("bits")).scalar()
+
+
+def _may_be(bits: Column, token: Column) -> Column:
+    slot = _slot(token)
+    return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
 
 
 def gazetteer_entities(df: DataFrame, names: DataFrame, id_col: str = "ticket_id", text_col: str = "text") -> DataFrame:
@@ -97,7 +126,7 @@ def gazetteer_entities(df: DataFrame, names: DataFrame, id_col: str = "ticket_id
     listed = names.select("name", "label", tokens.alias("_t")).filter(F.size("_t") > 0)
     heads = listed.groupBy(F.get("_t", F.lit(0)).alias("head")).agg(F.collect_set(F.size("_t")).alias("sizes"))
     longest = listed.agg(F.coalesce(F.max(F.size("_t")), F.lit(1))).scalar()
-    starts = _token_rows(df, longest, id_col, text_col).join(heads, "head").select(id_col, "start", "pieces", F.explode("sizes").alias("n"))
+    starts = _token_rows(df, longest, heads, id_col, text_col).join(heads, "head").select(id_col, "start", "pieces", F.explode("sizes").alias("n"))
     entity = tx.strip(F.array_join(F.slice("pieces", F.lit(1), F.col("n")), ""))
     runs = starts.filter(F.size("pieces") >= F.col("n")).select(id_col, "start", F.inline(F.array(F.struct(entity.alias("entity")))))
     runs = runs.withColumn("name", F.lower(tx.collapse_ws(F.col("entity"))))
@@ -118,13 +147,24 @@ def _without_overlaps(mentions: Column) -> Column:
         ),
         lambda m: F.struct(m["t"].alias("text"), m["l"].alias("label"), m["s"].alias("start"), (-m["e"]).alias("end")),
     )
-    return F.aggregate(
-        ordered,
-        F.from_json(F.lit("[]"), MENTION),
-        lambda kept, m: F.when(
-            F.size(kept) == 0, F.array(m)
-        ).when(m["start"] >= F.get(kept, F.size(kept) - 1)["end"], F.concat(kept, F.array(m))).otherwise(kept),
-    )
+    none = F.from_json(F.lit("[]"), MENTION)
+
+    def step(acc: Column, m: Column) -> Column:
+        free = m["start"] >= acc["end"]
+        return F.struct(F.when(free, m["end"]).otherwise(acc["end"]).alias("end"), F.when(free, F.concat(acc["kept"], F.array(m))).otherwise(acc["kept"]).alias("kept"))
+
+    def block(acc: Column, part: Column) -> Column:
+        # A growing array is copied at each step, so kept mentions are gathered block by block.
+        done = F.aggregate(part, F.struct(acc["end"].alias("end"), none.alias("kept")), step)
+        return F.get(F.transform(F.array(done), lambda d: F.struct(d["end"].alias("end"), F.concat(acc["kept"], F.array(d["kept"])).alias("kept"))), F.lit(0))
+
+    def settle(rows: Column) -> Column:
+        last = F.greatest(F.floor((F.size(rows) - 1) / _BLOCK).cast("int"), F.lit(0))
+        parts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(rows, b * _BLOCK + 1, F.lit(_BLOCK)))
+        start = F.struct(F.lit(-1).alias("end"), F.from_json(F.lit("[]"), f"array<{MENTION}>").alias("kept"))
+        return F.aggregate(parts, start, block, lambda acc: F.flatten(acc["kept"]))
+
+    return F.get(F.transform(F.array(ordered), settle), F.lit(0))
 
 
 def _grouped(mentions: DataFrame, id_col: str) -> DataFrame:
@@ -242,9 +282,13 @@ def co_occurrence(mentions: DataFrame, id_col: str = "ticket_id") -> DataFrame:
     """Tickets per pair of distinct entity texts.
 
     Tickets with the same entities are counted together before pairs are formed, so copies of one ticket
-    give their pairs once, with a weight.
+    give their pairs once, with a weight. ``mentions`` are rows or, without a second shuffle, the arrays of
+    ``entity_mentions(flat=False)``.
     """
-    sets = mentions.groupBy(id_col).agg(F.array_sort(F.collect_set("entity")).alias("set"))
+    if "entities" in mentions.columns:
+        sets = mentions.select(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["text"]))).alias("set"))
+    else:
+        sets = mentions.groupBy(id_col).agg(F.array_sort(F.collect_set("entity")).alias("set"))
     distinct_sets = sets.filter(F.size("set") > 1).groupBy("set").agg(F.count("*").alias("weight"))
     return _pairs(distinct_sets, "weight").groupBy("entity_a", "entity_b").agg(F.sum("weight").alias("count"))
 

@@ -505,7 +505,7 @@ def _(s):
 @query("co_occurrence", """SELECT entity_a, entity_b, count(*) AS "count" FROM (
   SELECT DISTINCT a.ticket_id, a.entity AS entity_a, b.entity AS entity_b FROM mentions a JOIN mentions b ON a.ticket_id = b.ticket_id AND a.entity < b.entity) GROUP BY 1, 2""")
 def _(s):
-    return en.co_occurrence(s.mentions)
+    return en.co_occurrence(en.entity_mentions(s.tickets, s.names, flat=False))
 
 
 @query("entity_summary", """SELECT n.entity, n.entity_type, n.n AS "count", c.reason FROM entity_n n LEFT JOIN critical_e c
