@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ticketlens.functions import text as tx
 from ticketlens.functions.wordlists import LEXICON, NEGATIONS
 from ticketlens.operators import entities as en
+from ticketlens.operators import grammar as gr
 from ticketlens.operators import model as md
 from ticketlens.operators import report as rp
 from ticketlens.operators import sentiment as se
@@ -800,6 +801,59 @@ def _(s):
     return en.gazetteer_entities(s.tickets, s.names)
 
 
+_TICKET_FORMS = r"\$[0-9]+\.[0-9]{2}|[0-9]+\.[0-9]{2} (?:USD|dollars)|[0-9]{4}-[0-9]{2}-[0-9]{2}|last year"
+
+
+@query("grammar_entities", f"""SELECT ticket_id, entity, CASE WHEN entity LIKE '____-__-__' OR entity = 'last year' THEN 'DATE' ELSE 'MONEY' END AS entity_type, "start", "start" + length(entity) AS "end",
+  CASE WHEN entity = 'last year' THEN strftime(day - INTERVAL 1 YEAR, '%Y-%m-%d') WHEN entity LIKE '____-__-__' THEN entity ELSE regexp_extract(entity, '[0-9.]+') || ' USD' END AS value
+  FROM (SELECT ticket_id, day, found[i] AS entity,
+      list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS "start"
+    FROM (SELECT ticket_id, day, found, pieces, unnest(range(1, len(found) + 1)) AS i FROM (
+      SELECT ticket_id, CAST(created_at AS DATE) AS day, regexp_extract_all(text, '{_TICKET_FORMS}') AS found, regexp_split_to_array(text, '{_TICKET_FORMS}') AS pieces FROM tickets)))""")
+def _(s):
+    return gr.grammar_entities(s.tickets)
+
+
+# Spellings of dates and amounts: Spark's form, the same in SQL, type, and the value in SQL.
+_FORMS = (
+    (lambda: F.date_format("d", "MMMM d, yyyy"), "strftime(d, '%B %-d, %Y')", "DATE", "strftime(d, '%Y-%m-%d')"),
+    (lambda: F.date_format("d", "d MMM yyyy"), "strftime(d, '%-d %b %Y')", "DATE", "strftime(d, '%Y-%m-%d')"),
+    (lambda: F.date_format("d", "MM/dd/yyyy"), "strftime(d, '%m/%d/%Y')", "DATE", "strftime(d, '%Y-%m-%d')"),
+    (lambda: F.date_format("d", "dd.MM.yyyy"), "strftime(d, '%d.%m.%Y')", "DATE", "strftime(d, '%Y-%m-%d')"),
+    (lambda: F.date_format("d", "MMM yyyy"), "strftime(d, '%b %Y')", "DATE", "strftime(d, '%Y-%m')"),
+    (lambda: F.lit("last Friday"), "'last Friday'", "DATE", "strftime(d - (CASE WHEN isodow(d) > 5 THEN isodow(d) - 5 ELSE isodow(d) + 2 END)::INT, '%Y-%m-%d')"),
+    (lambda: F.concat(F.col("n").cast("string"), F.lit(" days ago")), "n || ' days ago'", "DATE", "strftime(d - n::INT, '%Y-%m-%d')"),
+    (lambda: F.lit("in three months"), "'in three months'", "DATE", "strftime(d + INTERVAL 3 MONTH, '%Y-%m-%d')"),
+    (lambda: F.concat(F.lit("$"), F.format_number(F.col("n") * 1000 + 7, 0), F.lit(".50")), "'$' || format('{:,}', n * 1000 + 7) || '.50'", "MONEY", "(n * 1000 + 7) || '.50 USD'"),
+    (lambda: F.concat(F.lit("€"), F.col("n").cast("string")), "'€' || n", "MONEY", "n || '.00 EUR'"),
+    (lambda: F.concat(F.col("n").cast("string"), F.lit(" euros")), "n || ' euros'", "MONEY", "n || '.00 EUR'"),
+    (lambda: F.concat(F.lit("$"), F.col("n").cast("string"), F.lit(".2 million")), "'$' || n || '.2 million'", "MONEY", "n || '200000.00 USD'"),
+    (lambda: F.concat(F.lit("GBP "), F.col("n").cast("string")), "'GBP ' || n", "MONEY", "n || '.00 GBP'"),
+    (lambda: F.lit("two hundred and five dollars"), "'two hundred and five dollars'", "MONEY", "'205.00 USD'"),
+)
+
+
+def _forms_sql() -> str:
+    def case(k: int) -> str:
+        return f"CASE key % {len(_FORMS)} " + " ".join(f"WHEN {i} THEN {form[k]}" for i, form in enumerate(_FORMS)) + " END"
+
+    dates = sum(f[2] == "DATE" for f in _FORMS)
+    kind = f"CASE WHEN key % {len(_FORMS)} < {dates} THEN 'DATE' ELSE 'MONEY' END"
+    return f"""SELECT key, entity, entity_type, 12 AS "start", 12 + length(entity) AS "end", value FROM (
+  SELECT key, {case(1)} AS entity, {kind} AS entity_type, {case(3)} AS value
+  FROM (SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS d, o_orderkey % 29 + 2 AS n FROM orders))"""
+
+
+@query("grammar_forms", _forms_sql())
+def _(s):
+    orders = s.table("orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("date").alias("d"), (F.col("o_orderkey") % 29 + 2).alias("n"))
+    form = F.lit(None)
+    for i, (build, *_) in reversed(list(enumerate(_FORMS))):
+        form = F.when(F.col("key") % len(_FORMS) == i, build()).otherwise(form)
+    texts = orders.select("key", "d", F.concat(F.lit("We wrote on "), form, F.lit(", and 4 of us waited.")).alias("text"))
+    return gr.grammar_entities(texts, "key", "text", "d")
+
+
 @query("tagged_entities")
 def _(s):
     return tg.tagged_entities(s.tickets, tg.train_tagger(s.tickets, s.names))
