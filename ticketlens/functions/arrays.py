@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 64
@@ -35,12 +35,26 @@ def running_total(values: Column) -> Column:
     )
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n neighbouring tokens, joined by a blank."""
-    if n == 1:
-        return tokens
-    shifted = [F.slice(tokens, i + 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0))) for i in range(n)]
-    return F.transform(F.arrays_zip(*shifted), lambda s: F.concat_ws(" ", *[s[str(i)] for i in range(n)]))
+class BitSet:
+    """A set of strings as bits of fixed size, as one scalar of a query: it holds all members, and by chance others."""
+
+    def __init__(self, words: int):
+        self.words = words
+
+    def _slot(self, value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(64 * self.words))
+
+    def of(self, members: DataFrame) -> Column:
+        """The bits of a table with a column ``value``; all zero for an empty table."""
+        slots = members.select(self._slot(F.col("value")).alias("slot"))
+        bits = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits"))
+        everywhere = bits.sparkSession.range(self.words).select(F.col("id").cast("int").alias("word"))
+        filled = everywhere.join(bits, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+        return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("bits")).scalar()
+
+    def may_hold(self, bits: Column, value: Column) -> Column:
+        slot = self._slot(value)
+        return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
 
 
 def cosine(a: Column, b: Column) -> Column:

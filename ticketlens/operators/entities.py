@@ -18,9 +18,8 @@ PRODUCT_REASON = "product_mentioned_in_complaint"
 AMOUNT_REASON = "high_value_amount_%.2f"
 
 MENTION = "array<struct<text:string,label:string,start:int,end:int>>"
-# 64-bit words of the bit set of names' first tokens, and mentions of a block in which overlaps are settled.
-_HEAD_WORDS = 2048
-_BLOCK = 64
+_HEADS = ax.BitSet(2048)  # of names' first tokens
+_BLOCK = 64  # mentions of a block in which overlaps are settled
 # Tokens of names and texts alike: words, and every other sign by itself.
 NAME_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85]"
 
@@ -72,7 +71,7 @@ def gazetteer(*parts: tuple[DataFrame, str, str]) -> DataFrame:
 def _token_rows(df: DataFrame, longest: Column, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, head, start, pieces) of the tokens that may begin a name: in lower case, its place, and the tokens from it on with the blanks
     behind each, as many as the longest name has."""
-    texts = _readable(df, id_col, text_col).withColumns({"_longest": longest, "_heads": _head_bits(heads)})
+    texts = _readable(df, id_col, text_col).withColumns({"_longest": longest, "_heads": _HEADS.of(heads.select(F.col("head").alias("value")))})
     texts = texts.withColumn("_tok", F.regexp_extract_all("_text", F.lit(NAME_TOKEN), F.lit(0)))
     texts = texts.withColumn("_gap", F.split("_text", NAME_TOKEN, -1)).withColumn("_size", F.size("_tok"))
     lengths = F.zip_with(
@@ -88,32 +87,11 @@ def _token_rows(df: DataFrame, longest: Column, heads: DataFrame, id_col: str, t
 
     # Most tokens begin no name: they are dropped within the array, before rows are made.
     heads = F.filter(
-        F.transform("_tok", lambda t, i: F.struct(F.lower(t).alias("head"), i.alias("i"))), lambda h: _may_be(F.col("_heads"), h["head"])
+        F.transform("_tok", lambda t, i: F.struct(F.lower(t).alias("head"), i.alias("i"))), lambda h: _HEADS.may_hold(F.col("_heads"), h["head"])
     )
     return texts.select(id_col, F.inline(F.transform(heads, row)))
 
 
-def _slot(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(64 * _HEAD_WORDS))
-
-
-def _head_bits(heads: DataFrame) -> Column:
-    """A bit set of fixed size with a bit for every head, as one scalar. Other tokens may share a bit; the join that follows removes them."""
-    slot = _slot(F.col("head"))
-    words = (
-        heads.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits"))
-    )
-    by_word = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(_HEAD_WORDS - 1)), lambda w: F.coalesce(F.try_element_at(by_word, w), F.lit(0).cast("bigint")))
-    return words.agg(filled.alias("bits")).scalar()
-
-
-def _may_be(bits: Column, token: Column) -> Column:
-    slot = _slot(token)
-    return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
-
-
 def gazetteer_entities(df: DataFrame, names: DataFrame, id_col: str = "ticket_id", text_col: str = "text") -> DataFrame:
     """Mentions of listed names of any number of words: (id, entity, entity_type, start, end).
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions import text as tx
 from ticketlens.functions.wordlists import BOOSTERS_DOWN, BOOSTERS_UP, LEXICON, NEGATIONS
+from ticketlens.operators.keywords import keyword_table_matches
 from ticketlens.session import small_table
 
 # --- Fixed values: weights of the lexicon rules ---------------------------------------
@@ -349,14 +350,17 @@ def sentiment_alerts(scored: DataFrame, text_col: str = "text", id_col: str = "t
 
 
 def topic_sentiment_breakdown(
-    scored: DataFrame, topics: list[str], topic_labels: list[str] | None = None, text_col: str = "text"
+    scored: DataFrame, topics: list[str] | DataFrame, topic_labels: list[str] | None = None, text_col: str = "text"
 ) -> DataFrame:
     """Per label: mean compound, mean confidence, number of matches, label distribution.
 
-    Keywords are matched inside each row; a text that contains two keywords of one label counts twice.
+    A few keywords are matched inside each row; a table of them (keyword, topic), of any size, is joined by its q-grams. A text
+    that contains two keywords of one label counts twice.
     """
-    labels = topic_labels or topics
-    matches = keyword_matches(scored, topics, labels, text_col)
+    if isinstance(topics, DataFrame):
+        matches = keyword_table_matches(scored, topics, text_col)
+    else:
+        matches = keyword_matches(scored, topics, topic_labels or topics, text_col)
     per_label = matches.groupBy("topic", "sentiment_label").agg(
         F.count("*").alias("n"), F.sum("lex_compound").alias("c"), F.sum("sentiment_confidence").alias("f")
     )

@@ -13,6 +13,7 @@ from ticketlens.functions import text as tx
 from ticketlens.functions.wordlists import LEXICON, NEGATIONS
 from ticketlens.operators import entities as en
 from ticketlens.operators import grammar as gr
+from ticketlens.operators import keywords as kw
 from ticketlens.operators import model as md
 from ticketlens.operators import report as rp
 from ticketlens.operators import sentiment as se
@@ -475,6 +476,35 @@ def _(s):
     return se.keyword_matches(s.tickets.select("ticket_id", "text"), _KEYWORDS, _LABELS).drop("text")
 
 
+# Names of several tables as keywords, some of them shorter than the grams they are filed under.
+_KEYWORD_TABLE = """(SELECT DISTINCT p_name AS keyword, 'part' AS topic FROM part UNION SELECT s_name, 'supplier' FROM supplier UNION SELECT c_name, 'customer' FROM customer
+  UNION SELECT n_name, 'nation' FROM nation UNION SELECT lower(o_orderstatus) || substr(o_orderpriority, 3, 2), 'code' FROM orders UNION SELECT right(p_brand, 2), 'brand' FROM part)"""
+
+
+def _keyword_table(s) -> DataFrame:
+    def part(table: str, column, topic: str) -> DataFrame:
+        return s.table(table).select(F.expr(column).alias("keyword"), F.lit(topic).alias("topic"))
+
+    parts = [part("part", "p_name", "part"), part("supplier", "s_name", "supplier"), part("customer", "c_name", "customer"), part("nation", "n_name", "nation"),
+             part("orders", "lower(o_orderstatus) || substr(o_orderpriority, 3, 2)", "code"), part("part", "right(p_brand, 2)", "brand")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+@query("keyword_table_join", f"SELECT t.ticket_id, k.topic, k.keyword FROM tickets t JOIN {_KEYWORD_TABLE} k ON contains(lower(t.text), lower(k.keyword))")
+def _(s):
+    return kw.keyword_table_matches(s.tickets.select("ticket_id", "text"), _keyword_table(s)).drop("text")
+
+
+@query("keyword_table_breakdown", f"""SELECT topic, {_mean('sum(c) / sum(n)')} AS mean_compound, {_mean('sum(f) / sum(n)')} AS mean_confidence, CAST(sum(n) AS BIGINT) AS "count"
+  FROM (SELECT k.topic, s.sentiment_label, count(*) AS n, sum(s.lex_compound) AS c, sum(s.sentiment_confidence) AS f
+    FROM scored s JOIN {_KEYWORD_TABLE} k ON contains(lower(s.text), lower(k.keyword)) GROUP BY 1, 2) GROUP BY 1""")
+def _(s):
+    return se.topic_sentiment_breakdown(s.scored, _keyword_table(s)).drop("label_distribution")
+
+
 @query("entity_pair_join", "SELECT DISTINCT a.ticket_id, a.entity AS entity_a, b.entity AS entity_b FROM mentions a JOIN mentions b ON a.ticket_id = b.ticket_id AND a.entity < b.entity")
 def _(s):
     return en.entity_pairs(s.mentions)
