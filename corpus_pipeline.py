@@ -14,27 +14,32 @@ from ticketlens.session import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; a null, empty or blank text is one. A null source is a host of its own. Repeated rows stay or go
+    together; an empty table stays empty. Other columns are kept."""
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays."""
+    """The document with the smallest id of each group of near copies stays, with all rows of that id. Texts without words and rows without an id
+    that are alone stay; an empty table stays empty. Other columns are kept."""
     return keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text become a marker. Parts of any length are linked to what stands beside them."""
-    return redact(docs, gaps=True)
+    """Every document stays; secrets in its text become a marker. A null or empty text stays; rows with equal id and text get equal texts; an empty
+    table stays empty. Other columns are kept, ``n_chars`` is set anew."""
+    return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice. Texts without words have no size and go; a null source is a source; an
+    empty table stays empty. Other columns are kept."""
     return mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per mixed document with its ids."""
+    """A row per mixed document with its ids. A null or empty text has the end id alone; repeated rows get equal ids; an empty table gives no
+    rows."""
     return encode_documents(docs, piece_model, with_ids=True)
 
 
