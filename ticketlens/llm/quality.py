@@ -2,7 +2,8 @@
 
 Every document is measured once, in a task. A host's share of documents that break a rule is shrunk towards the share over all
 hosts: a Beta prior is fitted to the hosts' shares by the method of moments, so that a host with few documents is judged
-mostly by the prior. Documents of a host whose shrunk share is above a limit are held to stricter rules; a document without any
+mostly by the prior. A host is bad if its share exceeds the prior's mean by a given factor with a high posterior probability, by the
+normal approximation of the Beta posterior. Documents of a bad host are held to stricter rules; a document without any
 fault is kept whatever its host.
 """
 
@@ -29,8 +30,8 @@ _BLANKS = b" \t\n\x0b\x0c\r"
 class QualityRules:
     """``window``: words of a repeated window. A document fails with fewer than ``min_words`` words or more than ``max_repeat``
     percent repeated words. The other limits (percent) are faults that count for the host and, in a bad host, for the
-    document: symbols per word, repeated lines among all lines, mean word length. A host is bad if its shrunk share is above
-    ``host_limit``."""
+    document: symbols per word, repeated lines among all lines, mean word length. A host is bad if its shrunk share less
+    ``host_sure`` standard deviations of its posterior (1.645: 95 %) is above ``host_factor`` times the prior's mean."""
 
     window: int = 8
     min_words: int = 20
@@ -38,7 +39,8 @@ class QualityRules:
     max_symbols: int = 10
     max_dup_lines: int = 30
     word_length: tuple[int, int] = (2, 15)
-    host_limit: float = 0.5
+    host_factor: float = 1.2
+    host_sure: float = 1.645
 
     def failed(self) -> Column:
         return (F.col("n_words") < self.min_words) | (100 * F.col("n_repeat_words") > self.max_repeat * F.col("n_words"))
@@ -112,7 +114,8 @@ def measure(documents: DataFrame, rules: QualityRules = QualityRules(), text: st
 
 
 def host_rates(verdicts: DataFrame, host: str = "host", fault: str = "fault") -> DataFrame:
-    """host, n, faults and the shrunk share ``rate`` of each host. Null is a host like others.
+    """host, n, faults, the shrunk share ``rate`` of each host, its posterior's standard deviation ``sd`` and the prior's ``mean``. Null is a host
+    like others.
 
     With mean m and variance v of the hosts' shares the prior is Beta(m k, (1 - m) k), k = m (1 - m) / v - 1. If all shares
     are equal, or v is too large for a Beta, the prior has the weight of one document (k = 1).
@@ -125,14 +128,16 @@ def host_rates(verdicts: DataFrame, host: str = "host", fault: str = "fault") ->
         "m", F.when((F.col("v") > 0) & (F.col("m") * (1 - F.col("m")) > 2 * F.col("v")), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)
         .otherwise(F.lit(1.0)).alias("k")
     )
-    return hosts.join(F.broadcast(prior)).select(  # the prior is one row
-        "host", "n", "faults", ((F.col("faults") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))).alias("rate")
+    rated = hosts.join(F.broadcast(prior)).select(  # the prior is one row
+        "host", "n", "faults", ((F.col("faults") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))).alias("rate"), "m", "k"
     )
+    sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("k") + 1))
+    return rated.select("host", "n", "faults", "rate", sd.alias("sd"), F.col("m").alias("mean"))
 
 
 def _bad_hosts(judged: DataFrame, rules: QualityRules) -> DataFrame:
-    """Hosts above the limit. The table is written and counted, so that the texts are joined to it without a shuffle by host."""
-    bad = host_rates(judged).filter(F.col("rate") > rules.host_limit).select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
+    """Hosts that are surely worse than the prior allows. The table is written and counted, so that the texts are joined to it without a shuffle by host."""
+    bad = host_rates(judged).filter(F.col("rate") - rules.host_sure * F.col("sd") > rules.host_factor * F.col("mean")).select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
     bad = materialise(bad, "quality-hosts")
     return small(bad, bad.count())
 
@@ -151,6 +156,7 @@ def quality_verdicts(
     judged = measured.select("doc_id", "host", *[F.col(names[m]).alias(m) for m in MEASURES]).withColumns(
         {"base_failed": rules.failed(), "fault": rules.faulty()}
     )
+    judged = materialise(judged, "quality-measures")  # without texts; the hosts' shares and the rows read it
     bad = _bad_hosts(judged, rules)
     out = judged.join(bad, judged.host.eqNullSafe(bad.bad_host), "left")
     kept = ~F.col("base_failed") & ~(F.col("bad").isNotNull() & F.col("fault"))
@@ -158,7 +164,8 @@ def quality_verdicts(
 
 
 def keep_good(documents: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``documents`` that ``quality_verdicts`` keeps, with all their columns.
+    """The rows of ``documents`` that ``quality_verdicts`` keeps, with all their columns, whatever their names. Null, empty and blank texts go;
+    repeated rows stay or go together; a null host is a host of its own; an empty table stays empty.
 
     The texts are measured twice, for the hosts' shares and for the rows themselves, rather than written or shuffled in between.
     """
@@ -193,7 +200,8 @@ f AS (
 h AS (SELECT source, count(*) AS n, count(*) FILTER (fault) AS faults FROM f GROUP BY source),
 p AS (SELECT avg(faults / n) AS m, var_pop(faults / n) AS v FROM h),
 k AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) > 2 * v THEN m * (1 - m) / v - 1 ELSE 1 END AS k FROM p),
-g AS (SELECT source, (faults + m * k) / (n + k) > 0.5 AS bad FROM h, k)
+u AS (SELECT source, n, m, k, (faults + m * k) / (n + k) AS rate FROM h, k),
+g AS (SELECT source, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) > 1.2 * m AS bad FROM u)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (bad AND fault) AS kept
 FROM f JOIN g ON f.source IS NOT DISTINCT FROM g.source
 """
