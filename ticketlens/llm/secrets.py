@@ -1,11 +1,11 @@
 """Secret scans with linked multipart credentials.
 
 Three patterns find secrets by themselves. Other parts are too common to report alone: short access identifiers, account names, long
-runs of key characters, endpoints. They are joined by intervals: two parts belong together if they start within ``reach`` code points of
-each other, or, with ``gaps``, if at most ``reach`` code points lie between them, however long they are. A weak part is reported only
+runs of key characters, endpoints. They are joined by intervals: two parts belong together if at most ``reach`` code points lie between
+the end of the one and the start of the other, however long they are. A weak part is reported only
 if a complementary one is there. An identifier and a key complement each other; an endpoint needs both. For the join every part is
-filed under bins of ``reach`` code points, with ``gaps`` under those before its start and behind its end; parts of one kind do not
-overlap, so that a bin holds a bounded number of them, and semi-joins never form pairs. Only DataFrame functions are used.
+filed under the bins of ``reach`` code points before its start and behind its end; parts of one kind do not overlap, so that a bin holds
+a bounded number of them, and semi-joins never form pairs. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ KINDS = [k for k, *_ in BASE + WEAK]
 IDENTIFIERS = ("access", "short_access", "account")
 KEYS = ("assign", "hex", "key")
 REACH = 200
+_BLOCK = 64
 _SPAN = "struct<start:bigint,number:int,kind:string,end:bigint>"
 
 
@@ -67,7 +68,7 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
         lengths = F.transform(found, lambda m: F.length(m).cast("bigint"))
 
         def ends(parts: Column) -> Column:
-            before = running_total(F.zip_with(parts, lengths, lambda p, m: p + m))
+            before = _let(F.zip_with(parts, lengths, lambda p, m: p + m), running_total)
             rows = F.arrays_zip(
                 before.alias("before"), parts.alias("piece"), lengths.alias("size"),
                 F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(group)), F.length).alias("own"),
@@ -88,13 +89,12 @@ def _row_key(doc_id: str, text: str) -> Column:
     return F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))
 
 
-def scan(documents: DataFrame, reach: int = REACH, doc_id: str = "doc_id", text: str = "text", gaps: bool = False) -> DataFrame:
+def scan(documents: DataFrame, reach: int = REACH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``documents``: doc_id, row_key, base and spans, arrays of (start, number, kind, end) in code points, ends exclusive.
 
     ``base`` holds the matches of the patterns that stand for themselves, ``spans`` also the linked weak parts, both by
     start and then kind. A weak span that equals a base span is not given twice. Null is an empty text. Rows with equal id and text
-    get equal answers. An empty table gives no rows. Other columns are ignored. ``gaps`` measures the reach from the end of a part to
-    the start of the next instead of between their starts.
+    get equal answers. An empty table gives no rows. Other columns are ignored.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     strong = F.array_sort(F.concat(*[_spans(whole, *p) for p in BASE]))
@@ -103,17 +103,6 @@ def scan(documents: DataFrame, reach: int = REACH, doc_id: str = "doc_id", text:
         documents.select(F.col(doc_id).alias("doc_id"), _row_key(doc_id, text).alias("row_key"), strong.alias("base"), weak.alias("weak")), "secrets-found"
     )
     some = found.filter("size(weak) > 0").select("row_key", F.explode(F.concat("base", "weak")).alias("s")).select("row_key", "s.*").distinct()
-    bin_ = F.floor(F.col("start") / reach)
-    parts = some.withColumn("bin", bin_)
-
-    def near(rows: DataFrame, others: DataFrame) -> DataFrame:
-        """Rows with one of the others in reach that is not at the same place."""
-        filed = others.select(
-            F.col("row_key").alias("o_row"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)])).alias("o_bin")
-        ).distinct()
-        apart = (F.col("end") <= F.col("o_start")) | (F.col("o_end") <= F.col("start"))
-        close = F.abs(F.col("start") - F.col("o_start")) <= reach
-        return rows.join(filed, (F.col("row_key") == F.col("o_row")) & (F.col("bin") == F.col("o_bin")) & close & apart, "left_semi")
 
     def beside(rows: DataFrame, others: DataFrame) -> DataFrame:
         """Rows with one of the others at most ``reach`` code points behind their end or before their start."""
@@ -129,13 +118,12 @@ def scan(documents: DataFrame, reach: int = REACH, doc_id: str = "doc_id", text:
         close = F.when(F.col("place.side") == "before", F.col("o_start") - end).otherwise(start - F.col("o_end")).between(0, reach)
         return placed.join(filed, (F.col("row_key") == F.col("o_row")) & (F.col("place") == F.col("o_place")) & close, "left_semi").drop("place").distinct()
 
-    near = beside if gaps else near
-    identifiers, keys = parts.filter(F.col("kind").isin(*IDENTIFIERS)), parts.filter(F.col("kind").isin(*KEYS))
+    identifiers, keys = some.filter(F.col("kind").isin(*IDENTIFIERS)), some.filter(F.col("kind").isin(*KEYS))
     is_weak = F.col("number") >= len(BASE)
     linked = (
-        near(identifiers.filter(is_weak), keys)
-        .union(near(keys.filter(is_weak), identifiers))
-        .union(near(near(parts.filter("kind = 'endpoint'"), identifiers), keys))
+        beside(identifiers.filter(is_weak), keys)
+        .union(beside(keys.filter(is_weak), identifiers))
+        .union(beside(beside(some.filter("kind = 'endpoint'"), identifiers), keys))
     )
     extra = linked.groupBy("row_key").agg(F.collect_list(F.struct("start", "number", "kind", "end")).alias("extra"))
     out = found.select("doc_id", "row_key", "base").join(extra, "row_key", "left")
@@ -159,28 +147,32 @@ def digests(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
-def redact(
-    documents: DataFrame, marker: str = "[SECRET]", reach: int = REACH, doc_id: str = "doc_id", text: str = "text", gaps: bool = False
-) -> DataFrame:
+def redact(documents: DataFrame, marker: str = "[SECRET]", reach: int = REACH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with every span of its texts replaced by ``marker``; spans that touch or overlap get one. A column ``n_chars``
-    is set to the new length in code points. Rows without a span stay as they are. ``gaps`` as in ``scan``."""
-    spans = scan(documents, reach, doc_id, text, gaps).filter("size(spans) > 0").select(F.col("row_key").alias("_key"), F.col("spans").alias("_spans"))
+    is set to the new length in code points. Rows without a span, null and empty texts among them, stay as they are; rows with equal id and text get
+    equal texts; an empty table stays empty. Other columns are kept, whatever their names."""
+    spans = scan(documents, reach, doc_id, text).filter("size(spans) > 0").select(F.col("row_key").alias("_key"), F.col("spans").alias("_spans"))
     spans = spans.dropDuplicates(["_key"])
     joined = documents.alias("d").join(spans.alias("s"), _row_key(f"d.{doc_id}", f"d.{text}") == F.col("s._key"), "left")
     body = F.col(f"d.{text}")
+    nothing = F.array().cast("array<string>")
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] > acc["upto"]
-        gap = F.array(body.substr((acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")), F.lit(marker))
-        first = F.size(acc["parts"]) == 0
-        return F.struct(
-            F.greatest(acc["upto"], s["end"]).alias("upto"), F.concat(acc["parts"], F.when(fresh | first, gap).otherwise(F.array().cast("array<string>"))).alias("parts")
-        )
-
-    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.array().cast("array<string>").alias("parts"))
+        apart = (s["start"] > acc["upto"]) | (acc["upto"] < 0)
+        upto = F.greatest(acc["upto"], F.lit(0).cast("bigint"))
+        gap = F.array(body.substr((upto + 1).cast("int"), (s["start"] - upto).cast("int")), F.lit(marker))
+        return F.struct(F.greatest(upto, s["end"]).alias("upto"), F.concat(acc["parts"], F.when(apart, gap).otherwise(nothing)).alias("parts"))
+
+    def block(acc: Column, part: Column) -> Column:
+        # A growing array is copied at each step, so the pieces are joined block by block.
+        done = F.aggregate(part, F.struct(acc["upto"].alias("upto"), nothing.alias("parts")), step)
+        return _let(done, lambda d: F.struct(d["upto"].alias("upto"), F.concat(acc["parts"], F.array(F.array_join(d["parts"], ""))).alias("parts")))
+
+    found_spans = F.col("s._spans")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found_spans) - 1) / _BLOCK).cast("int")), lambda b: F.slice(found_spans, b * _BLOCK + 1, F.lit(_BLOCK)))
+    start = F.struct(F.lit(-1).cast("bigint").alias("upto"), nothing.alias("parts"))
     cleaned = F.aggregate(
-        F.col("s._spans"), start, step,
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), body.substr((acc["upto"] + 1).cast("int"), F.length(body))),
+        blocks, start, block, lambda acc: F.concat(F.array_join(acc["parts"], ""), body.substr((acc["upto"] + 1).cast("int"), F.length(body))),
     )
     new = F.when(F.col("s._spans").isNull(), body).otherwise(cleaned)
     found, changed = fresh("_found", documents.columns), fresh("_changed", documents.columns)
@@ -209,8 +201,8 @@ def oracle() -> str:
     ids, keys = (", ".join(f"'{k}'" for k in ks) for ks in (IDENTIFIERS, KEYS))
 
     def near(kinds: str) -> str:
-        return f"""EXISTS (SELECT 1 FROM p o WHERE o.row = w.row AND o.kind IN ({kinds}) AND abs(o.start - w.start) <= {REACH}
-      AND (w."end" <= o.start OR o."end" <= w.start))"""
+        return f"""EXISTS (SELECT 1 FROM p o WHERE o.row = w.row AND o.kind IN ({kinds}) AND
+      (o.start - w."end" BETWEEN 0 AND {REACH} OR w.start - o."end" BETWEEN 0 AND {REACH}))"""
 
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
