@@ -1,11 +1,14 @@
+import math
 import random
+import re
 from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ticketlens.llm.queries import QUERIES
-from ticketlens.llm.toxicity import ToxicityPlan, features, fit, score, swapped, train, words
+from ticketlens.llm.toxicity import ToxicityPlan, counterfactual, features, fit, score, swapped, train, words
 
 SCHEMA = "doc_id bigint, text string, label int, score string, predicted string"
 FILLER = [f"{a}{b}{c}" for a in "bdgklm" for b in "aeiou" for c in "nrst"]
@@ -50,6 +53,49 @@ def test_swaps():
     assert features("abcdef", replace(plan, prefixes=(3, 6))) == ["abcdef", "abc-"]
 
 
+def test_pairs_without_terms(spark):
+    plan = ToxicityPlan()
+    assert counterfactual({"women", "x"}, plan) == ({"women", "x"}, {"men", "x"})
+    for body in ({"x"}, {"y", "z"}, set()):
+        a, b = counterfactual(body, plan)
+        assert a - body and b - body and a != b and any((a - b) | (b - a) <= set(g) for g in plan.groups)
+    # A toxic stem shares its beginning with an identity term: without the penalty the term is toxic by its look.
+    rows = [(i, " ".join(random.Random(i).choices(FILLER, k=9) + (["muslix"] if i % 3 == 0 else [])), int(i % 3 == 0), "s", "p") for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    neutral = [f"the muslim of {f}" for f in FILLER[:20]]
+    plain, regular = (train(docs, ToxicityPlan(swap=s, ridge=3.0)) for s in (0.0, 20.0))
+    assert regular.pairs > 100
+    changes = [np.mean([abs(m.score(t) - m.score(t.replace("muslim", "hindu"))) for t in neutral]) for m in (plain, regular)]
+    wrong = [sum(m.score(t) >= 0.5 for t in neutral) for m in (plain, regular)]
+    assert changes[1] < 0.6 * changes[0] and wrong[1] <= wrong[0]
+    assert np.mean([(regular.score(r[1]) >= 0.5) == r[2] for r in rows]) > 0.97
+
+
+def test_penalty_acts_on_the_given_table(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    learnt = docs.join(labels, "doc_id").filter("crc32(cast(doc_id AS string)) % 5 <> 0").select("text", F.col("toxic").alias("label"))
+    model = train(learnt)
+    assert model.pairs > 100
+    held = [r.text for r in docs.filter("crc32(cast(doc_id AS string)) % 5 = 0").collect()]
+    by_term = [[model.score(t + " " + term) for t in held] for term in ("muslim", "hindu", "women", "men")]
+    assert max(np.abs(np.array(by_term[0]) - by_term[1]).max(), np.abs(np.array(by_term[2]) - by_term[3]).max()) < 0.02
+
+
+def test_score_is_the_sum_of_found_features(spark):
+    docs = spark.createDataFrame(corpus() + [(5000, None, 0, "s", "p"), (5001, "", 0, "s", "p"), (5002, "IDIOT idiotic 日本 scum-trash", 0, "s", "p")], SCHEMA)
+    model = train(docs)
+
+    def plain(text):
+        found = {f for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for f in [w] + [w[:n] + "-" for n in (4, 5, 6) if len(w) > n]}
+        return 1 / (1 + math.exp(-(model.bias + sum(w for f, w in model.weights.items() if f in found))))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.score == pytest.approx(plain(texts[r.doc_id]), abs=1e-9) for r in score(docs, model).collect())
+    odd = spark.createDataFrame([("d-1", "scum")], "doc_id string, text string")
+    assert [r.doc_id for r in score(odd, model).collect()] == ["d-1"]
+
+
 def test_fit_reaches_a_stationary_point():
     rng = np.random.default_rng(0)
     x = (rng.random((200, 4)) < 0.4).astype(np.float32)

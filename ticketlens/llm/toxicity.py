@@ -1,14 +1,16 @@
 """A toxicity classifier with counterfactual regularisation.
 
 Features are the distinct words of a text and the beginnings of its longer words, so that inflected forms of a stem share evidence.
-A logistic regression is fitted to a labelled sample. For every sampled text that mentions an identity term, a copy with the
-term swapped for another of its group is made, and the loss has a penalty on the squared change of the score between
-both; so a neutral mention of a group cannot carry weight of its own, however often the labels go with it.
+A logistic regression is fitted to a labelled sample. Every sampled text gives a counterfactual pair: a text that mentions identity
+terms is paired with a copy in which they are swapped for others of their group; into any other text, two terms of a group are put in turn, so
+that pairs exist whatever the table holds. The loss has a penalty on the squared change of the score within each pair; so a neutral mention of a
+group cannot carry weight of its own, however often the labels go with it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -65,9 +67,23 @@ def swapped(found: set[str], plan: ToxicityPlan) -> set[str] | None:
     return (found - hits) | {after[t] for t in hits} if hits else None
 
 
+def counterfactual(found: set[str], plan: ToxicityPlan) -> tuple[set[str], set[str]]:
+    """The two word sets of a text's pair: itself and swapped, or, without an identity term, with either of two terms of one group put
+    in. Which terms is fixed by a hash of the words."""
+    other = swapped(found, plan)
+    if other is not None:
+        return found, other
+    n = zlib.crc32(" ".join(sorted(found)).encode())
+    group = plan.groups[n % len(plan.groups)]
+    at = n // len(plan.groups) % len(group)
+    return found | {group[at]}, found | {group[(at + 1) % len(group)]}
+
+
 class ToxicityModel:
-    def __init__(self, plan: ToxicityPlan, weights: dict[str, float], bias: float):
-        self.plan, self.weights, self.bias = plan, weights, bias
+    """Feature weights and bias. ``pairs``: counterfactual pairs that differ in a feature, which the penalty was computed over."""
+
+    def __init__(self, plan: ToxicityPlan, weights: dict[str, float], bias: float, pairs: int = 0):
+        self.plan, self.weights, self.bias, self.pairs = plan, weights, bias, pairs
         self.memo: dict[str, tuple[str, ...]] = {}
 
     def score(self, text: str | None) -> float:
@@ -109,7 +125,7 @@ def fit(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, pairs: tuple[
 
 
 def pick(labels: DataFrame, plan: ToxicityPlan = ToxicityPlan(), doc_id: str = "doc_id", label: str = "label") -> tuple[DataFrame, dict[int, int]]:
-    """A sample (id, label) of a label table, fixed by a hash of the ids, and the true number of each label; so that only the texts
+    """A sample (id, label) of a label table, repeated rows sampled together, none of an empty table; fixed by a hash of the ids, and the true number of each label; so that only the texts
     of the sample need be looked up. Rows without an id or with another label than 0 and 1 are left out."""
     rows = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL")
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -160,7 +176,8 @@ def train(
     terms = [t for g in plan.groups for t in g]
     telling = by_label.filter(F.col("toxic") + F.col("clean") >= plan.least).select("feature", F.abs(odds / deviation).alias("z"))
     chosen = [r.feature for r in telling.orderBy(F.desc(F.col("feature").isin(terms)), F.desc("z"), "feature").limit(plan.features).collect()]
-    index = {f: i for i, f in enumerate(sorted(chosen))}
+    # Terms have features even if the sample holds none of them; so the penalty sees every beginning that they share with other words.
+    index = {f: i for i, f in enumerate(sorted({*chosen, *(f for t in terms for f in features(t, plan))}))}
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def places(found: set[str]) -> list[int]:
@@ -168,14 +185,13 @@ def train(
 
         for batch in batches:
             found = [words(t.as_py()) for t in batch.column("text")]
-            other = [swapped(w, plan) for w in found]
-            columns = [
-                batch.column("label"), pa.array([places(w) for w in found], pa.list_(pa.int32())),
-                pa.array([None if w is None else places(w) for w in other], pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "has", "swapped"])
+            pairs = [counterfactual(w, plan) for w in found] if plan.groups else [(w, w) for w in found]
+            lists = [[places(w) for w in found], [places(a) for a, _ in pairs], [places(b) for _, b in pairs]]
+            columns = [batch.column("label"), *[pa.array(x, pa.list_(pa.int32())) for x in lists]]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "has", "before", "after"])
 
-    got = sorted((r.label, r.has, r.swapped) for r in sample.mapInArrow(indexed, "label int, has array<int>, swapped array<int>").collect())
+    rows = sample.mapInArrow(indexed, "label int, has array<int>, before array<int>, after array<int>").collect()
+    got = sorted((r.label, r.has, r.before, r.after) for r in rows)
 
     def matrix(lists: list[list[int]]) -> np.ndarray:
         out = np.zeros((len(lists), len(index)), np.float32)
@@ -185,9 +201,13 @@ def train(
 
     labels = np.array([y for y, *_ in got], np.float32)
     true_share = np.where(labels == 1, n1 / m1, n0 / m0)
-    both = [(a, b) for _, a, b in got if b is not None]
-    w, bias = fit(matrix([a for _, a, _ in got]), labels, true_share, (matrix([a for a, _ in both]), matrix([b for _, b in both])), plan)
-    return ToxicityModel(plan, {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, bias)
+    # Swapped mentions and terms put in count alike in the penalty, however many there are of each.
+    both = [(a, b, a == has) for _, has, a, b in got if a != b]
+    kinds = Counter(own for *_, own in both)
+    scale = np.array([[np.sqrt(len(both) / (len(kinds) * kinds[own]))] for *_, own in both], np.float32).reshape(-1, 1)
+    pairs = matrix([a for a, *_ in both]) * scale, matrix([b for _, b, _ in both]) * scale
+    w, bias = fit(matrix([has for _, has, *_ in got]), labels, true_share, pairs, plan)
+    return ToxicityModel(plan, {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, bias, len(both))
 
 
 def score(documents: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,8 +223,8 @@ def score(documents: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", te
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "score", "predicted"]
             )
 
-    narrow = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, score double, predicted int")
+    narrow = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def held_out(doc_id: Column) -> Column:
