@@ -93,3 +93,19 @@ def test_given_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     assert sorted((tuple(r) for r in near_duplicates(docs).collect()), key=repr) == brute(rows)
+
+
+def test_thue_morse_words_differ(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_string_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([("d-2", text), ("d-1", text), ("d-3", "other words")], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {"d-1": "d-1", "d-2": "d-1", "d-3": "d-3"}
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == ["d-1", "d-3"]

@@ -192,8 +192,8 @@ def identify(documents: DataFrame, net: ByteNet | None, doc_id: str = "doc_id",
                 scores = np.where(known, np.clip(total.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    narrow = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    narrow = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

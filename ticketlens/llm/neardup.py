@@ -182,15 +182,15 @@ def near_duplicates(documents: DataFrame, plan: NearDup = NearDup()) -> DataFram
     """One row per row of ``documents`` (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id, kept.
 
     Words are runs without ASCII blanks, A-Z folded; a text's set holds its distinct runs of ``plan.words`` words, or the whole
-    sequence if it is shorter. Texts whose sets have ``plan.percent`` % of their union in common are linked, and
+    sequence if it is shorter. Ids may be of any type that has an order. Texts whose sets have ``plan.percent`` % of their union in common are linked, and
     component_id is the smallest doc_id that links reach. A null, empty or blank text has an empty set, no link, and its own
     doc_id. Repeated rows are copies of one document and share all answers. A row without doc_id takes part in links but
     names no component; component_id is null if no member has an id, and such rows are kept. An empty table gives no rows.
     """
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sketch = materialise(
         docs.mapInArrow(
-            lambda it: _sketch(it, plan), "doc_id bigint, text_hash bigint, n_shingles bigint, set_id binary, chunks array<bigint>"
+            lambda it: _sketch(it, plan), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, n_shingles bigint, set_id binary, chunks array<bigint>"
         ),
         "neardup-sketch",
     )

@@ -119,7 +119,7 @@ def count_tokens(
             columns = (ids, field, section, start, end, counts, crossing, share)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    narrow = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(names)])
+    narrow = documents.select(F.col(doc_id).alias("doc_id"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(names)])
     return narrow.mapInArrow(
-        run, "doc_id bigint, field string, section int, start bigint, end bigint, n_tokens bigint, n_crossing bigint, token_share double"
+        run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, field string, section int, start bigint, end bigint, n_tokens bigint, n_crossing bigint, token_share double"
     )
