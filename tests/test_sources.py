@@ -1,7 +1,9 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketlens.operators import report as rp
 from ticketlens.plans.catalog import Source
@@ -50,6 +52,79 @@ def test_quoted_line_breaks_survive_every_csv_path(spark, tmp_path):
     assert readers.scan_tickets(spark, str(path), multi_line=False).count() == 5
 
 
+@pytest.fixture
+def cuts(spark):
+    """Sets the size of the blocks that files are read in."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+
+    def cut(size):
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], "1")
+
+    yield cut
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
+def tricky_csv(rnd, end):
+    cells = ["", "plain", "a b", "é日", '""', '"x, y"', '"line\nbreak"', '"she said ""hi"""', '"\n\n"', '",\n"', "5'", '"""\n"""', "12"]
+    rows = ["a,b,c"] + [",".join(rnd.choice(cells) for _ in range(3)) for _ in range(rnd.randint(1, 14))]
+    return end.join(rows) + rnd.choice(["", end, end + end])
+
+
+def test_split_csv_equals_one_piece_at_every_cut(spark, tmp_path, cuts):
+    rnd = random.Random(5)
+    for k, size in enumerate([9, 24, 61]):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        for i in range(3):
+            (folder / f"{i}.csv").write_text(tricky_csv(rnd, "\n" if k % 2 else "\r\n"), newline="")
+        cuts(size)
+        got = sorted(map(repr, readers.scan_csv(spark, str(folder)).collect()))
+        cuts(1 << 27)
+        assert got == sorted(map(repr, readers.scan_csv(spark, str(folder), split=False).collect())), (k, size)
+
+
+def test_split_csv_uses_many_tasks_and_states_headers(spark, tmp_path, cuts):
+    path = tmp_path / "t.csv"
+    path.write_text("id,text\n" + "".join(f'{i},"ticket {i},\n""quoted"" to its end"\n' for i in range(20_000)))
+    cuts(100_000)
+    df = readers.scan_csv(spark, str(path), T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())]))
+    assert df.count() == 20_000 and df.agg(F.sum("id")).first()[0] == 19_999 * 10_000
+    assert df.filter("text <> concat('ticket ', id, ',\n\"quoted\" to its end')").count() == 0
+    from ticketlens.sources.splitting import CsvMachine, _pieces
+
+    assert _pieces(spark, str(path), CsvMachine()).rdd.getNumPartitions() >= 8
+    with pytest.raises(ValueError, match="does not name"):
+        readers.scan_csv(spark, str(path), T.StructType([T.StructField("other", T.StringType()), T.StructField("text", T.StringType())]))
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "two" / "b.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        readers.scan_csv(spark, str(tmp_path / "two"))
+    (tmp_path / "none.csv").write_text("")
+    assert readers.scan_csv(spark, str(tmp_path / "none.csv")).collect() == []
+
+
+def test_split_json_equals_one_piece_at_every_cut(spark, tmp_path, cuts):
+    rnd = random.Random(6)
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("more", T.MapType(T.StringType(), T.StringType()))])
+    texts = ["", "plain", "} {", "a \\ b", 'q"q', "[{]}", "é日\n\t", "\\\"}", "}\\\\", "{" * 5]
+    for k, size in enumerate([8, 33]):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        for i in range(3):
+            rows = [{"id": str(n), "text": rnd.choice(texts), "more": {rnd.choice(texts): rnd.choice(texts)}} for n in range(rnd.randint(0, 12))]
+            (folder / f"{i}.json").write_text(json.dumps(rows, indent=rnd.choice([None, 1]), ensure_ascii=rnd.random() < 0.5))
+        (folder / "one.json").write_text(json.dumps({"id": "alone", "text": "} {", "more": {"a": "b"}}))
+        cuts(size)
+        got = sorted(map(repr, readers.scan_json(spark, str(folder), schema).collect()))
+        cuts(1 << 27)
+        want = sorted(map(repr, readers.scan_json(spark, str(folder), schema, split=False).collect()))
+        assert got == want and len(want) > 1, (k, size)
+
+
 def test_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.load_tickets(spark, str(tmp_path / "none.csv"))

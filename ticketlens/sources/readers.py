@@ -8,22 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketlens.sources.splitting import csv_records, json_records
 from ticketlens.operators.tables import ENTITIES_SCHEMA, SENTIMENT_COLUMNS, map_columns, require_columns, validate_tickets
 
 TICKET_COLUMNS = ("ticket_id", "text", "created_at", "priority", "channel", "category")
 TICKET_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in TICKET_COLUMNS])
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
-    """CSV with a header and quoted line breaks, each file in one piece. ``multi_line=False`` splits large files, but tears quoted line breaks."""
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True, split: bool = True) -> DataFrame:
+    """CSV with a header and quoted line breaks. Large files are read by many tasks; all files must have one header, which must name the
+    columns of ``schema`` in order. Lines end in ``\\n`` or ``\\r\\n``. ``split=False`` reads each file in one piece; ``multi_line=False``
+    lets Spark split at every line break, which tears quoted ones."""
+    if split and multi_line:
+        names, rows = csv_records(spark, path)
+        if schema is None:
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        elif names and [n.lower() for n in names] != [f.name.lower() for f in schema]:
+            raise ValueError(f"the header {names} does not name the columns {schema.names}")
+        if not len(schema):
+            return spark.createDataFrame([], schema)
+        options = {"quote": '"', "escape": '"', "multiLine": "true"}
+        return rows.select(F.from_csv("record", _ddl(schema), options).alias("r")).select("r.*")
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     if schema is not None:
         return reader.schema(schema).option("enforceSchema", False).csv(path)
     return reader.csv(path)
 
 
-def scan_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """One JSON document of records per file."""
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+
+
+def scan_json(spark: SparkSession, path: str, schema: T.StructType | None = None, split: bool = True) -> DataFrame:
+    """One JSON document of records per file. With a schema, large files are read by many tasks; without one, or with ``split=False``, each file is
+    read in one piece, as its columns are not known before."""
+    if split and schema is not None:
+        parsed = json_records(spark, path).select(F.from_json("record", schema, {"primitivesAsString": "true"}).alias("r"))
+        return parsed.select("r.*")
     return _json(spark, schema).option("multiLine", True).json(path)
 
 
