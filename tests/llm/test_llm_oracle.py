@@ -26,4 +26,4 @@ def test_whole_result(spark, folder, name):
 def test_registered():
     import __spark_entry__ as entry
 
-    assert [sum(q.startswith(f"op{n}_") for q in entry.queries()) for n in range(1, 11)] == [1] * 10 and "pipeline" in entry.queries()
+    assert [sum(q.startswith(f"op{n}_") for q in entry.queries()) for n in range(1, 14)] == [1] * 13 and "pipeline" in entry.queries()
