@@ -58,6 +58,19 @@ NEGATIONS = tuple(
     "rarely seldom".split()
 )
 
+# Phrases that count as one word: with a valence, as a degree word, as a negation, or without either (None).
+PHRASE_VALENCES = {
+    "let down": -2.0, "fed up": -2.0, "waste of time": -2.5, "rip off": -2.5, "out of order": -1.5, "top notch": 3.0, "well done": 2.0, "worth every penny": 2.5,
+    "pain in the neck": -2.0, "second to none": 3.0,
+}
+PHRASE_BOOSTS = {
+    "kind of": -0.293, "sort of": -0.293, "a bit": -0.293, "more or less": -0.293, "by far": 0.293, "without doubt": 0.293, "without a doubt": 0.293,
+    "never so": 0.293, "beyond words": 0.293,
+}
+PHRASE_NEGATIONS = ("no longer", "far from", "by no means", "anything but")
+PHRASES_WITHOUT_EFFECT = ("not only", "no wonder", "for nothing")
+EMOTICONS = {":)": 2.0, ":-)": 2.0, ":D": 2.5, ";)": 1.0, "<3": 2.5, ":(": -2.0, ":-(": -2.0, ":'(": -2.5, ":/": -1.0}
+
 STOP_WORDS = tuple(
     "a about above after again against all also am an and any are as at be because been before being "
     "below between both but by can could did do does doing down during each few for from further get "

@@ -117,7 +117,7 @@ def target_types(mentions: DataFrame, types: Iterable[str] = ENTITY_TYPES) -> Da
     return mentions.filter(F.col("entity_type").isin(list(types)))
 
 
-def _without_overlaps(mentions: Column) -> Column:
+def without_overlaps(mentions: Column) -> Column:
     """Left to right: a mention is kept when it starts at or after the end of the last one kept."""
     ordered = F.transform(
         F.array_sort(
@@ -147,7 +147,7 @@ def _without_overlaps(mentions: Column) -> Column:
 
 def _grouped(mentions: DataFrame, id_col: str) -> DataFrame:
     return mentions.groupBy(id_col).agg(
-        _without_overlaps(
+        without_overlaps(
             F.collect_list(F.struct(F.col("entity").alias("text"), F.col("entity_type").alias("label"), "start", "end"))
         ).alias("entities")
     )

@@ -7,13 +7,18 @@ join form with the same result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import text as tx
-from ticketlens.functions.wordlists import BOOSTERS_DOWN, BOOSTERS_UP, LEXICON, NEGATIONS
+from ticketlens.functions.wordlists import (
+    BOOSTERS_DOWN, BOOSTERS_UP, EMOTICONS, LEXICON, NEGATIONS, PHRASE_BOOSTS, PHRASE_NEGATIONS, PHRASE_VALENCES, PHRASES_WITHOUT_EFFECT,
+)
+from ticketlens.operators.entities import without_overlaps
 from ticketlens.operators.keywords import keyword_table_matches
 from ticketlens.session import small_table
 
@@ -43,22 +48,96 @@ def _is_negation(word: Column, negations: Iterable[str]) -> Column:
     return word.isin(list(negations)) | F.contains(word, F.lit("n't"))
 
 
-def _boost(word: Column) -> Column:
-    return (
-        F.when(word.isin(list(BOOSTERS_UP)), F.lit(BOOST))
-        .when(word.isin(list(BOOSTERS_DOWN)), F.lit(-BOOST))
-        .otherwise(F.lit(0.0))
-    )
+def _boost(word: Column, more: Mapping[str, float] | None = None) -> Column:
+    out = F.when(word.isin(list(BOOSTERS_UP)), F.lit(BOOST)).when(word.isin(list(BOOSTERS_DOWN)), F.lit(-BOOST))
+    for token, amount in (more or {}).items():
+        out = out.when(word == token, F.lit(amount))
+    return out.otherwise(F.lit(0.0))
+
+
+@dataclass(frozen=True)
+class Phrases:
+    """Runs of words that count as one: by valence, as degree words, as negations, or without effect; and emoticons by valence. Words of a phrase
+    are joined by underscores in its token. All keys are in lower case but emoticons."""
+
+    valences: Mapping[str, float] = field(default_factory=dict)
+    boosts: Mapping[str, float] = field(default_factory=dict)
+    negations: tuple[str, ...] = ()
+    neutral: tuple[str, ...] = ()
+    emoticons: Mapping[str, float] = field(default_factory=dict)
+
+    def all(self) -> list[tuple[str, ...]]:
+        return [tuple(p.split()) for p in (*self.valences, *self.boosts, *self.negations, *self.neutral)]
+
+    @staticmethod
+    def token(phrase: str) -> str:
+        return "_".join(phrase.split())
+
+
+PHRASES = Phrases(PHRASE_VALENCES, PHRASE_BOOSTS, PHRASE_NEGATIONS, PHRASES_WITHOUT_EFFECT, EMOTICONS)
+
+
+def _trie(phrases: list[tuple[str, ...]]) -> tuple[dict[str, int], list[int]]:
+    """Steps ``"node word"`` to the next node, from node 0, and the nodes at which a phrase ends."""
+    steps: dict[str, int] = {}
+    ends = []
+    for words in phrases:
+        node = 0
+        for w in words:
+            node = steps.setdefault(f"{node} {w}", len(steps) + 1)
+        ends.append(node)
+    return steps, ends
+
+
+def merge_phrases(words: Column, lower: Column, phrases: list[tuple[str, ...]]) -> Column:
+    """The word array with every phrase as one word, joined by underscores: from left to right, at each place the longest one.
+
+    Only words that begin a phrase start a walk through the trie, which goes on as long as the next words are on a path.
+    """
+    steps, ends = _trie(phrases)
+    table = F.from_json(F.lit(json.dumps(steps)), "map<string,int>")
+    heads, longest = sorted({p[0] for p in phrases}), max(map(len, phrases))
+
+    def walk(at: Column) -> Column:
+        def step(s: Column, w: Column) -> Column:
+            node = F.when(s["node"] >= 0, F.coalesce(F.try_element_at(table, F.concat_ws(" ", s["node"].cast("string"), w)), F.lit(-1))).otherwise(F.lit(-1))
+            depth = s["depth"] + 1
+            return F.struct(node.alias("node"), depth.alias("depth"), F.when(node.isin(ends), depth).otherwise(s["best"]).alias("best"))
+
+        start = F.struct(F.lit(0).alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("best"))
+        return F.aggregate(F.slice(lower, at + 1, F.lit(longest)), start, step, lambda s: s["best"])
+
+    begins = F.filter(F.transform(lower, lambda w, i: F.when(w.isin(heads), i)), lambda i: i.isNotNull())
+    found = F.transform(begins, lambda i: F.struct(F.lit("").alias("text"), F.lit("").alias("label"), i.alias("start"), (i + walk(i)).alias("end")))
+
+    def merged(kept: Column) -> Column:
+        def part(k: Column, j: Column) -> Column:
+            before = F.when(j > 0, F.get(kept, j - 1)["end"]).otherwise(F.lit(0))
+            return F.concat(F.slice(words, before + 1, k["start"] - before), F.array(F.array_join(F.slice(words, k["start"] + 1, k["end"] - k["start"]), "_")))
+
+        last = F.get(kept, F.size(kept) - 1)["end"]
+        return F.when(F.size(kept) == 0, words).otherwise(F.concat(F.flatten(F.transform(kept, part)), F.slice(words, last + 1, F.greatest(F.size(words) - last, F.lit(0)))))
+
+    spans = without_overlaps(F.filter(found, lambda m: m["end"] > m["start"]))
+    return F.get(F.transform(F.array(spans), merged), F.lit(0))
 
 
 def _signed(value: Column, amount: float) -> Column:
     return F.when(value > 0, F.lit(amount)).otherwise(F.lit(-amount))
 
 
-def with_words(df: DataFrame, text_col: str) -> DataFrame:
-    """Word array, its lower-cased form, and whether some but not all words are in capitals."""
+def with_words(df: DataFrame, text_col: str, phrases: Phrases | None = None) -> DataFrame:
+    """Word array, its lower-cased form, and whether some but not all words are in capitals. Phrases and emoticons are words."""
     text = tx.fill_text(F.col(text_col))
-    df = df.withColumn("_words", F.regexp_extract_all(text, F.lit(tx.WORD_PATTERN), F.lit(0)))
+    pattern = tx.WORD_PATTERN
+    if phrases is not None and phrases.emoticons:
+        signs = "|".join("\\Q" + e + "\\E" for e in sorted(phrases.emoticons, key=lambda e: (-len(e), e)))
+        pattern = f"(?:(?<=^| )(?:{signs})(?= |$))|{pattern}"
+    df = df.withColumn("_words", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    if phrases is not None and phrases.emoticons:  # a capital in an emoticon is no shout
+        df = df.withColumn("_words", F.transform("_words", lambda w: F.when(w.isin(list(phrases.emoticons)), F.lower(w)).otherwise(w)))
+    if phrases is not None and phrases.all():
+        df = df.withColumn("_words", merge_phrases(F.col("_words"), F.transform("_words", F.lower), phrases.all()))
     df = df.withColumn("_lower", F.transform("_words", F.lower)).withColumn("_n", F.size("_words"))
     capitals = F.size(F.filter("_words", _is_upper))
     return df.withColumn("_caps", (capitals > 0) & (capitals < F.col("_n"))).withColumn(
@@ -78,9 +157,9 @@ def _emphasis(text_col: str) -> Column:
     return marks * EXCLAMATION + asked
 
 
-def _step(value: Column, k: int | Column, damping: Column, previous: Column, lower: Column, known: Column, caps: Column, negations):
+def _step(value: Column, k: int | Column, damping: Column, previous: Column, lower: Column, known: Column, caps: Column, negations, boosts=None):
     """Effect of the word k places back: first its boost, then its negation."""
-    boost = _boost(lower)
+    boost = _boost(lower, boosts)
     boost = F.when(value < 0, -boost).otherwise(boost)
     boost = F.when(boost == 0, F.lit(0.0)).otherwise(
         (boost + F.when(caps & _is_upper(previous), _signed(value, CAPS)).otherwise(F.lit(0.0))) * damping
@@ -128,13 +207,22 @@ def lexicon_sentiment(
     text_col: str = "clean",
     lexicon: Mapping[str, float] | None = None,
     negations: Iterable[str] = NEGATIONS,
+    phrases: Phrases | None = None,
 ) -> DataFrame:
     """Add lex_pos, lex_neg, lex_neu and lex_compound for a cleaned text column, row by row in the JVM.
 
-    The lexicon is a mapping and becomes part of the plan; one that is kept as a table goes to ``lexicon_join_sentiment``.
+    The lexicon is a mapping and becomes part of the plan; one that is kept as a table goes to ``lexicon_join_sentiment``. ``phrases`` makes
+    runs of words and emoticons count as one word each (``PHRASES`` is a default table); without it, words are scored one by one.
     """
     lexicon = LEXICON if lexicon is None else lexicon
     boosters = {*BOOSTERS_UP, *BOOSTERS_DOWN}
+    boosts: dict[str, float] = {}
+    if phrases is not None:
+        token = phrases.token
+        lexicon = {**lexicon, **{token(p): v for p, v in phrases.valences.items()}, **{e.lower(): v for e, v in phrases.emoticons.items()}}
+        boosts = {token(p): b for p, b in phrases.boosts.items()}
+        boosters |= boosts.keys()
+        negations = (*negations, *map(token, phrases.negations))
     opinion_words = [w for w in lexicon if w not in boosters]
     levels: dict[float, list[str]] = {}
     for word in opinion_words:
@@ -147,7 +235,7 @@ def lexicon_sentiment(
         return out
 
     original = df.columns
-    df = with_words(df, text_col)
+    df = with_words(df, text_col, phrases)
     # One set look-up for every word; only the few hits go on.
     spots = F.filter(
         F.transform("_lower", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: s["w"].isin(opinion_words)
@@ -175,6 +263,7 @@ def lexicon_sentiment(
                 F.coalesce(F.get("_lower", s["i"] - step["k"]).isin(list(lexicon)), F.lit(False)),
                 F.col("_caps"),
                 negations,
+                boosts,
             ),
         ) * _but_weight(s["i"], F.col("_but"))
 

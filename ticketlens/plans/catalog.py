@@ -697,6 +697,13 @@ def _(s):
     return se.lexicon_sentiment(cleaned).drop("clean")
 
 
+@query("phrase_sentiment", "SELECT id AS ticket_id, lex_pos, lex_neg, lex_neu, lex_compound FROM p_scores")
+def _(s):
+    ends = F.get(F.array(*[F.lit(p) for p in orc.PHRASED]), (F.substring("ticket_id", 5, 20).cast("bigint") % len(orc.PHRASED)).cast("int"))
+    phrased = s.tickets.select("ticket_id", F.concat(F.rtrim(F.col("text"), F.lit(".!?")), F.lit("."), ends).alias("text"))
+    return se.lexicon_sentiment(phrased.select("ticket_id", tx.clean(F.col("text")).alias("clean")), phrases=se.PHRASES).drop("clean")
+
+
 @query("lexicon_sentiment_documents", "SELECT id AS doc_id, lex_pos, lex_neg, lex_neu, lex_compound FROM d_scores")
 def _(s):
     return se.lexicon_sentiment(s.documents.select("doc_id", tx.clean(F.col("text")).alias("clean"))).drop("clean")

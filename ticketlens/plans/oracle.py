@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from ticketlens.functions.wordlists import (
+    EMOTICONS, PHRASE_BOOSTS, PHRASE_NEGATIONS, PHRASE_VALENCES, PHRASES_WITHOUT_EFFECT,
     BOOSTERS_DOWN, BOOSTERS_UP, COMPLAINT_KEYWORDS, CRITICAL_ENTITY_WORDS, CRITICAL_PRIORITIES, FLAG_REASONS, LEXICON,
     NEGATIONS, STOP_WORDS,
 )
@@ -109,7 +110,7 @@ _cte("boost", "SELECT * FROM (VALUES " + ", ".join(
     [f"({_q(w)}, 0.293::DOUBLE)" for w in BOOSTERS_UP] + [f"({_q(w)}, -0.293::DOUBLE)" for w in BOOSTERS_DOWN]) + ") AS b(word, amount)")
 
 
-def _sentiment(prefix: str, source: str) -> None:
+def _sentiment(prefix: str, source: str, lex: str = "lex", boost: str = "boost", negations: tuple[str, ...] = NEGATIONS) -> None:
     """Scores for a source with (id, clean): one row per id."""
     _cte(f"{prefix}_words", f"""
   SELECT id, w, lower(w) AS l, (w = upper(w) AND w <> lower(w)) AS up, row_number() OVER (PARTITION BY id ORDER BY ord) AS pos
@@ -123,16 +124,16 @@ def _sentiment(prefix: str, source: str) -> None:
     _cte(f"{prefix}_ctx", f"SELECT *, {lags} FROM {prefix}_words WINDOW o AS (PARTITION BY id ORDER BY pos)", f"{prefix}_words")
     _cte(f"{prefix}_v0", f"""
   SELECT c.*, f.caps, f.but, x.valence + CASE WHEN f.caps AND c.up THEN CASE WHEN x.valence > 0 THEN 0.733 ELSE -0.733 END ELSE 0 END AS v
-  FROM {prefix}_ctx c JOIN lex x ON x.token = c.l JOIN {prefix}_flags f ON f.id = c.id
-  WHERE c.l NOT IN (SELECT word FROM boost)""", f"{prefix}_ctx", f"{prefix}_flags", "lex", "boost")
+  FROM {prefix}_ctx c JOIN {lex} x ON x.token = c.l JOIN {prefix}_flags f ON f.id = c.id
+  WHERE c.l NOT IN (SELECT word FROM {boost})""", f"{prefix}_ctx", f"{prefix}_flags", lex, boost)
     for i, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
         _cte(f"{prefix}_v{i}", f"""
   SELECT p.* EXCLUDE (v), CASE WHEN p.l{i} IS NULL OR k.token IS NOT NULL THEN p.v ELSE
     (p.v + CASE WHEN b.amount IS NULL THEN 0 ELSE
        (CASE WHEN p.v < 0 THEN -b.amount ELSE b.amount END
         + CASE WHEN p.caps AND p.u{i} THEN CASE WHEN p.v > 0 THEN 0.733 ELSE -0.733 END ELSE 0 END) * {damp}::DOUBLE END)
-    * CASE WHEN p.l{i} IN {_in(NEGATIONS)} OR contains(p.l{i}, 'n''t') THEN -0.74::DOUBLE ELSE 1::DOUBLE END END AS v
-  FROM {prefix}_v{i - 1} p LEFT JOIN lex k ON k.token = p.l{i} LEFT JOIN boost b ON b.word = p.l{i}""", f"{prefix}_v{i - 1}", "lex", "boost")
+    * CASE WHEN p.l{i} IN {_in(negations)} OR contains(p.l{i}, 'n''t') THEN -0.74::DOUBLE ELSE 1::DOUBLE END END AS v
+  FROM {prefix}_v{i - 1} p LEFT JOIN {lex} k ON k.token = p.l{i} LEFT JOIN {boost} b ON b.word = p.l{i}""", f"{prefix}_v{i - 1}", lex, boost)
     _cte(f"{prefix}_sums", f"""
   SELECT id, round(sum(w), 6) AS s, round(sum(CASE WHEN w > 0 THEN w + 1 ELSE 0 END), 6) AS p,
          round(sum(CASE WHEN w < 0 THEN 1 - w ELSE 0 END), 6) AS m, count(*) FILTER (w <> 0) AS hit
@@ -164,6 +165,22 @@ _cte("m_src", f"SELECT ticket_id AS id, {_clean('text')} AS clean FROM messy", "
 _sentiment("m", "m_src")
 
 
+# Texts with phrases and emoticons, which SQL replaces by single words of its own.
+PHRASED = (" It was kind of good", " Without a doubt helpful, but not only slow", " We are FED UP with bad staff :(", " It is by no means great :D", " This is a waste of time", " more or less nice, never so happy <3")
+_cte("phrased", "SELECT ticket_id, rtrim(text, '.!?') || '.' || " + _list(PHRASED) + f"[CAST(substr(ticket_id, 5) AS BIGINT) % {len(PHRASED)} + 1] AS text FROM tickets", "tickets")
+_merged = _clean("text")
+for _phrase in sorted((*PHRASE_VALENCES, *PHRASE_BOOSTS, *PHRASE_NEGATIONS, *PHRASES_WITHOUT_EFFECT), key=lambda p: -len(p)):
+    _groups, _n = " ".join(f"({w})" for w in _phrase.split()), len(_phrase.split())
+    _merged = f"regexp_replace({_merged}, '(^|[^\\pL\\pN]){_groups}($|[^\\pL\\pN])', '{chr(92)}1" + "_".join(f"{chr(92)}{i + 2}" for i in range(_n)) + f"{chr(92)}{_n + 2}', 'gi')"
+for _i, _sign in enumerate(EMOTICONS):
+    _merged = f"replace({_merged} || ' ', ' {_sign.replace(chr(39), chr(39) * 2)} ', ' emoticon{_i} ')"
+_cte("p_src", f"SELECT ticket_id AS id, {_merged} AS clean FROM phrased", "phrased")
+_cte("p_lex", "SELECT * FROM lex UNION ALL SELECT * FROM (VALUES " + ", ".join(
+    [f"({_q(p.replace(' ', '_'))}, {v}::DOUBLE)" for p, v in PHRASE_VALENCES.items()] + [f"('emoticon{i}', {v}::DOUBLE)" for i, v in enumerate(EMOTICONS.values())]) + ") AS e(token, valence)", "lex")
+_cte("p_boost", "SELECT * FROM boost UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({_q(p.replace(' ', '_'))}, {v}::DOUBLE)" for p, v in PHRASE_BOOSTS.items()) + ") AS e(word, amount)", "boost")
+_sentiment("p", "p_src", "p_lex", "p_boost", (*NEGATIONS, *(p.replace(" ", "_") for p in PHRASE_NEGATIONS)))
+
+
 def _hybrid(compound: str, label: str, score: str) -> str:
     return f"(0.4::DOUBLE * {compound} + (1 - 0.4::DOUBLE) * CASE {label} WHEN 'positive' THEN {score} WHEN 'negative' THEN -{score} ELSE 0 END)"
 
