@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ticketlens.functions import text as tx
 from ticketlens.functions.wordlists import LEXICON, NEGATIONS
+from ticketlens.operators import density as dn
 from ticketlens.operators import entities as en
 from ticketlens.operators import grammar as gr
 from ticketlens.operators import keywords as kw
@@ -750,6 +751,28 @@ def _(s):
     return md.user_model_scores(_load_word_model)(cleaned).drop("clean")
 
 
+def _load_length_model():
+    def predict(texts):
+        letters = [sum(map(len, t.split())) for t in texts]
+        return [("NEGATIVE" if n % 3 == 0 else "POSITIVE", 0.5 + n % 11 / 22) for n in letters]
+
+    return predict
+
+
+@query("model_sentiment_windows", f"""WITH parts AS (
+    SELECT id, ws[i * 48 + 1 : i * 48 + 64] AS part FROM (
+      SELECT id, ws, unnest(range(CAST(greatest(ceil((len(ws) - 64) / 48), 0) AS BIGINT) + 1)) AS i FROM (
+        SELECT id, regexp_extract_all(clean, '[^ ]+') AS ws FROM d_src))),
+  scores AS (
+    SELECT id, greatest(len(part), 1) AS size, CASE WHEN n % 3 = 0 THEN 'negative' ELSE 'positive' END AS label, 0.5 + n % 11 / 22.0 AS score FROM (
+      SELECT id, part, CAST(coalesce(list_sum([length(x) FOR x IN part]), 0) AS BIGINT) AS n FROM parts)),
+  pooled AS (SELECT id, label, round(sum(size * score), 6) AS s, sum(size) AS size FROM scores GROUP BY 1, 2)
+  SELECT id AS doc_id, first(label ORDER BY s DESC, label) AS model_label, {_mean('max(s) / sum(size)', 6)} AS model_score FROM pooled GROUP BY 1""")
+def _(s):
+    cleaned = s.documents.select("doc_id", tx.clean(F.col("text")).alias("clean"))
+    return _round(md.windowed_model_scores(_load_length_model, md.token_spans("[^ ]+"), size=64, overlap=16)(cleaned).drop("clean"), "model_score", digits=6)
+
+
 _BY_PRIORITY = "CASE priority WHEN 'urgent' THEN 'negative' WHEN 'high' THEN 'negative' WHEN 'low' THEN 'positive' END"
 _PRIORITY_SCORE = "CASE priority WHEN 'urgent' THEN 0.9::DOUBLE WHEN 'high' THEN 0.6::DOUBLE WHEN 'low' THEN 0.8::DOUBLE END"
 
@@ -1109,6 +1132,11 @@ def _(s):
     return tm.density_topics(_reduced(s), 0.25, "vec_id")
 
 
+@query("cluster_topics_varying_density")
+def _(s):
+    return dn.varying_density_topics(_reduced(s), "vec_id")
+
+
 @query("assign_topics")
 def _(s):
     model = tm.fit_topics(s.documents)
