@@ -759,15 +759,15 @@ def _load_length_model():
     return predict
 
 
-@query("model_sentiment_windows", f"""WITH parts AS (
-    SELECT id, ws[i * 48 + 1 : i * 48 + 64] AS part FROM (
-      SELECT id, ws, unnest(range(CAST(greatest(ceil((len(ws) - 64) / 48), 0) AS BIGINT) + 1)) AS i FROM (
-        SELECT id, regexp_extract_all(clean, '[^ ]+') AS ws FROM d_src))),
-  scores AS (
-    SELECT id, greatest(len(part), 1) AS size, CASE WHEN n % 3 = 0 THEN 'negative' ELSE 'positive' END AS label, 0.5 + n % 11 / 22.0 AS score FROM (
-      SELECT id, part, CAST(coalesce(list_sum([length(x) FOR x IN part]), 0) AS BIGINT) AS n FROM parts)),
-  pooled AS (SELECT id, label, round(sum(size * score), 6) AS s, sum(size) AS size FROM scores GROUP BY 1, 2)
-  SELECT id AS doc_id, first(label ORDER BY s DESC, label) AS model_label, {_mean('max(s) / sum(size)', 6)} AS model_score FROM pooled GROUP BY 1""")
+@query("model_sentiment_windows", f"""SELECT id AS doc_id, first(label ORDER BY round(s, 6) DESC, label) AS model_label,
+  {_mean('first(s ORDER BY round(s, 6) DESC, label) / sum(size)', 6)} AS model_score FROM (
+  SELECT id, label, sum(size * score) AS s, sum(size) AS size FROM (
+    SELECT id, greatest(len(part), 1) AS size, CASE WHEN n % 3 = 0 THEN 'negative' ELSE 'positive' END AS label, 0.5 + n % 11 / 22.0::DOUBLE AS score FROM (
+      SELECT id, part, CAST(coalesce(list_sum([length(x) FOR x IN part]), 0) AS BIGINT) AS n FROM (
+        SELECT id, ws[i * 48 + 1 : i * 48 + 64] AS part FROM (
+          SELECT id, ws, unnest(range(CAST(greatest(ceil((len(ws) - 64) / 48), 0) AS BIGINT) + 1)) AS i FROM (
+            SELECT id, regexp_extract_all(clean, '[^ ]+') AS ws FROM d_src)))))
+  GROUP BY 1, 2) GROUP BY 1""")
 def _(s):
     cleaned = s.documents.select("doc_id", tx.clean(F.col("text")).alias("clean"))
     return _round(md.windowed_model_scores(_load_length_model, md.token_spans("[^ ]+"), size=64, overlap=16)(cleaned).drop("clean"), "model_score", digits=6)
