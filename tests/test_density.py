@@ -74,3 +74,15 @@ def test_odd_rows(spark):
     assert [found[i] for i in (900, 901, 902)] == [-1, -1, -1]
     assert dn.varying_density_topics(rows.limit(0)).collect() == []
     assert {r["topic"] for r in dn.varying_density_topics(rows.filter("ticket_id < 30")).collect()} == {-1}
+
+
+def test_neighbours_are_found_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(dn, "_PIECE", 1000)
+    x = np.random.default_rng(4).normal(size=(4000, 5))
+    points = dn.weighted_points(table(spark, x), "reduced")
+    rows = points.collect()
+    at = {r["node"]: i for i, r in enumerate(rows)}
+    y = np.array([r["vector"] for r in rows])
+    found = {(at[r["a"]], at[r["b"]]) for r in dn.neighbours(points, 10).collect()}
+    true = {(i, j) for i in range(0, 4000, 20) for j in np.argsort(((y - y[i]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()}
+    assert len(true & found) >= 0.9 * len(true), len(true & found) / len(true)
