@@ -156,3 +156,26 @@ def test_complaint_words_are_literal(spark):
 def test_empty_corpus_is_an_error(tickets, names):
     with pytest.raises(ValueError, match="no documents"):
         en.extract_entities(tickets.limit(0), names)
+
+
+def test_patterns_and_names_are_computed_once_for_a_row(spark):
+    """A column that is named several times inside functions on arrays is computed as often."""
+    df = spark.createDataFrame([("a", "x $5 and $7 for the blue ring"), ("b", None)], "ticket_id string, text string")
+    names = spark.createDataFrame([("blue ring", "PRODUCT")], "name string, label string")
+
+    def plan(found):
+        return found._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(en.pattern_entities(df)).count("regexp_extract_all") == 2
+    found = en.gazetteer_entities(df, names)
+    assert plan(found).count("regexp_extract_all") == 2  # tokens, and tokens with their blanks; those of the names are written
+    assert [tuple(r) for r in found.collect()] == [("a", "blue ring", "PRODUCT", 20, 29)]
+
+
+def test_places_of_names_far_into_a_text(spark):
+    text = "　lead " + "blue  ring, x\U0001f600  Blue ring. " * 150 + "blue"
+    names = spark.createDataFrame([("blue ring", "PRODUCT"), ("lead", "ORG")], "name string, label string")
+    rows = en.gazetteer_entities(spark.createDataFrame([("a", text)], "ticket_id string, text string"), names).collect()
+    stripped = text.strip()
+    assert len(rows) == 301 and all(stripped[r.start : r.end] == r.entity for r in rows)
+    assert len({r.start for r in rows}) == 301

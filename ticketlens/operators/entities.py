@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ticketlens.functions import arrays as ax
 from ticketlens.functions import text as tx
 from ticketlens.functions.wordlists import ENTITY_TYPES
+from ticketlens.session import materialise
 
 # --- Fixed values ---------------------------------------------------------------------
 MIN_TEXT_LENGTH = 2
@@ -21,7 +22,8 @@ MENTION = "array<struct<text:string,label:string,start:int,end:int>>"
 _HEADS = ax.BitSet(2048)  # of names' first tokens
 _BLOCK = 64  # mentions of a block in which overlaps are settled
 # Tokens of names and texts alike: words, and every other sign by itself.
-NAME_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85]"
+NAME_TOKEN = r"[a-zA-Z0-9_\p{L}\p{N}]+|[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85]"
+_PIECE = rf"(?:{NAME_TOKEN})[\s\p{{Z}}\x1c-\x1f\x85]*"  # a token with the blanks behind it
 
 
 def pattern_mentions(text: Column, pattern: str, label: str) -> Column:
@@ -30,15 +32,20 @@ def pattern_mentions(text: Column, pattern: str, label: str) -> Column:
     Starts are the running length of what precedes: the pieces between matches and the matches themselves,
     so equal matches get their own offsets.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda p: F.length(p).cast("bigint"))
-    before = ax.running_total(F.zip_with(gaps, matches, lambda g, m: g + F.length(m)))
+    def placed(matches: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda p: F.length(p).cast("bigint"))
 
-    def mention(z: Column) -> Column:
-        start = (z["before"] + z["gap"]).cast("int")
-        return F.struct(z["m"].alias("text"), F.lit(label).alias("label"), start.alias("start"), (start + F.length(z["m"])).alias("end"))
+        def mention(z: Column) -> Column:
+            start = (z["before"] + z["gap"]).cast("int")
+            return F.struct(z["m"].alias("text"), F.lit(label).alias("label"), start.alias("start"), (start + F.length(z["m"])).alias("end"))
 
-    return F.transform(F.arrays_zip(before.alias("before"), gaps.alias("gap"), matches.alias("m")), mention)
+        def mentions(gaps: Column) -> Column:
+            before = ax.running_total(F.zip_with(gaps, matches, lambda g, m: g + F.length(m)))
+            return F.transform(F.arrays_zip(before.alias("before"), gaps.alias("gap"), matches.alias("m")), mention)
+
+        return F.when(F.size(matches) > 0, ax.let(gaps, mentions)).otherwise(F.from_json(F.lit("[]"), MENTION))
+
+    return ax.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def pattern_entities(df: DataFrame, id_col: str = "ticket_id", text_col: str = "text") -> DataFrame:
@@ -48,8 +55,12 @@ def pattern_entities(df: DataFrame, id_col: str = "ticket_id", text_col: str = "
 
 
 def _pattern_arrays() -> Column:
+    # Signs that every match holds are looked for first, which costs far less than a pattern.
+    text, none = F.col("_text"), F.from_json(F.lit("[]"), MENTION)
+    money = F.contains(text, F.lit("$")) | F.contains(F.lower(text), F.lit("dollar")) | F.contains(F.lower(text), F.lit("usd"))
     return F.concat(
-        pattern_mentions(F.col("_text"), tx.MONEY_PATTERN, "MONEY"), pattern_mentions(F.col("_text"), tx.DATE_PATTERN, "DATE")
+        F.when(money, pattern_mentions(text, tx.MONEY_PATTERN, "MONEY")).otherwise(none),
+        F.when(F.contains(text, F.lit("-")), pattern_mentions(text, tx.DATE_PATTERN, "DATE")).otherwise(none),
     )
 
 
@@ -71,25 +82,36 @@ def gazetteer(*parts: tuple[DataFrame, str, str]) -> DataFrame:
 def _token_rows(df: DataFrame, longest: Column, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, head, start, pieces) of the tokens that may begin a name: in lower case, its place, and the tokens from it on with the blanks
     behind each, as many as the longest name has."""
-    texts = _readable(df, id_col, text_col).withColumns({"_longest": longest, "_heads": _HEADS.of(heads.select(F.col("head").alias("value")))})
-    texts = texts.withColumn("_tok", F.regexp_extract_all("_text", F.lit(NAME_TOKEN), F.lit(0)))
-    texts = texts.withColumn("_gap", F.split("_text", NAME_TOKEN, -1)).withColumn("_size", F.size("_tok"))
-    lengths = F.zip_with(
-        F.slice("_gap", F.lit(1), F.col("_size")), F.col("_tok"), lambda g, t: (F.length(g) + F.length(t)).cast("bigint")
-    )
-    pieces = F.zip_with("_tok", F.slice("_gap", F.lit(2), F.col("_size")), lambda t, g: F.concat(t, g))
-    texts = texts.withColumns({"_before": ax.running_total(lengths), "_pieces": pieces})
+    bits = _HEADS.of(heads.select(F.col("head").alias("value")))
+    texts = _readable(df, id_col, text_col).withColumns({"_longest": longest, "_bits": bits})
 
-    def row(h: Column) -> Column:
-        i = h["i"]
-        start = F.get("_before", i) + F.length(F.get("_gap", i))
-        return F.struct(h["head"].alias("head"), start.cast("int").alias("start"), F.slice("_pieces", i + 1, F.col("_longest")).alias("pieces"))
+    def heads_of(tok: Column) -> Column:
+        # Most tokens begin no name: they are dropped within the array, before rows are made.
+        lowered = F.transform(tok, lambda t, i: F.struct(F.lower(t).alias("head"), i.alias("i")))
+        return F.filter(lowered, lambda h: _HEADS.may_hold(F.col("_bits"), h["head"]))
 
-    # Most tokens begin no name: they are dropped within the array, before rows are made.
-    heads = F.filter(
-        F.transform("_tok", lambda t, i: F.struct(F.lower(t).alias("head"), i.alias("i"))), lambda h: _HEADS.may_hold(F.col("_heads"), h["head"])
-    )
-    return texts.select(id_col, F.inline(F.transform(heads, row)))
+    def rows(found: Column, pieces: Column) -> Column:
+        def length(first: Column, n: Column) -> Column:
+            return F.length(F.array_join(F.slice(pieces, first + 1, n), "")).cast("bigint")
+
+        def step(h: Column, k: Column) -> Column:
+            last = F.coalesce(F.get(found, k - 1)["i"], F.lit(0))
+            return length(last, h["i"] - last)
+
+        def row(h: Column, k: Column, lead: Column, before: Column) -> Column:
+            start = lead + F.get(before, k + 1)
+            return F.struct(h["head"].alias("head"), start.cast("int").alias("start"), F.slice(pieces, h["i"] + 1, F.col("_longest")).alias("pieces"))
+
+        steps = F.concat(F.transform(found, step), F.array(F.lit(0).cast("bigint")))
+        lead = F.length("_text") - length(F.lit(0), F.size(pieces))
+        return ax.let(lead, lambda lead: ax.let(ax.running_total(steps), lambda before: F.transform(found, lambda h, k: row(h, k, lead, before))))
+
+    def placed(found: Column) -> Column:
+        pieces = F.regexp_extract_all("_text", F.lit(_PIECE), F.lit(0))
+        return F.when(F.size(found) > 0, ax.let(pieces, lambda p: rows(found, p)))
+
+    tokens = F.regexp_extract_all("_text", F.lit(NAME_TOKEN), F.lit(0))
+    return texts.select(id_col, F.inline(ax.let(ax.let(tokens, heads_of), placed)))
 
 
 def gazetteer_entities(df: DataFrame, names: DataFrame, id_col: str = "ticket_id", text_col: str = "text") -> DataFrame:
@@ -97,13 +119,15 @@ def gazetteer_entities(df: DataFrame, names: DataFrame, id_col: str = "ticket_id
 
     A name is found wherever the text has it, in any case, with any white space for a blank, between the borders of words.
     Tokens are first joined to the names' first tokens, which leaves the few places where a name can begin and the
-    lengths it can have there; only these runs are joined to the names. Both are equi-joins that Spark broadcasts if
-    small. Only ids, short runs and their places are moved, never the text.
+    lengths it can have there; only these runs are joined to the names. Both are equi-joins with written tables, which Spark
+    broadcasts if small. Only ids, short runs and their places are moved, never the text.
     """
     tokens = F.regexp_extract_all("name", F.lit(NAME_TOKEN), F.lit(0))
-    listed = names.select("name", "label", tokens.alias("_t")).filter(F.size("_t") > 0)
-    heads = listed.groupBy(F.get("_t", F.lit(0)).alias("head")).agg(F.collect_set(F.size("_t")).alias("sizes"))
-    longest = listed.agg(F.coalesce(F.max(F.size("_t")), F.lit(1))).scalar()
+    split = names.select("name", "label", F.inline(F.array(F.struct(tokens.alias("_t")))))
+    # Written, as the bit set, the longest name and both joins read them; the planner then knows their sizes as well.
+    listed = materialise(split.select("name", "label", F.get("_t", F.lit(0)).alias("head"), F.size("_t").alias("n")).filter("n > 0"), "names")
+    heads = materialise(listed.groupBy("head").agg(F.collect_set("n").alias("sizes")), "name-heads")
+    longest = heads.agg(F.coalesce(F.max(F.array_max("sizes")), F.lit(1))).scalar()
     starts = _token_rows(df, longest, heads, id_col, text_col).join(heads, "head").select(id_col, "start", "pieces", F.explode("sizes").alias("n"))
     entity = tx.strip(F.array_join(F.slice("pieces", F.lit(1), F.col("n")), ""))
     runs = starts.filter(F.size("pieces") >= F.col("n")).select(id_col, "start", F.inline(F.array(F.struct(entity.alias("entity")))))
