@@ -1,9 +1,11 @@
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ticketlens.functions.arrays import BitSet
-from ticketlens.operators.keywords import keyword_table_matches
+from ticketlens.operators.keywords import grams, keyword_table_matches
 
 
 def brute(rows, keywords):
@@ -49,3 +51,25 @@ def test_bit_set(spark):
     kept = {r.value for r in df.filter(bits.may_hold(bits.of(members), df.value)).collect()}
     assert {str(i) for i in range(0, 500, 5)} <= kept and len(kept) < 200
     assert df.filter(bits.may_hold(bits.of(members.limit(0)), df.value)).count() == 0
+
+
+def test_a_text_is_moved_once(spark):
+    df = spark.createDataFrame([(1, "abcdefg")], "id int, text string")
+    found = keyword_table_matches(df, spark.createDataFrame([("cdefg", "t")], "keyword string, topic string"))
+    assert re.search(r"Project \[_row#\d+, gram#\d+\]", found._jdf.queryExecution().analyzed().toString())
+
+
+def test_more_hashes_hold_fewer_others(spark):
+    members = spark.range(0, 10_000, 20).selectExpr("cast(id AS string) AS value")
+    df = spark.range(10_000).selectExpr("cast(id AS string) AS value")
+    bits = BitSet(128, 4)
+    kept = {r.value for r in df.filter(bits.may_hold(bits.of(members), df.value)).collect()}
+    assert {str(i) for i in range(0, 10_000, 20)} <= kept and len(kept) < 700
+
+
+def test_grams(spark):
+    text = "a\U0001f600\nb日 a\U0001f600\nb"
+    row = spark.createDataFrame([(text,), ("ab",), ("",)], "text string").select(*[grams(F.col("text"), q).alias(f"q{q}") for q in (1, 3)]).collect()
+    for r, t in zip(row, (text, "ab", "")):
+        for q, found in ((1, r.q1), (3, r.q3)):
+            assert found == list(dict.fromkeys(t[i : i + q] for i in range(len(t) - q + 1)))

@@ -3,7 +3,7 @@
 A text contains a keyword only if it contains the keyword's q-grams. So every keyword is filed under one of them, the one that the fewest of
 the texts hold, and a text is looked up by its distinct q-grams: an equi-join, after which only the few keywords filed under a gram of
 the text are compared with it. Keywords shorter than ``q`` are filed under themselves, and texts give grams of these lengths too. Grams that no
-keyword is filed under are dropped within the row by a bit set of fixed size, before rows are made.
+keyword is filed under are dropped within the row by a bit set of fixed size, before rows are made: each of the others takes its row along.
 """
 
 from __future__ import annotations
@@ -17,16 +17,15 @@ from ticketlens.session import materialise
 
 # One text in so many tells how common a gram is. That decides only where a keyword is filed, never what matches.
 _FREQUENCY_SHARE = 64
-_BIT_WORDS = 1 << 14
+_BIT_WORDS, _BIT_HASHES = 1 << 14, 4
 
 
 def grams(text: Column, q: int) -> Column:
     """The distinct runs of ``q`` characters of a text; the empty run for ``q`` 0."""
     if q == 0:
         return F.array(F.lit(""))
-    runs = F.get(F.transform(F.array(F.filter(F.split(text, ""), lambda c: c != "")), lambda chars: F.when(F.size(chars) >= q, F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(chars) - q, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + k) for k in range(q)])))), F.lit(0))
-    return F.coalesce(F.array_distinct(runs), F.array().cast("array<string>"))
+    # One pass: at every character, what follows it is looked at and the character itself is taken.
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))."), F.lit(1)))
 
 
 def gram_index(keywords: DataFrame, texts: DataFrame, q: int, text_col: str) -> DataFrame:
@@ -49,10 +48,11 @@ def keyword_table_matches(df: DataFrame, keywords: DataFrame, text_col: str = "t
     """
     index = gram_index(keywords, df, q, text_col)
     short = sorted(r.n for r in index.filter(F.length("needle") < q).select(F.length("needle").alias("n")).distinct().collect())
-    bits = BitSet(_BIT_WORDS)
+    bits = BitSet(_BIT_WORDS, _BIT_HASHES)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.inline(F.array(F.struct(F.lower(tx.fill_text(F.col(f"`{text_col}`"))).alias("_text")))))
     rows = rows.withColumn("_bits", bits.of(index.select(F.col("gram").alias("value"))))
     asked = F.concat(*[F.filter(grams(F.col("_text"), n), lambda g: bits.may_hold(F.col("_bits"), g)) for n in (*short, q)])
-    looked_up = rows.select("_row", "_text", F.explode(asked).alias("gram"))
-    found = looked_up.join(index, "gram").filter(F.contains("_text", "needle"))
-    return found.select("_row.*", "topic", "keyword")
+    # The text is moved once: it is lowered again behind the join.
+    looked_up = rows.select("_row", F.explode(asked).alias("gram"))
+    text = F.lower(tx.fill_text(F.col("_row").getField(text_col)))
+    return looked_up.join(index, "gram").filter(F.contains(text, "needle")).select("_row.*", "topic", "keyword")

@@ -447,7 +447,8 @@ def topic_sentiment_breakdown(
     that contains two keywords of one label counts twice.
     """
     if isinstance(topics, DataFrame):
-        matches = keyword_table_matches(scored, topics, text_col)
+        # What is not read further on is not moved with the matches.
+        matches = keyword_table_matches(scored.select(text_col, "sentiment_label", "lex_compound", "sentiment_confidence"), topics, text_col)
     else:
         matches = keyword_matches(scored, topics, topic_labels or topics, text_col)
     per_label = matches.groupBy("topic", "sentiment_label").agg(
