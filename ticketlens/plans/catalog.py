@@ -679,7 +679,7 @@ def _(s):
 
 @query("critical_tickets", "SELECT ticket_id, flag_reason, sentiment_score, entity, priority, source_rank FROM critical_t")
 def _(s):
-    return s.inputs().critical()
+    return s.inputs(written=True).critical()
 
 
 @query("append_other", "SELECT topic_label, n AS \"count\" FROM pie")
