@@ -77,3 +77,16 @@ def test_rows(spark):
         (None, "2 euros", "MONEY", 0, 7, "2.00 EUR")], key=repr)
     assert [g[5] for g in got if g[0] == 6] == ["1.00 EUR", "1.00 USD"]
     assert gr.grammar_entities(df.limit(0), "key", "body").collect() == []
+
+
+@pytest.mark.parametrize("form", ["month 5", "code 300", "5 sign", "March year", "num euros", "unit ago"])
+def test_names_of_classes_are_no_classes(form):
+    assert [r for r in gr.parse(f"We met on {form}, then left.", DAY) if r[0] == form] == []
+
+
+def test_paths_that_cannot_hold_are_not_tried(monkeypatch):
+    tried = []
+    accept = gr.accept
+    monkeypatch.setattr(gr, "accept", lambda row, at, path: tried.append(at) or accept(row, at, path))
+    assert gr.parse("The pallet waits 3 floors up, the number is 4711, of 12 in all. " * 20, DAY) == []
+    assert not tried
