@@ -109,6 +109,22 @@ def test_merged(frames):
     assert tb.merged_with_entity_flag(None, frames.sentiment.limit(0), frames.entities) is frames.entities
 
 
+def test_merged_computes_each_table_once(spark, frames):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    once = [t.mapInArrow(counted, t.schema).groupBy(*t.columns).count().filter("count > 0").drop("count") for t in (frames.sentiment, frames.entities)]
+    rows = frames.sentiment.count() + frames.entities.count()
+    assert tb.merged_with_entity_flag(frames.topics, *once).filter("has_entities").count() == 4
+    assert seen.value == rows
+    empty = tb.merged_with_entity_flag(frames.topics, frames.sentiment.limit(0), frames.entities.limit(0))
+    assert empty.columns == frames.topics.columns
+
+
 def test_value_counts(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("a",)], "x string")
     assert [tuple(r) for r in rp.value_counts(df, "x").collect()] == [("a", 2), ("b", 2)]

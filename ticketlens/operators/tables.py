@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ticketlens.functions import text as tx
+from ticketlens.session import materialise
 
 # --- Fixed values ---------------------------------------------------------------------
 UNKNOWN_TOPIC = "Unknown"
@@ -102,16 +103,20 @@ def build_enriched(
 def merged_with_entity_flag(topics: DataFrame | None, sentiment: DataFrame | None, entities: DataFrame | None) -> DataFrame | None:
     """Topics with sentiment beside them and a flag for tickets that have entities. Without topics, the first of sentiment and
     entities that has rows. No table and an empty one are the same."""
-    topics, sentiment, entities = (None if t is None or t.isEmpty() else t for t in (topics, sentiment, entities))
-    if topics is None:
-        return sentiment if sentiment is not None else entities
+    if topics is None or topics.isEmpty():
+        return next((t for t in (sentiment, entities) if t is not None and not t.isEmpty()), None)
+    # What is joined is written first: to ask for one row of a table that is still to be computed costs most of the computation.
     out = topics
     if sentiment is not None and "sentiment_label" in sentiment.columns:
         keep = [c for c in ("ticket_id", "sentiment_label", "sentiment_score") if c in sentiment.columns]
-        out = out.join(sentiment.select(keep), "ticket_id", "left")
+        scores = materialise(sentiment.select(keep), "merged-scores")
+        if not scores.isEmpty():
+            out = out.join(scores, "ticket_id", "left")
     if entities is not None:
-        with_any = entities.select("ticket_id").distinct().withColumn("_any", F.lit(True))
-        out = out.join(with_any, "ticket_id", "left").withColumn("has_entities", F.col("_any").isNotNull()).drop("_any")
+        with_any = materialise(entities.select("ticket_id").distinct(), "merged-ids")
+        if not with_any.isEmpty():
+            with_any = with_any.withColumn("_any", F.lit(True))
+            out = out.join(with_any, "ticket_id", "left").withColumn("has_entities", F.col("_any").isNotNull()).drop("_any")
     return out
 
 
