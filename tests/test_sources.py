@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens.operators import report as rp
-from ticketlens.plans.catalog import Source
+from ticketlens.plans.catalog import QUERIES, Source
 from ticketlens.plans.weekly import WeeklyConfig, run_weekly
 from ticketlens.sources import readers, writers
 from ticketlens.streaming import scoring
@@ -182,6 +182,19 @@ def test_weekly_run_and_report_from_the_enriched_table(spark, tmp_path):
     assert first == second
 
 
+@pytest.mark.parametrize("name", ["load_enriched", "write_enriched"])
+def test_enriched_tables_are_built_from_written_tickets(spark, monkeypatch, name):
+    seen, write = [], writers.write_enriched
+
+    def noted(df, path):
+        seen.append(df)
+        return write(df, path)
+
+    monkeypatch.setattr(writers, "write_enriched", noted)
+    QUERIES[name](spark, FOLDER)
+    assert len(seen) == 1 and not [f for f in seen[0].inputFiles() if "orders" in f]
+
+
 def test_weekly_run_goes_on_after_a_failed_stage(spark, tmp_path):
     def broken(df):
         raise RuntimeError("no model today")

@@ -83,35 +83,22 @@ def _token_rows(df: DataFrame, longest: Column, heads: DataFrame, id_col: str, t
     """(id, head, start, pieces) of the tokens that may begin a name: in lower case, its place, and the tokens from it on with the blanks
     behind each, as many as the longest name has."""
     bits = _HEADS.of(heads.select(F.col("head").alias("value")))
-    texts = _readable(df, id_col, text_col).withColumns({"_longest": longest, "_bits": bits})
-
-    def heads_of(tok: Column) -> Column:
-        # Most tokens begin no name: they are dropped within the array, before rows are made.
-        lowered = F.transform(tok, lambda t, i: F.struct(F.lower(t).alias("head"), i.alias("i")))
-        return F.filter(lowered, lambda h: _HEADS.may_hold(F.col("_bits"), h["head"]))
-
-    def rows(found: Column, pieces: Column) -> Column:
-        def length(first: Column, n: Column) -> Column:
-            return F.length(F.array_join(F.slice(pieces, first + 1, n), "")).cast("bigint")
-
-        def step(h: Column, k: Column) -> Column:
-            last = F.coalesce(F.get(found, k - 1)["i"], F.lit(0))
-            return length(last, h["i"] - last)
-
-        def row(h: Column, k: Column, lead: Column, before: Column) -> Column:
-            start = lead + F.get(before, k + 1)
-            return F.struct(h["head"].alias("head"), start.cast("int").alias("start"), F.slice(pieces, h["i"] + 1, F.col("_longest")).alias("pieces"))
-
-        steps = F.concat(F.transform(found, step), F.array(F.lit(0).cast("bigint")))
-        lead = F.length("_text") - length(F.lit(0), F.size(pieces))
-        return ax.let(lead, lambda lead: ax.let(ax.running_total(steps), lambda before: F.transform(found, lambda h, k: row(h, k, lead, before))))
-
-    def placed(found: Column) -> Column:
-        pieces = F.regexp_extract_all("_text", F.lit(_PIECE), F.lit(0))
-        return F.when(F.size(found) > 0, ax.let(pieces, lambda p: rows(found, p)))
-
-    tokens = F.regexp_extract_all("_text", F.lit(NAME_TOKEN), F.lit(0))
-    return texts.select(id_col, F.inline(ax.let(ax.let(tokens, heads_of), placed)))
+    texts = _readable(df, id_col, text_col).withColumns({
+        "_tokens": F.regexp_extract_all("_text", F.lit(NAME_TOKEN), F.lit(0)), "_pieces": F.regexp_extract_all("_text", F.lit(_PIECE), F.lit(0)),
+    })
+    # Prefix sums are for long texts only: in a short one it costs less to measure what lies before the few tokens that are kept.
+    before = F.when(F.size("_pieces") > _BLOCK, ax.running_total(F.transform("_pieces", lambda p: F.length(p).cast("bigint"))))
+    lead = F.length("_text") - F.length(F.array_join("_pieces", ""))
+    # Tokens become rows and most are dropped at once, in compiled code; functions on arrays are interpreted. The outer form keeps the
+    # optimizer from testing the array before it is taken apart, by building it twice.
+    tokens = texts.select(id_col, "_tokens", "_pieces", lead.alias("_lead"), before.alias("_before")).select(
+        id_col, "_pieces", "_lead", "_before", F.posexplode_outer("_tokens").alias("_at", "_token")
+    )
+    head = F.lower("_token")
+    start = F.col("_lead") + F.coalesce(F.get("_before", F.col("_at")), F.length(F.array_join(F.slice("_pieces", F.lit(1), F.col("_at")), "")))
+    return tokens.filter(_HEADS.may_hold(bits, head)).select(
+        id_col, head.alias("head"), start.cast("int").alias("start"), F.slice("_pieces", F.col("_at") + 1, longest).alias("pieces")
+    )
 
 
 def gazetteer_entities(df: DataFrame, names: DataFrame, id_col: str = "ticket_id", text_col: str = "text") -> DataFrame:

@@ -134,12 +134,17 @@ class Source:
     def centroids(self) -> DataFrame:
         return tm.topic_centroids(self.embedded)
 
+    def written(self) -> Source:
+        """The same source with its tickets written, for queries that take several tables from them."""
+        base = Source(self.spark, self.folder)
+        base.tickets = materialise(self.tickets, "tickets")
+        return base
+
     def inputs(self, written: bool = False) -> rp.ReportInputs:
         """Report inputs; written ones are computed once for all the sections that read them."""
         if not written:
             return rp.ReportInputs(self.topics, self.sentiment, self.entities, self.tickets.select("ticket_id", "created_at", "priority", "text"))
-        base = Source(self.spark, self.folder)
-        base.tickets = materialise(self.tickets, "tickets")
+        base = self.written()
         sentiment = materialise(base.sentiment, "sentiment")
         entities = materialise(base.entities, "entities")
         return rp.ReportInputs(base.topics, sentiment, entities, base.tickets.select("ticket_id", "created_at", "priority", "text"))
@@ -232,8 +237,8 @@ def _(s):
   UNION ALL SELECT 'entities', ticket_id, entity, entity_type, NULL FROM mentions""")
 def _(s):
     path = scratch_path(s.spark, "enriched")
-    spans = en.extract_entities(s.tickets, s.names)
-    writers.write_enriched(_enriched(s).join(spans, "ticket_id"), path)
+    s = s.written()
+    writers.write_enriched(_enriched(s, en.extract_entities(s.tickets, s.names)), path)
     inputs = readers.load_enriched(s.spark, path)
     none = F.lit(None)
     parts = [
@@ -249,15 +254,17 @@ _ENRICHED = f"""SELECT {_TICKET_COLS}, r.topic, 'T' || r.topic AS topic_label, s
   model_score, is_critical FROM scored s JOIN r_topics r USING (ticket_id)"""
 
 
-def _enriched(s) -> DataFrame:
+def _enriched(s, spans: DataFrame | None = None) -> DataFrame:
     info = s.topics.select("topic", F.concat(F.lit("T"), F.col("topic").cast("string")).alias("name")).distinct()
-    return tb.build_enriched(s.tickets, s.topics, info, s.scored)
+    # Row-local: the scores come beside the tickets, so that no second copy of them is joined.
+    out = tb.build_enriched(s.scored, s.topics, info, None, spans)
+    return out.select(*s.tickets.columns, "topic", "topic_label", *tb.SENTIMENT_COLUMNS, *(["entities"] if spans is not None else []))
 
 
 @query("write_enriched", _ENRICHED)
 def _(s):
     path = scratch_path(s.spark, "enriched")
-    writers.write_enriched(_enriched(s), path)
+    writers.write_enriched(_enriched(s.written()), path)
     return s.spark.read.parquet(path)
 
 
