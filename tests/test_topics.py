@@ -130,6 +130,23 @@ def test_prediction_and_probability(blobs, spark):
     assert {(r["topic"], r["similarity"]) for r in tm.representative_docs(odd, centroids).collect()} == {(0, 0.0), (1, 0.0), (9, 0.0)}
 
 
+def test_topics_take_each_text_apart_once_per_step(spark):
+    """One pass over the texts to fit a model, one to assign: counted by a function that notes its calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(text):
+        calls.add(1)
+        return text
+
+    rows = [(i, ("red apple green pear " if i % 2 else "fast train slow bus ") + "abcde"[i % 5] * 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "ticket_id long, text string").withColumn("text", noted.asNondeterministic()("text"))
+    model = tm.fit_topics(df, ks=(2,), n_components=2, dimensions=64)
+    assert calls.value == 40
+    tm.assign_topics(df, model).filter("topic >= 0").write.format("noop").mode("overwrite").save()
+    assert calls.value == 80
+
+
 def test_assign_topics_gives_short_texts_minus_one(spark):
     rows = [(str(i), "parcel courier delivery late" if i % 2 else "invoice refund charge card") for i in range(40)] + [("s", "ab"), ("n", None)]
     df = spark.createDataFrame(rows, "ticket_id string, text string")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ticketlens.functions import text as tx
 from ticketlens.functions.arrays import cosine
 from ticketlens.operators import topics as tp
-from ticketlens.session import scratch_root
+from ticketlens.session import materialise, scratch_root
 
 # --- Fixed values ---------------------------------------------------------------------
 N_COMPONENTS = 5
@@ -79,7 +79,8 @@ def cluster_topics(
     df: DataFrame, model, id_col: str = "ticket_id", min_cluster_size: int = MIN_CLUSTER_SIZE
 ) -> DataFrame:
     """(id, topic): 0 is the largest cluster, clusters below the minimum size become -1."""
-    assigned = model.transform(df).select(id_col, F.col("_cluster").alias("topic"))
+    # Written, as both the sizes and the new numbers are taken from it: texts are not turned into vectors twice.
+    assigned = materialise(model.transform(df).select(id_col, F.col("_cluster").alias("topic")), "clusters")
     return tp.renumber_by_size(assigned, min_cluster_size)
 
 
@@ -145,21 +146,32 @@ class TopicModel:
         return reduce_dims(embed(df, self.embedder, text_col), self.reducer)
 
 
+def _hashed(df: DataFrame, text_col: str, dimensions: int, *keep: str) -> tuple[HashingTF, DataFrame]:
+    """The counts of hashed words, which take a pass over the texts; weights, vectors and clusters follow from them."""
+    hashing = HashingTF(inputCol="terms", outputCol="_tf", numFeatures=dimensions)
+    return hashing, hashing.transform(tp.with_terms(tp_texts(df, text_col), text_col, max_n=1)).select(*keep, "_tf")
+
+
+def _fit(hashing: HashingTF, counted: DataFrame, ks: Sequence[int], n_components: int) -> TopicModel:
+    weights = IDF(inputCol="_tf", outputCol="vector", minDocFreq=2).fit(counted)
+    vectors = weights.transform(counted).select("vector")
+    reducer = fit_reducer(vectors, "vector", n_components)
+    reduced = reduce_dims(vectors, reducer).select("reduced").persist()
+    try:
+        return TopicModel(PipelineModel([hashing, weights]), reducer, fit_clusters(reduced, ks))
+    finally:
+        reduced.unpersist()
+
+
 def fit_topics(
     df: DataFrame, text_col: str = "text", ks: Sequence[int] = (5, 10, 20), n_components: int = N_COMPONENTS, dimensions: int = 512
 ) -> TopicModel:
-    usable = tp_texts(df, text_col)
-    embedder = fit_embedder(usable, text_col, dimensions)
-    vectors = embed(usable, embedder, text_col).select("vector").persist()
+    hashing, counted = _hashed(df, text_col, dimensions)
+    counted = counted.persist()
     try:
-        reducer = fit_reducer(vectors, "vector", n_components)
-        reduced = reduce_dims(vectors, reducer).select("reduced").persist()
-        try:
-            return TopicModel(embedder, reducer, fit_clusters(reduced, ks))
-        finally:
-            reduced.unpersist()
+        return _fit(hashing, counted, ks, n_components)
     finally:
-        vectors.unpersist()
+        counted.unpersist()
 
 
 def tp_texts(df: DataFrame, text_col: str) -> DataFrame:
