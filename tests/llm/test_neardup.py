@@ -109,3 +109,28 @@ def test_string_ids(spark):
     docs = spark.createDataFrame([("d-2", text), ("d-1", text), ("d-3", "other words")], "doc_id string, text string")
     assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {"d-1": "d-1", "d-2": "d-1", "d-3": "d-3"}
     assert sorted(r.doc_id for r in keep_one(docs).collect()) == ["d-1", "d-3"]
+
+
+def test_only_counted_tables_are_broadcast(spark, monkeypatch):
+    from ticketlens.llm import frames, mixing, neardup, secrets
+
+    plans = []
+
+    def kept(write):
+        def run(df, name):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+            return write(df, name)
+        return run
+
+    for module in (frames, neardup):
+        monkeypatch.setattr(module, "materialise", kept(module.materialise))
+    monkeypatch.setattr(frames, "_BROADCAST_ROWS", -1)
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "s"), (2, text + " end", "s"), (3, "token=abcdefgh more words", None)], "doc_id bigint, text string, source string")
+    for out in (near_duplicates(docs), keep_one(docs)):
+        plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    for out in (secrets.redact(docs), mixing.mix(docs)):  # grown tables are joined last, sources before
+        top = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in top and "BroadcastHashJoin" not in top
+    assert {"neardup-members", "neardup-first-labels", "neardup-second"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "BroadcastHashJoin" in plan] == []

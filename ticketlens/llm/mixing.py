@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlens.llm.frames import fresh
+from ticketlens.llm.frames import fresh, shuffled
 from ticketlens.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -136,7 +136,7 @@ def mix(documents: DataFrame, plan: MixPlan = MixPlan(), doc_id: str = "doc_id",
     docs = documents.alias("d")
     size = F.regexp_count(F.col(f"d.{text}"), F.lit(WORD)).cast("bigint")
     joined = docs.join(
-        places.alias("p"),
+        shuffled(places).alias("p"),
         F.col(f"d.{doc_id}").eqNullSafe(F.col("p._id")) & F.col(f"d.{source}").eqNullSafe(F.col("p._source")) & (size == F.col("p._size")),
     )
     again = F.explode(F.sequence(F.lit(1), F.col("p._copies"))).alias(fresh("_copy", documents.columns))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.frames import components, small
+from ticketlens.llm.frames import components, shuffled, small
 from ticketlens.llm.shingles import WordHasher, numbers, shingle_sets, signature
 from ticketlens.session import materialise
 
@@ -171,8 +171,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, plan: NearDup, name: str) -> D
     wanted = materialise(wanted, f"{name}-wanted")
     sets = sets.select("cid", "shingles").join(small(wanted, wanted.count()), "cid", "left_semi").dropDuplicates(["cid"])
     joined = (
-        pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b")), "b")
+        small(pairs, pairs.count()).join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), "a")
+        .join(shuffled(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b"))), "b")
     )
     links = joined.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _confirm(it, plan), "a bigint, b bigint")
     return materialise(links, f"{name}-links")
@@ -206,7 +206,7 @@ def near_duplicates(documents: DataFrame, plan: NearDup = NearDup()) -> DataFram
         F.col("slot").cast("tinyint").alias("slot"), _key(F.col("slot")).alias("key"), "cid"
     )
     heads = keys.groupBy("slot", "key").agg(F.min("cid").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    members = materialise(keys.join(heads, ["slot", "key"]), "neardup-members")
+    members = materialise(keys.join(shuffled(heads), ["slot", "key"]), "neardup-members")
 
     shared = materialise(members.select("cid").distinct(), "neardup-shared")
     n_shared = shared.count()
@@ -220,36 +220,37 @@ def near_duplicates(documents: DataFrame, plan: NearDup = NearDup()) -> DataFram
     first = _confirmed(materialise(stars, "neardup-stars"), sets, plan, "neardup-first")
     labels = components(first, "neardup-first")
 
-    labelled = members.select("slot", "key", "cid", "size").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
+    labelled = members.select("slot", "key", "cid", "size").join(small(labels.withColumnRenamed("node", "cid"), labels.count()), "cid", "left").select(
         "slot", "key", "cid", "size", F.coalesce("label", "cid").alias("label")
     )
     labelled = materialise(labelled, "neardup-labelled")
     mixed = labelled.groupBy("slot", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    open_ = labelled.join(mixed.select("slot", "key"), ["slot", "key"], "left_semi")
+    open_ = labelled.join(shuffled(mixed.select("slot", "key")), ["slot", "key"], "left_semi")
     n_tiles = F.ceil(F.col("size") / TILE).cast("int")
     tiled = open_.withColumn("tile", F.pmod(F.xxhash64("cid"), n_tiles).cast("int")).select(
         "slot", "key", "cid", "label", "size", "tile", F.explode(F.sequence(F.lit(0), n_tiles - 1)).alias("other")
     )
     tiled = tiled.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
     names = ["slot", "key", "i", "j", "tile", "cid", "label", "n_shingles", "chunks", "screen", "shingles"]
-    screens = sets.select("cid", "screen").dropDuplicates(["cid"]).join(classes.select("cid", "n_shingles", "chunks"), "cid")
-    few = tiled.filter(F.col("size") <= FEW).join(screens, "cid").withColumn("shingles", F.lit(None).cast("binary"))
+    screens = sets.select("cid", "screen").dropDuplicates(["cid"]).join(shuffled(classes.select("cid", "n_shingles", "chunks")), "cid")
+    few = tiled.filter(F.col("size") <= FEW).join(shuffled(screens), "cid").withColumn("shingles", F.lit(None).cast("binary"))
     large = materialise(tiled.filter(F.col("size") > FEW).select("cid").distinct(), "neardup-large")
     whole = sets.join(small(large, large.count()), "cid", "left_semi").dropDuplicates(["cid"])
-    many = tiled.filter(F.col("size") > FEW).join(whole.join(classes.select("cid", "n_shingles", "chunks"), "cid"), "cid")
+    many = tiled.filter(F.col("size") > FEW).join(shuffled(whole.join(shuffled(classes.select("cid", "n_shingles", "chunks")), "cid")), "cid")
     rows = few.select(names).union(many.select(names)).repartition("slot", "key", "i", "j")
     rows = rows.sortWithinPartitions("slot", "key", "i", "j", "cid")
     candidates = materialise(rows.mapInArrow(lambda it: _scan(it, plan), "a bigint, b bigint, sure boolean"), "neardup-second")
-    second = _confirmed(candidates.filter("not sure").select("a", "b").distinct(), sets, plan, "neardup-second")
+    unsure = materialise(candidates.filter("not sure").select("a", "b").distinct(), "neardup-unsure")
+    second = _confirmed(unsure, sets, plan, "neardup-second")
     second = second.union(candidates.filter("sure").select("a", "b"))
 
     final = components(first.union(second), "neardup-all")
-    named = classes.select("set_id", "cid", "doc_id").join(final.withColumnRenamed("node", "cid"), "cid", "left").select(
+    named = classes.select("set_id", "cid", "doc_id").join(small(final.withColumnRenamed("node", "cid"), final.count()), "cid", "left").select(
         "set_id", "doc_id", F.coalesce("label", "cid").alias("label")
     )
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    answer = named.select("set_id", "label").join(smallest, "label").select("set_id", "component_id")
-    out = sketch.select("doc_id", "n_shingles", "set_id").join(answer, "set_id", "left")
+    answer = named.select("set_id", "label").join(shuffled(smallest), "label").select("set_id", "component_id")
+    out = sketch.select("doc_id", "n_shingles", "set_id").join(shuffled(answer), "set_id", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
