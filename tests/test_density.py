@@ -86,3 +86,27 @@ def test_neighbours_are_found_across_pieces(spark, monkeypatch):
     found = {(at[r["a"]], at[r["b"]]) for r in dn.neighbours(points, 10).collect()}
     true = {(i, j) for i in range(0, 4000, 20) for j in np.argsort(((y - y[i]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()}
     assert len(true & found) >= 0.9 * len(true), len(true & found) / len(true)
+
+
+def test_choice_takes_few_rounds(spark, monkeypatch):
+    """A chain of clusters, each of which splits into a leaf and the next one."""
+    rng, rows, size = np.random.default_rng(6), [], 10 * 21
+    for i in range(20):
+        rows.append((2 * i, 2 * (i - 1) if i else None, size, float(rng.normal())))
+        rows.append((2 * i + 1, 2 * i, 10, float(rng.normal())))
+        size -= 10
+    rows.append((40, 38, 10, 0.5))
+    value, chosen, kids = {}, {}, {}
+    for cluster, parent, _, own in sorted(rows, key=lambda r: r[2]):
+        value[cluster] = max(own, sum(kids[cluster])) if cluster in kids else own
+        chosen[cluster] = own >= (sum(kids[cluster]) if cluster in kids else 0)
+        kids.setdefault(parent, []).append(value[cluster])
+    clusters = spark.createDataFrame(rows, "cluster bigint, parent bigint, size bigint, own double")
+    written, cut = [], dn._cut
+    monkeypatch.setattr(dn, "_cut", lambda df: written.append(1) or cut(df))
+    # All in one task; subtrees and what is above them; subtrees and levels.
+    for per_task, rounds in ((1000, 1), (40, 12), (12, 99)):
+        written.clear()
+        got = {r["cluster"]: (r["value"], r["chosen"]) for r in dn.decisions(clusters, 10, per_task).collect()}
+        assert got == {c: (value[c], chosen[c]) for c in value}
+        assert len(written) <= rounds

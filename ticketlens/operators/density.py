@@ -2,8 +2,8 @@
 
 Equal vectors become one weighted point first. Neighbours come from a forest of random projections; the spanning tree is built by
 Boruvka rounds; the tree of merges is cut by weight into parts that a task can hold; chains of merges are followed by
-pointer jumping. Every round is a few joins, and the rounds grow with logarithms, but for the last choice, which takes one round
-per level of the tree of clusters.
+pointer jumping. Every round is a few joins, and the rounds grow with logarithms. The last choice goes from the leaves of the tree of
+clusters up, subtree by subtree, each within a task; only above that, if more clusters are left than a task holds, it takes a round per level.
 """
 
 from __future__ import annotations
@@ -265,6 +265,62 @@ def merge_tree(tree: DataFrame, points: DataFrame, per_task: int = 1_000_000) ->
         edges = half(marked.filter("mid is null"), 0).union(half(light, 0)).union(half(heavy, 1)).transform(_cut)
 
 
+def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Whether each cluster of whole subtrees is chosen, from the leaves up. A cluster has more rows than any below it; rows with a ``value``
+    are decided already. A cluster that is its own parent is a root."""
+    total, out = {}, []
+    for cluster, parent, own, value, known in pdf.sort_values("size")[["cluster", "parent", "own", "value", "known"]].itertuples(index=False, name=None):
+        if not known:
+            below = total.get(cluster)
+            value = own if below is None else max(own, below)
+            out.append((cluster, value, own >= (0.0 if below is None else below)))
+        if parent != cluster:
+            total[parent] = total[parent] + value if parent in total else value
+    return pd.DataFrame(out, columns=["cluster", "value", "chosen"])
+
+
+def decisions(clusters: DataFrame, min_cluster_size: int, per_task: int) -> DataFrame:
+    """(cluster, value, chosen) of the written ``clusters`` (cluster, parent, size, own): the larger of a cluster's own stability and the sum of what it
+    splits into, and whether it is its own.
+
+    A cluster of ``s`` rows has fewer than ``2 s / min_cluster_size`` clusters below it, so subtrees of few rows are decided each within a task, and what is
+    above them in one task if it holds at most ``per_task`` clusters, else level by level.
+    """
+    def parts(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("parent", F.coalesce("parent", "cluster"))
+        return rows.groupBy("part").applyInPandas(_choose, "cluster bigint, value double, chosen boolean").transform(_cut)
+
+    unknown = clusters.withColumns({"value": F.lit(0.0), "known": F.lit(False)})
+    count = clusters.count()
+    if count <= per_task:
+        return parts(unknown.withColumn("part", F.lit(0)))
+    is_light = F.col("size") < min_cluster_size * per_task // 2
+    above = clusters.filter(is_light).select(F.col("cluster").alias("parent"), F.col("cluster").alias("up"))
+    tops = roots(clusters.filter(is_light).join(above, "parent", "left").select(F.col("cluster").alias("node"), F.coalesce("up", "cluster").alias("up")))
+    part = F.pmod(F.xxhash64("up"), F.lit(2 * count // per_task + 1)).alias("part")
+    decided = parts(unknown.join(tops.select(F.col("node").alias("cluster"), part), "cluster"))
+    heavy = unknown.filter(~is_light).transform(_cut)
+    if heavy.isEmpty():
+        return decided
+    if heavy.count() <= per_task:
+        below = decided.select("cluster", "value").join(clusters, "cluster").join(heavy.select(F.col("cluster").alias("parent")), "parent", "left_semi")
+        rows = heavy.unionByName(below.withColumn("known", F.lit(True)))
+        return decided.union(parts(rows.withColumn("part", F.lit(0)))).transform(_cut)
+    leaves = heavy.join(clusters.select(F.col("parent").alias("cluster")), "cluster", "left_anti")
+    best = decided = decided.union(leaves.select("cluster", F.col("own").alias("value"), (F.col("own") >= 0).alias("chosen"))).transform(_cut)
+    kids = clusters.filter("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.count("*").alias("kids")).transform(_cut)
+    while True:
+        # A cluster is decided as soon as all those it splits into are.
+        ready = best.join(clusters.select("cluster", "parent"), "cluster").filter("parent is not null").groupBy(F.col("parent").alias("cluster"))
+        ready = ready.agg(F.count("*").alias("n"), F.sum("value").alias("sum")).join(kids, "cluster").filter("n = kids")
+        ready = ready.join(decided.select("cluster"), "cluster", "left_anti").join(clusters, "cluster").select(
+            "cluster", F.greatest("own", "sum").alias("value"), (F.col("own") >= F.col("sum")).alias("chosen")
+        ).transform(_cut)
+        if ready.isEmpty():
+            return decided
+        decided = best = decided.union(ready).transform(_cut)
+
+
 def varying_density_topics(
     df: DataFrame, id_col: str = "ticket_id", vector_col: str = "reduced", min_samples: int = 5, min_cluster_size: int = 10,
     k: int = 15, trees: int = 6, leaf: int = 256, per_task: int = 1_000_000,
@@ -307,27 +363,13 @@ def varying_density_topics(
     born = large.filter(head).select(F.col("id").alias("cluster"), "size", F.coalesce(1 / F.col("w_above"), F.lit(0.0)).alias("birth"), "above")
     parents = born.join(heads.select(F.col("id").alias("above"), F.col("cluster").alias("parent")), "above", "left")
     clusters = parents.join(gathered, "cluster").select(
-        "cluster", "parent", (F.col("gathered") - F.col("size") * F.col("birth")).alias("own")
+        "cluster", "parent", "size", (F.col("gathered") - F.col("size") * F.col("birth")).alias("own")
     )
     # A single component's whole is no choice.
     single = tops.count() == 1
     clusters = materialise(clusters.withColumn("own", F.when(F.col("parent").isNull() & F.lit(single), -1.0).otherwise(F.col("own"))), "density-clusters")
 
-    best = clusters.join(clusters.select(F.col("parent").alias("cluster")), "cluster", "left_anti").select(
-        "cluster", F.col("own").alias("value"), (F.col("own") >= 0).alias("chosen")
-    ).transform(_cut)
-    kids = clusters.filter("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.count("*").alias("kids")).transform(_cut)
-    decided = best
-    while True:
-        # A cluster is decided as soon as all those it splits into are.
-        ready = best.join(clusters.select("cluster", "parent"), "cluster").filter("parent is not null").groupBy(F.col("parent").alias("cluster"))
-        ready = ready.agg(F.count("*").alias("n"), F.sum("value").alias("sum")).join(kids, "cluster").filter("n = kids")
-        ready = ready.join(decided.select("cluster"), "cluster", "left_anti").join(clusters, "cluster").select(
-            "cluster", F.greatest("own", "sum").alias("value"), (F.col("own") >= F.col("sum")).alias("chosen")
-        ).transform(_cut)
-        if ready.isEmpty():
-            break
-        decided = best = decided.union(ready).transform(_cut)
+    decided = decisions(clusters, m, per_task)
     # The highest chosen cluster at or above each: paths double, the upper choice wins.
     path = clusters.join(decided, "cluster").select("cluster", "parent", F.when(F.col("chosen"), F.col("cluster")).alias("pick")).transform(_cut)
     while not path.filter("parent is not null").isEmpty():
