@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ticketlens.functions.arrays import BitSet
+from ticketlens.operators import keywords as kw
 from ticketlens.operators.keywords import grams, keyword_table_matches
 
 
@@ -73,3 +75,18 @@ def test_grams(spark):
     for r, t in zip(row, (text, "ab", "")):
         for q, found in ((1, r.q1), (3, r.q3)):
             assert found == list(dict.fromkeys(t[i : i + q] for i in range(len(t) - q + 1)))
+
+
+def test_grams_are_sifted_in_batches(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choices("abcé日🙂 ", k=rnd.randint(0, 40))) for _ in range(80)] + ["", None, "x" * 500]
+    table = spark.createDataFrame([("abc", "t"), ("é日", "t"), ("", "e"), ("🙂a🙂bc", "u"), ("xxxxxx", None)], "keyword string, topic string")
+    monkeypatch.setattr(kw, "_CHARACTERS", 100)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = keyword_table_matches(df, table)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
+    assert sorted(((r.id, r.topic, r.keyword) for r in found.collect()), key=repr) == brute(list(enumerate(texts)), [tuple(r) for r in table.collect()])
+    bits = kw.gram_bits(spark.createDataFrame([("abc",), ("é日",), ("🙂a🙂b",), ("",)], "gram string"))
+    held = kw._held_grams(["xabcabc", "ab", "é日", "🙂a🙂b", ""], [2, 3, 4], np.unpackbits(bits.view("uint8"), bitorder="little"))
+    assert held == [["abc"], [], ["é日"], ["🙂a🙂b"], []]

@@ -20,7 +20,7 @@ from ticketlens.functions.wordlists import (
 )
 from ticketlens.operators.entities import without_overlaps
 from ticketlens.operators.keywords import keyword_table_matches
-from ticketlens.session import small_table
+from ticketlens.session import materialise, small_table
 
 # --- Fixed values: weights of the lexicon rules ---------------------------------------
 BOOST = 0.293
@@ -447,8 +447,9 @@ def topic_sentiment_breakdown(
     that contains two keywords of one label counts twice.
     """
     if isinstance(topics, DataFrame):
-        # What is not read further on is not moved with the matches.
-        matches = keyword_table_matches(scored.select(text_col, "sentiment_label", "lex_compound", "sentiment_confidence"), topics, text_col)
+        # What is not read further on is not moved with the matches. The rest is written, since texts are read for the index too.
+        narrow = materialise(scored.select(text_col, "sentiment_label", "lex_compound", "sentiment_confidence"), "breakdown-scored")
+        matches = keyword_table_matches(narrow, topics, text_col)
     else:
         matches = keyword_matches(scored, topics, topic_labels or topics, text_col)
     per_label = matches.groupBy("topic", "sentiment_label").agg(
